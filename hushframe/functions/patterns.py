@@ -94,10 +94,19 @@ _JAVA_SAFE = {
 }
 
 
-def java_pattern(pattern: str, ignore_case: bool = False) -> str:
-    """Render a pattern above for ``java.util.regex``."""
+def java_pattern(pattern: str, ignore_case: bool = False, first: str = "") -> str:
+    """Render a pattern above for ``java.util.regex``.
+
+    ``first`` is a class of word characters, or of any characters for a pattern
+    without a leading ``\\b``, that every match starts with.  Testing it first lets
+    most positions fail at once.
+    """
     for plain, safe in _JAVA_SAFE.items():
         pattern = pattern.replace(plain, safe)
+    if first and pattern.startswith(r"\b"):
+        pattern = rf"(?={first})(?<!\w){pattern[2:]}"
+    elif first:
+        pattern = rf"(?={first})(?:{pattern})"
     pattern = _unicode_space(pattern).replace(r"\b", _BOUNDARY)
     return ("(?i)" if ignore_case else "") + pattern
 

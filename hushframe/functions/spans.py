@@ -23,6 +23,7 @@ SPAN = T.StructType(
 )
 SPANS = T.ArrayType(SPAN)
 
+_MARK = "\u0001"
 _PLAIN = T.ArrayType(
     T.StructType(
         [
@@ -34,6 +35,15 @@ _PLAIN = T.ArrayType(
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often it is used.
+
+    Inside a lambda any expression but the lambda's own variables is evaluated
+    again for each element; binding it to a variable avoids that.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def empty_spans() -> Column:
     return F.array().cast(SPANS)
 
@@ -43,15 +53,23 @@ def matches(text: Column, pattern: str | Column) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def locate(found: Column, gaps: Column) -> Column:
-    """Give each match its offsets.
+def gaps(text: Column, pattern: str | Column) -> Column:
+    """The text before, between and after the matches of ``pattern``.
 
-    ``gaps`` is the text between the matches: ``split`` on the same pattern.  The
-    offsets are running lengths over matches and gaps.
+    ``split`` compiles its pattern for every row, ``regexp_replace`` keeps it; so
+    the matches are first replaced by one character, which then parts the text.  A
+    text that has this character of its own is split on the pattern.
     """
+    return F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(
+        F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+    )
+
+
+def locate(found: Column, between: Column) -> Column:
+    """Give each match its offsets: running lengths over matches and gaps."""
     pieces = F.zip_with(
         found,
-        gaps,
+        between,
         lambda value, gap: F.struct(value.alias("value"), F.length(gap).alias("gap")),
     )
 
@@ -80,7 +98,7 @@ def find_spans(text: Column, pattern: str | Column) -> Column:
     """``array<struct<start, end, value>>`` of all matches of ``pattern``."""
     found = matches(text, pattern)
     return F.when(
-        F.size(found) > 0, locate(found, F.split(text, pattern, -1))
+        F.size(found) > 0, locate(found, gaps(text, pattern))
     ).otherwise(F.array().cast(_PLAIN))
 
 
@@ -109,18 +127,17 @@ def splice(text: Column, edits: Column) -> Column:
     ``edits`` is an array of ``struct<start, end, put>`` that do not overlap, in
     any order.  The pieces are joined once, whatever their number.
     """
-    ordered = F.array_sort(edits)
-    starts = F.transform(ordered, lambda e: e["start"])
-    ends = F.transform(ordered, lambda e: e["end"])
-    kept_from = F.concat(F.array(F.lit(0)), ends)
-    kept_to = F.concat(starts, F.array(F.length(text)))
-    kept = F.zip_with(
-        kept_from, kept_to, lambda a, b: F.substring(text, a + 1, b - a)
-    )
-    puts = F.concat(F.transform(ordered, lambda e: e["put"]), F.array(F.lit("")))
-    return F.when(F.size(edits) == 0, text).otherwise(
-        F.array_join(F.zip_with(kept, puts, lambda k, p: F.concat(k, p)), "")
-    )
+
+    def rebuilt(ordered: Column) -> Column:
+        kept_from = F.concat(F.array(F.lit(0)), ordered["end"])
+        kept_to = F.concat(ordered["start"], F.array(F.length(text)))
+        kept = F.zip_with(
+            kept_from, kept_to, lambda a, b: F.substring(text, a + 1, b - a)
+        )
+        puts = F.concat(ordered["put"], F.array(F.lit("")))
+        return F.array_join(F.zip_with(kept, puts, lambda k, p: F.concat(k, p)), "")
+
+    return F.when(F.size(edits) == 0, text).otherwise(let(F.array_sort(edits), rebuilt))
 
 
 def gaps_text(text: Column, spans: Column) -> Column:

@@ -20,23 +20,20 @@ def is_blank(text: Column) -> Column:
 
 def luhn_valid(number: Column) -> Column:
     """Luhn check of the digits in ``number``; other characters are skipped."""
-    digits = F.reverse(F.regexp_replace(number, r"[^0-9]", ""))
+    digits = F.regexp_replace(number, r"[^0-9]", "")
 
-    def weighted(pos: Column) -> Column:
-        d = F.ascii(F.substring(digits, pos, F.lit(1))) - F.lit(48)
+    def weighted(char: Column, pos: Column) -> Column:
+        d = F.ascii(char) - F.lit(48)
         doubled = d * 2
         return (
-            F.when(pos % 2 == 1, d)
+            F.when(pos % 2 == 0, d)
             .when(doubled > 9, doubled - 9)
             .otherwise(doubled)
         )
 
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.length(digits)),
-        F.lit(0),
-        lambda acc, pos: acc + weighted(pos),
-    )
-    return F.when(F.length(digits) == 0, F.lit(True)).otherwise(total % 10 == 0)
+    weights = F.transform(F.split(F.reverse(digits), ""), weighted)
+    total = F.aggregate(weights, F.lit(0), lambda acc, w: acc + w)
+    return F.when(digits == "", F.lit(True)).otherwise(total % 10 == 0)
 
 
 def format_token(entity_type: Column, idx: Column) -> Column:

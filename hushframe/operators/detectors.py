@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import patterns as P
-from hushframe.functions.spans import SPANS, empty_spans, locate, matches
+from hushframe.functions.spans import SPANS, empty_spans, gaps, locate, matches
 from hushframe.functions.text import luhn_valid
 
 
@@ -24,30 +24,31 @@ class Detector:
     digit: bool = True  # every match has a digit
     any_of: tuple[str, ...] = ()  # every match has one of these (lower case)
     like: str | None = None  # every match has a part like this
+    first: str = ""  # what a match starts with
     score: float = 0.95
     ignore_case: bool = False
 
     @property
     def java(self) -> str:
-        return P.java_pattern(self.pattern, self.ignore_case)
+        return P.java_pattern(self.pattern, self.ignore_case, self.first)
 
 
 DETECTORS: dict[str, Detector] = {
     d.name: d
     for d in (
         Detector("email", 0, "EMAIL_ADDRESS", P.EMAIL, digit=False, any_of=("@",)),
-        Detector("phone", 1, "PHONE_NUMBER", P.PHONE, like=r"[0-9]{4}|\+[0-9]"),
+        Detector("phone", 1, "PHONE_NUMBER", P.PHONE, like=r"[0-9]{4}|\+[0-9]", first=r"[\d+(]"),
         # det_ord 2 is the national phone format, chosen by language.
-        Detector("card", 3, "CREDIT_CARD", P.CARD, like="(?:[0-9][ -]?){13}"),
-        Detector("iban", 4, "IBAN_CODE", P.IBAN, like="[A-Z]{2}[0-9]{2}"),
-        Detector("ssn", 5, "SSN", P.SSN, like="[0-9][- ][0-9]{2}[- ][0-9]{4}"),
-        Detector("ipv4", 6, "IP_ADDRESS", P.IPV4, like=r"[0-9]\.[0-9]"),
+        Detector("card", 3, "CREDIT_CARD", P.CARD, like="(?:[0-9][ -]?){13}", first=r"\d"),
+        Detector("iban", 4, "IBAN_CODE", P.IBAN, like="[A-Z]{2}[0-9]{2}", first="[A-Z]"),
+        Detector("ssn", 5, "SSN", P.SSN, like="[0-9][- ][0-9]{2}[- ][0-9]{4}", first=r"\d"),
+        Detector("ipv4", 6, "IP_ADDRESS", P.IPV4, like=r"[0-9]\.[0-9]", first=r"\d"),
         Detector(
             "ipv6", 7, "IP_ADDRESS", P.IPV6, digit=False, any_of=(":",),
-            like="[0-9a-fA-F]:[0-9a-fA-F]",
+            like=":[0-9a-fA-F]{1,4}:", first="[0-9a-fA-F]",
         ),
-        Detector("btc", 8, "CRYPTO", P.BTC, like="bc1|[13][a-km-zA-HJ-NP-Z1-9]{25}"),
-        Detector("eth", 9, "CRYPTO", P.ETH, any_of=("0x",)),
+        Detector("btc", 8, "CRYPTO", P.BTC, like="bc1|[13][a-km-zA-HJ-NP-Z1-9]{25}", first="[13b]"),
+        Detector("eth", 9, "CRYPTO", P.ETH, any_of=("0x",), first="0"),
         Detector(
             "secret", 10, "SECRET_KEY", P.SECRET, digit=False,
             any_of=(
@@ -57,13 +58,15 @@ DETECTORS: dict[str, Detector] = {
             score=0.9, ignore_case=True,
         ),
         Detector(
-            "dob", 11, "DATE_OF_BIRTH", P.DOB, any_of=("dob", "birth", "born"),
+            "dob", 11, "DATE_OF_BIRTH", P.DOB, any_of=("dob", "birth", "born"), first="[db]",
             score=0.8, ignore_case=True,
         ),
     )
 }
 PHONE_LOCALE_ORD = 2
-_LANGS = {lang: P.java_pattern(p) for lang, p in P.PHONE_BY_LANG.items()}
+_LANGS = {
+    lang: P.java_pattern(p, first=r"\d") for lang, p in P.PHONE_BY_LANG.items()
+}
 _NONE = "array<string>"
 
 
@@ -71,10 +74,8 @@ def _guarded(text: Column, detector: Detector) -> Column:
     """The matches, looked for only where the cheap tests leave a chance."""
     hint = F.col("__digit") if detector.digit else F.lit(True)
     if detector.any_of:
-        some = F.lit(False)
-        for literal in detector.any_of:
-            some = some | F.col("__lower").contains(literal)
-        hint = hint & some
+        tests = (f"contains(__lower, '{literal}')" for literal in detector.any_of)
+        hint = hint & F.expr(" OR ".join(tests))
     if detector.like:
         hint = hint & text.rlike(detector.like)
     return F.when(hint, matches(text, detector.java)).otherwise(
@@ -180,7 +181,7 @@ def detect(
                 F.lit(score).alias("score"),
                 F.lit(order).alias("det_ord"),
                 F.col(name).alias("found"),
-                F.when(hit, F.split(body, pattern, -1)).alias("gaps"),
+                F.when(hit, gaps(body, pattern)).alias("gaps"),
             )
         )
     hits = F.filter(F.array(*groups), lambda g: F.size(g["found"]) > 0)

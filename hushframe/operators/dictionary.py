@@ -67,13 +67,13 @@ def occurrences(text: Column, phrase: Column) -> Column:
             end.alias("pos"), F.concat(acc["out"], F.array(end)).alias("out")
         )
 
-    ends = F.aggregate(
+    # The last end is that of the text; the others are where a phrase starts.
+    return F.aggregate(
         pieces,
         F.struct(F.lit(-1).alias("pos"), F.array().cast("array<int>").alias("out")),
         step,
-        lambda acc: acc["out"],
+        lambda acc: F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1),
     )
-    return F.slice(ends, F.lit(1), F.size(ends) - 1)
 
 
 def _of_type(entity_type: Column, field: int, kind: str) -> Column:

@@ -58,8 +58,7 @@ def offered_actions(decision: Column, tier: Column) -> Column:
 
 def entity_summary(detections: Column) -> Column:
     """Distinct entity types in the order of the detections, as one string."""
-    types = F.transform(detections, lambda d: d["entity_type"])
-    return F.array_join(F.array_distinct(types), ", ")
+    return F.array_join(F.array_distinct(detections["entity_type"]), ", ")
 
 
 def entity_counts(spans: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -97,48 +97,51 @@ def decision_of(entity_type: str, settings: Settings = DEFAULT_SETTINGS) -> str:
     return override if override in DECISIONS else "block"
 
 
-def _lookup(values: dict[str, int], key: Column, default: int) -> Column:
-    pairs = [F.lit(x) for item in values.items() for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
+def _strings(values) -> Column:
+    return F.array(*(F.lit(v) for v in values)).cast("array<string>")
 
 
-def _name(names: tuple[str, ...], rank: Column) -> Column:
-    return F.get(F.array(*(F.lit(n) for n in names)), rank)
+def _first_met(
+    entity_types: Column, ordered: tuple[str, ...], of: dict[str, str], unknown: str
+) -> Column:
+    """The first of ``ordered`` that some entity type of the array belongs to."""
+    result = F.lit(None).cast("string")
+    for name in reversed(ordered):
+        members = sorted(e for e, value in of.items() if value == name)
+        met = F.arrays_overlap(entity_types, _strings(members)) if members else F.lit(False)
+        if name == unknown:
+            met = met | (F.size(F.array_except(entity_types, _strings(sorted(of)))) > 0)
+        result = F.when(met, F.lit(name)).otherwise(result)
+    return result
 
 
-def tier_rank(entity_type: Column) -> Column:
-    ranks = {entity: TIERS.index(tier) for entity, tier in _TIER_OF.items()}
-    return _lookup(ranks, entity_type, TIERS.index(UNKNOWN_TIER))
+def _decisions(settings: Settings) -> dict[str, str]:
+    return {e: decision_of(e, settings) for e in {*_TIER_OF, *settings.overrides}}
 
 
 def entity_tier(entity_type: Column) -> Column:
     """``high``, ``medium`` or ``low``; unknown entity types are medium."""
-    return _name(TIERS, tier_rank(entity_type))
-
-
-def decision_rank(entity_type: Column, settings: Settings) -> Column:
-    known = {*_TIER_OF, *settings.overrides}
-    ranks = {e: DECISIONS.index(decision_of(e, settings)) for e in sorted(known)}
-    unknown = DECISIONS.index(MATRIX[UNKNOWN_TIER, settings.mode])
-    return _lookup(ranks, entity_type, unknown)
+    return _first_met(F.array(entity_type), TIERS, _TIER_OF, UNKNOWN_TIER)
 
 
 def entity_decision(entity_type: Column, settings: Settings) -> Column:
-    return _name(DECISIONS, decision_rank(entity_type, settings))
+    """The decision for one entity type."""
+    unknown = MATRIX[UNKNOWN_TIER, settings.mode]
+    return _first_met(F.array(entity_type), DECISIONS, _decisions(settings), unknown)
 
 
 def top_tier(detections: Column) -> Column:
     """The highest tier among the detections, NULL without any."""
-    ranks = F.transform(detections, lambda d: tier_rank(d["entity_type"]))
-    return _name(TIERS, F.array_min(ranks))
+    return _first_met(detections["entity_type"], TIERS, _TIER_OF, UNKNOWN_TIER)
 
 
 def message_decision(detections: Column, settings: Settings = DEFAULT_SETTINGS) -> Column:
     """The most restrictive decision over the detections, ``allow`` without any."""
-    ranks = F.transform(detections, lambda d: decision_rank(d["entity_type"], settings))
-    return _name(
-        DECISIONS, F.coalesce(F.array_min(ranks), F.lit(DECISIONS.index("allow")))
+    unknown = MATRIX[UNKNOWN_TIER, settings.mode]
+    decision = _first_met(
+        detections["entity_type"], DECISIONS, _decisions(settings), unknown
     )
+    return F.coalesce(decision, F.lit("allow"))
 
 
 def policy_table(spark: SparkSession, settings: Settings = DEFAULT_SETTINGS) -> DataFrame:

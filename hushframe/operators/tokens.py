@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.patterns import TOKEN, java_pattern
-from hushframe.functions.spans import find_spans, splice
+from hushframe.functions.spans import find_spans, let, splice
 from hushframe.functions.text import format_token
 from hushframe.operators.detectors import hits_only
 from hushframe.operators.overlap import by_start
@@ -168,24 +168,27 @@ def epoch_scope(spans: DataFrame, message_epochs: DataFrame) -> DataFrame:
 
 def document_edits(detections: Column) -> Column:
     """Edits that replace every span by its token, numbered within one message."""
-    ordered = by_start(detections)
-    named = F.transform(
-        ordered,
-        lambda s: F.struct(s["entity_type"].alias("entity_type"), s["value"].alias("value")),
-    )
-    known = F.array_distinct(named)
-
-    def token(s: Column) -> Column:
-        same_type = F.filter(known, lambda k: k["entity_type"] == s["entity_type"])
-        idx = F.array_position(
-            F.transform(same_type, lambda k: k["value"]), s["value"]
-        )
-        return format_token(s["entity_type"], idx)
 
-    return F.transform(
-        ordered,
-        lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), token(s).alias("put")
+    def named(s: Column) -> Column:
+        return F.struct(s["entity_type"].alias("entity_type"), s["value"].alias("value"))
+
+    def numbered(ordered: Column, known: Column) -> Column:
+        def edit(s: Column) -> Column:
+            same_type = F.filter(known, lambda k: k["entity_type"] == s["entity_type"])
+            idx = F.array_position(same_type["value"], s["value"])
+            return F.struct(
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                format_token(s["entity_type"], idx).alias("put"),
+            )
+
+        return F.transform(ordered, edit)
+
+    return let(
+        by_start(detections),
+        lambda ordered: let(
+            F.array_distinct(F.transform(ordered, named)),
+            lambda known: numbered(ordered, known),
         ),
     )
 

@@ -307,8 +307,8 @@ FROM (SELECT *, unnest(range(1, len(g))) AS k
 def _trigrams(messages: str, keys: str) -> str:
     padded = "' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' '"
     return (
-        f"SELECT {keys}, unnest(list_transform(range(1, length(p) - 1), lambda i: p[i:i + 2])) AS trigram"
-        f" FROM (SELECT {keys}, {padded} AS p FROM ({messages}))"
+        f"SELECT {keys}, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS trigram"
+        f" FROM (SELECT {keys}, string_split({padded}, '') AS c FROM ({messages}))"
     )
 
 
