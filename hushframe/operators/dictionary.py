@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,10 @@ LANGUAGE = "en"
 MIN_PHRASE = 2
 # End of fixed values.
 
-WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+# Letters and digits, with inner apostrophes and hyphens; possessive, so that a
+# long chain needs no recursion.
+WORD = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
+_WORD = regex.compile(WORD)
 INLINE_PHRASES = 5000
 SALTS = 16
 
@@ -136,23 +140,23 @@ def dictionary_matches(
     if dictionary is None:
         return df.withColumn(out, empty_spans())
     entries = usable(dictionary)
-    size = entries.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size(words(F.col("phrase")))).alias("longest")
-    ).first()
-    if size["n"] == 0:
+    # One row more than may travel in the plan tells whether the dictionary is small.
+    head = entries.limit(inline_phrases + 1).collect()
+    if not head:
         return df.withColumn(out, empty_spans())
-    longest = max(1, size["longest"])
     searched = (F.col(lang) == LANGUAGE) & ~is_blank(F.col(text))
-    grams = F.when(searched, ngrams(words(F.col(text)), longest))
-    if size["n"] <= inline_phrases:
-        return _inline(df, entries, grams, text, out)
+    if len(head) <= inline_phrases:
+        longest = max(len(_WORD.findall(r["phrase"])) for r in head)
+    else:
+        longest = entries.agg(F.max(F.size(words(F.col("phrase"))))).first()[0]
+    grams = F.when(searched, ngrams(words(F.col(text)), max(1, longest)))
+    if len(head) <= inline_phrases:
+        return _inline(df, head, grams, text, out)
     return _joined(df, entries, grams, keys, text, out)
 
 
 def _inline(df, entries, grams, text, out) -> DataFrame:
-    # At most ``inline_phrases`` rows, counted by the caller.
-    listed = [(r["phrase"], r["entity_type"]) for r in entries.collect()]
-    listed.sort()
+    listed = sorted((r["phrase"], r["entity_type"]) for r in entries)
     known = F.from_json(
         F.lit(json.dumps([{"phrase": p, "entity_type": t} for p, t in listed])),
         "array<struct<phrase:string,entity_type:string>>",

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parts that are not shown, and tags that start a new line.
+# Parts that are not shown, and tags that start a new line.  An unclosed part
+# hides the rest of the page; a tag ends before the next "<", so no search for a
+# missing end is repeated.
 HIDDEN = (
-    r"(?is)<script(?:[\s/][^>]*)?>.*?</script\s*>|<style(?:[\s/][^>]*)?>.*?</style\s*>"
-    r"|<head(?:[\s/][^>]*)?>.*?</head\s*>|<!--.*?-->"
+    r"(?is)<script(?:[\s/][^<>]*)?>.*?(?:</script\s*>|\z)"
+    r"|<style(?:[\s/][^<>]*)?>.*?(?:</style\s*>|\z)"
+    r"|<head(?:[\s/][^<>]*)?>.*?(?:</head\s*>|\z)|<!--.*?(?:-->|\z)"
 )
 BLOCK = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer"
     r"|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)"
-    r"(?:[\s/][^>]*)?>"
+    r"(?:[\s/][^<>]*)?>"
 )
-TAG = r"<[^>]*>"
+TAG = r"</?[A-Za-z!][^<>]*>"
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
 )
