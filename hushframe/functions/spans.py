@@ -6,7 +6,7 @@ always the span's value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters do not work out again.
+
+    A filter on a plain column is moved below it, together with everything the
+    column is made of: the detectors would run twice, and a column used many times
+    over would be copied as often.  An exploded array of one element is a limit
+    that only filters on other columns pass.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name))
+
+
 def empty_spans() -> Column:
     return F.array().cast(SPANS)
 

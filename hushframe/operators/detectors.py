@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import patterns as P
-from hushframe.functions.spans import SPANS, empty_spans, gaps, locate, matches
+from hushframe.functions.spans import SPANS, empty_spans, gaps, locate, matches, settle
 from hushframe.functions.text import luhn_valid
 
 
@@ -199,15 +199,11 @@ def detect(
         .when(any_hit, spans)
         .otherwise(empty_spans())
     )
-    return staged.withColumn(out, detections).drop(*hints, *found)
+    return settle(staged, out, detections).drop(*hints, *found)
 
 
 def hits_only(df: DataFrame, detections: str = "detections") -> DataFrame:
-    """Keep messages with at least one span.
-
-    Written as an explode of one element: a filter on the array would be pushed
-    below the detectors and run them all a second time.
-    """
+    """Keep messages with at least one span (see ``settle``)."""
     rest = [c for c in df.columns if c != detections]
     hit = F.when(F.size(detections) > 0, F.array(detections))
     return df.select(*rest, F.explode(hit).alias(detections))

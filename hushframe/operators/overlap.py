@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.functions.spans import SPANS, empty_spans
+from hushframe.functions.spans import SPANS, empty_spans, settle
 
 
 def by_rank(spans: Column) -> Column:
@@ -94,7 +94,7 @@ def resolve(spans: Column) -> Column:
 
 def resolve_overlaps(df: DataFrame, detections: str = "detections") -> DataFrame:
     """Resolve overlaps in a detections column: narrow, no shuffle."""
-    return df.withColumn(detections, resolve(F.col(detections)))
+    return settle(df, detections, resolve(F.col(detections)))
 
 
 def _with_islands(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
