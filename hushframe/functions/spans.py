@@ -23,6 +23,7 @@ SPAN = T.StructType(
 )
 SPANS = T.ArrayType(SPAN)
 
+FEW_EDITS = 100
 _MARK = "\u0001"
 _PLAIN = T.ArrayType(
     T.StructType(
@@ -137,19 +138,34 @@ def splice(text: Column, edits: Column) -> Column:
     """Replace spans by other text.
 
     ``edits`` is an array of ``struct<start, end, put>`` that do not overlap, in
-    any order.  The pieces are joined once, whatever their number.
+    any order.  The pieces are joined once.  A substring is found by counting from
+    the start of the text; where there are many edits, the text is taken apart into
+    characters first, so that the cost stays linear.
     """
 
-    def rebuilt(ordered: Column) -> Column:
+    def rebuilt(ordered: Column, cut) -> Column:
         kept_from = F.concat(F.array(F.lit(0)), ordered["end"])
         kept_to = F.concat(ordered["start"], F.array(F.length(text)))
-        kept = F.zip_with(
-            kept_from, kept_to, lambda a, b: F.substring(text, a + 1, b - a)
-        )
         puts = F.concat(ordered["put"], F.array(F.lit("")))
+        kept = F.zip_with(kept_from, kept_to, cut)
         return F.array_join(F.zip_with(kept, puts, lambda k, p: F.concat(k, p)), "")
 
-    return F.when(F.size(edits) == 0, text).otherwise(let(F.array_sort(edits), rebuilt))
+    def by_substring(ordered: Column) -> Column:
+        return rebuilt(ordered, lambda a, b: F.substring(text, a + 1, b - a))
+
+    def by_characters(ordered: Column) -> Column:
+        return let(
+            F.split(text, ""),
+            lambda chars: rebuilt(
+                ordered, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")
+            ),
+        )
+
+    return (
+        F.when(F.size(edits) == 0, text)
+        .when(F.size(edits) <= FEW_EDITS, let(F.array_sort(edits), by_substring))
+        .otherwise(let(F.array_sort(edits), by_characters))
+    )
 
 
 def gaps_text(text: Column, spans: Column) -> Column:

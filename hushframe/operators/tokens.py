@@ -21,6 +21,7 @@ from hushframe.operators.overlap import by_start
 
 TOKEN_PATTERN = java_pattern(TOKEN)
 BLOCK_BITS = 16
+MAX_START = 2**31  # more than any offset in a string
 
 
 def prefix_sum(
@@ -72,18 +73,20 @@ def first_seen(spans: DataFrame) -> DataFrame:
     """Distinct values of a scope with the place of their first occurrence.
 
     Aggregated before the shuffle, so a value repeated a billion times in one
-    scope costs one row per task.
+    scope costs one row per task.  The place is one decimal, as a minimum of
+    structs could not be aggregated by hashing and would sort all spans first.
     """
+    place = F.col("seq").cast("decimal(20,0)") * F.lit(MAX_START).cast("decimal(10,0)") + F.col("start")
+    start = F.pmod(F.col("__first"), F.lit(MAX_START).cast("decimal(10,0)"))
     return (
         spans.groupBy("scope_id", "entity_type", "value")
-        .agg(F.min(F.struct("seq", "start")).alias("__first"))
-        .select(
-            "scope_id",
-            "entity_type",
-            "value",
-            F.col("__first.seq").alias("first_seq"),
-            F.col("__first.start").alias("first_start"),
+        .agg(F.min(place).alias("__first"))
+        .withColumn("first_start", start.cast("int"))
+        .withColumn(
+            "first_seq",
+            ((F.col("__first") - F.col("first_start")) / F.lit(MAX_START).cast("decimal(10,0)")).cast("bigint"),
         )
+        .select("scope_id", "entity_type", "value", "first_seq", "first_start")
     )
 
 

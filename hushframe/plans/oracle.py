@@ -604,6 +604,7 @@ LEFT JOIN (SELECT scope_id, seq, string_agg(substr(text, prev + 1, "start" - pre
     )
     sql["stream_analyze"] = _per_message(_ANALYSED, DOCUMENTS)
     sql["stream_tokenise"] = _with(DOCUMENTS) + f"SELECT {vault_columns} FROM ({_vault()})"
+    sql["stream_vault"] = sql["stream_tokenise"]
     sql["stream_scrub_count"] = _with(DOCUMENTS) + f"""
 SELECT scope_id, coalesce(sum(n) FILTER (decision = 'auto_scrub'), 0)::BIGINT AS scrub_count
 FROM (SELECT scope_id, seq, count(entity_type) AS n,

@@ -531,6 +531,19 @@ def stream_tokenise(spark, sf_dir):
     return drain(stream_tokens(token_events(spans))).select(*VAULT)
 
 
+@query
+def stream_vault(spark, sf_dir):
+    import uuid
+
+    from hushframe.sources.session import shared_dir
+    from hushframe.streaming.tokens import read_vault, stream_to_vault
+
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    spans = explode_detections(analyze(_stream(spark, sf_dir)), KEYS)
+    stream_to_vault(spans, f"{base}/vault", f"{base}/checkpoint")
+    return read_vault(spark, f"{base}/vault").select(*VAULT)
+
+
 @query
 def stream_scrub_count(spark, sf_dir):
     import uuid

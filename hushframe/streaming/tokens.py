@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from hushframe.operators.tokens import vault_append
 from hushframe.sources.session import STATE_STORE
+from hushframe.streaming.jobs import for_each_batch
 
 OUTPUT = (
     "scope_id string, entity_type string, value string, first_seq bigint, "
@@ -65,6 +67,40 @@ def token_processor(ttl_ms: int | None = None) -> StatefulProcessor:
     return TokenState()
 
 
+VAULT = (
+    "scope_id string, entity_type string, value string, first_seq bigint, "
+    "first_start int, idx bigint, token string"
+)
+
+
+def stream_to_vault(spans: DataFrame, vault_path: str, checkpoint: str):
+    """Keep a vault table up to date with a stream of spans.
+
+    The same numbering as ``stream_tokens``, with the vault on shared storage in
+    place of state: each micro-batch appends its new values by joins and block-wise
+    numbering, so one very large scope is spread over many tasks.  A batch that
+    runs again replaces its own rows.
+    """
+    columns = [part.split()[0] for part in VAULT.split(", ")]
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = spark.createDataFrame([], VAULT)
+        if batch_id > 0:
+            known = read_vault(spark, vault_path).where(F.col("batch") < batch_id)
+        fresh = vault_append(known.select(*columns), batch)
+        fresh.select(*columns).write.mode("overwrite").parquet(
+            f"{vault_path}/batch={batch_id}"
+        )
+
+    return for_each_batch(spans, work, checkpoint)
+
+
+def read_vault(spark: SparkSession, vault_path: str) -> DataFrame:
+    """The vault that ``stream_to_vault`` keeps."""
+    return spark.read.schema(f"{VAULT}, batch bigint").parquet(vault_path)
+
+
 def use_state_store(spark: SparkSession) -> None:
     """The state operators need the RocksDB state store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

@@ -12,7 +12,13 @@ from hushframe.streaming.jobs import (
     run_available,
     scrub_counter,
 )
-from hushframe.streaming.tokens import clear_events, stream_tokens, token_events
+from hushframe.streaming.tokens import (
+    clear_events,
+    read_vault,
+    stream_to_vault,
+    stream_tokens,
+    token_events,
+)
 
 KEYS = ["scope_id", "seq"]
 SCHEMA = "scope_id string, seq bigint, text string, lang string"
@@ -62,6 +68,15 @@ def test_tokens_over_two_runs_equal_the_batch_vault(spark, feed, tmp_path):
     assert vault(spark.read.parquet(out)) == vault(T.token_vault(explode_detections(batch, KEYS)))
 
 
+def test_vault_table_over_two_runs_equals_the_batch_vault(spark, feed, tmp_path):
+    out, checkpoint = str(tmp_path / "vault"), str(tmp_path / "cp")
+    for rows in (FIRST, SECOND):
+        feed.add(rows)
+        stream_to_vault(explode_detections(analyze(feed.stream()), KEYS), out, checkpoint)
+    batch = analyze(spark.createDataFrame(FIRST + SECOND, SCHEMA))
+    assert vault(read_vault(spark, out)) == vault(T.token_vault(explode_detections(batch, KEYS)))
+
+
 def test_clear_restarts_numbering(spark, feed):
     rows = [("a", 0, "E", "span", 0, "x"), ("a", 1, "E", "span", 0, "y"), ("a", 2, "E", "span", 0, "y")]
     schema = "scope_id string, seq bigint, entity_type string, kind string, start int, value string"

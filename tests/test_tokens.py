@@ -52,6 +52,17 @@ def test_vault_equals_brute_force(spark, bits, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_places_beyond_small_numbers(spark):
+    rows = [("s", 2**62, "A", 2**31 - 1, "late"), ("s", 2**62, "A", 7, "mid"), ("s", -5, "A", 9, "early")]
+    vault = T.token_vault(spark.createDataFrame(rows, SPAN))
+    got = sorted((r.idx, r.value, r.first_seq, r.first_start) for r in vault.collect())
+    assert got == [
+        (1, "early", -5, 9), (2, "mid", 2**62, 7), (3, "late", 2**62, 2**31 - 1),
+    ]
+    plan = T.first_seen(spark.createDataFrame(rows, SPAN))._jdf.queryExecution().executedPlan()
+    assert "SortAggregate" not in plan.toString()
+
+
 def test_append_continues_counters(spark):
     rows = random_spans(600)
     first, later = rows[:300], rows[200:]
