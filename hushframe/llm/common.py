@@ -68,3 +68,21 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """At most ``n`` distinct non-null keys, those of the smallest seeded hashes."""
     keys = df.where(F.col(key).isNotNull()).select(key).distinct()
     return keys.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
+#: Most rows that are ever broadcast, all of them narrow.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a narrow side for broadcast if it has few rows; else it is shuffled.
+
+    ``df`` is written to the shared folder first, so the count is of what is joined.
+    """
+    held = checkpointed(df)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
+def same(left: str, right: str) -> Column:
+    """Null-safe equality of two columns by name."""
+    return F.col(left).eqNullSafe(F.col(right))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import html_text, language_id, pii, quality, secret_scan
+from hushframe.llm import exact_dedup, html_text, language_id, pii, quality, secret_scan, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,3 +95,13 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _span_digest(pii.find_personal_data(docs, "doc_id", "text"), pii.KINDS[:4])
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
