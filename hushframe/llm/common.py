@@ -47,7 +47,7 @@ def map_rows(
     """Apply a function of Python lists to batches of ``columns``, without a shuffle.
 
     ``make`` runs once per task and returns the function; that one gets a list per
-    column and returns a list per column of ``schema``.
+    column and returns a list (or Arrow array) per column of ``schema``.
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -56,10 +56,11 @@ def map_rows(
         for batch in batches:
             for piece in pieces(batch):
                 out = fn(*(c.to_pylist() for c in piece.columns))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)],
-                    schema=arrow,
-                )
+                arrays = [
+                    c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
+                    for c, f in zip(out, arrow, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
 

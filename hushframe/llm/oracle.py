@@ -7,3 +7,81 @@ _SQL: dict[str, str] = {}
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+_SQL["op7_exact_dedup"] = r"""
+WITH normal AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents
+), ranked AS (
+  SELECT doc_id, norm,
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id,
+         row_number() OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS n,
+         count(*) OVER (PARTITION BY norm) AS group_size
+  FROM normal
+)
+SELECT doc_id, keep_id, group_size, n = 1 AS kept, sha256(norm) AS text_sha256 FROM ranked
+"""
+
+_SQL["op8_mix"] = r"""
+WITH sizes AS (
+  SELECT doc_id, source,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM sizes GROUP BY source
+), levels AS (
+  SELECT *,
+         sum(s) OVER () - 3 * coalesce(sum(s) OVER o, 0) AS rest,
+         sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS w_rest
+  FROM sources
+  WINDOW o AS (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), free AS (
+  SELECT *, CAST(w AS DOUBLE) * CAST(rest AS DOUBLE)
+            <= 3 * CAST(s AS DOUBLE) * CAST(w_rest AS DOUBLE) AS is_free
+  FROM levels
+), level AS (
+  SELECT rest, w_rest FROM free WHERE is_free ORDER BY w_rest DESC LIMIT 1
+), targets AS (
+  SELECT source, s AS source_size,
+         CASE WHEN is_free THEN least(
+                CAST(w AS DOUBLE) * CAST((SELECT rest FROM level) AS DOUBLE)
+                / CAST((SELECT w_rest FROM level) AS DOUBLE), 3 * CAST(s AS DOUBLE))
+              ELSE 3 * CAST(s AS DOUBLE) END AS target
+  FROM free
+), rates AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+         CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)
+              AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
+  FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source
+), copied AS (
+  SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END
+            AS copies
+  FROM rates
+)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM copied
+"""
+
+_SQL["op10_top_k"] = r"""
+WITH whole AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(
+    [x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x) OR abs(x) >= 262144]) = 0
+), parts AS (
+  SELECT vec_id, len(v) AS dim, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM whole
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.dim = c.dim
+  WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  GROUP BY q.vec_id, c.vec_id
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n
+      FROM scores)
+WHERE n <= 5
+"""

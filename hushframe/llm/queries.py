@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import exact_dedup, html_text, language_id, pii, quality, secret_scan, simhash
+from hushframe.llm import (
+    exact_dedup,
+    html_text,
+    language_id,
+    mixing,
+    pii,
+    piece_sampling,
+    quality,
+    secret_scan,
+    simhash,
+    topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +83,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(found, secret_scan.KINDS[:3])
 
 
+@query
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = piece_sampling.encode(docs, "doc_id", "text", carry=("text",))
+    decoded = piece_sampling.decode(coded, "ids", "decoded")
+    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return decoded.select("doc_id", "n_pieces", "ids", lossless.alias("lossless"))
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Graded ratings of the label table: 0 poor, 1 good but toxic, 2 good."""
     quality_ = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, 2 - F.col("toxic"))
@@ -102,6 +122,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 @query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
