@@ -87,3 +87,31 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 def same(left: str, right: str) -> Column:
     """Null-safe equality of two columns by name."""
     return F.col(left).eqNullSafe(F.col(right))
+
+
+def keep_rows(df: DataFrame, key: str, text: str, found: DataFrame, mark: Column) -> DataFrame:
+    """The rows of ``df`` that ``found`` keeps, with all their columns.
+
+    ``found`` has a row ``key, kept, _mark`` per row of ``df``.  Rows are told apart by key
+    alone where it is unique, so that only keys are joined.  Rows that share a key are told
+    apart by ``mark`` (the column of ``df`` that gives ``_mark``); of rows that share that
+    too, the one with the longest and then the largest text stays.
+    """
+    found = checkpointed(found.select(F.col(key).alias("_key"), "kept", "_mark"))
+    per_key = found.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if(~F.col("kept")).alias("_lost")
+    )
+    per_key = checkpointed(per_key.where("_rows > 1 or _lost > 0"))
+    touched = broadcast_if_small(per_key.select("_key"))
+    out = df.join(touched, same(key, "_key"), "left_anti")
+    several = per_key.where("_rows > 1 and _lost < _rows").select(F.col("_key").alias("_of"))
+    if several.isEmpty():
+        return out
+    several = broadcast_if_small(several)
+    winners = found.where("kept").join(several, same("_key", "_of"), "left_semi").distinct()
+    rows = df.join(several, same(key, "_of"), "left_semi").withColumn("_is", mark)
+    rows = rows.join(winners, same(key, "_key") & (F.col("_is") == F.col("_mark")), "left_semi")
+    body = F.coalesce(text, F.lit(""))
+    best = F.max_by(F.struct(*df.columns), F.struct(F.length(body), body))
+    again = rows.groupBy(F.col(key).alias("_key"), "_is").agg(best.alias("_best"))
+    return out.unionByName(again.select("_best.*"))

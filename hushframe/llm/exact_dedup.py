@@ -19,6 +19,7 @@ from hushframe.llm.common import (
     broadcast_if_small,
     checkpointed,
     fields,
+    keep_rows,
     map_rows,
     pieces,
     same,
@@ -201,27 +202,8 @@ def duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     return single.unionByName(grouped)
 
 
-def keep_rows(df: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
-    """The rows of ``df`` that ``found`` (of ``duplicates``) keeps, whole.
-
-    Rows are told apart by key.  Where a key occurs on several rows, their normalised
-    texts decide too, and of repeated rows with the same text the longest stays.
-    """
-    per_key = found.groupBy(F.col(key).alias("_key")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count_if(~F.col("kept")).alias("_lost")
-    )
-    per_key = checkpointed(per_key.where("_rows > 1 or _lost > 0"))
-    touched = broadcast_if_small(per_key.select("_key"))
-    out = df.join(touched, same(key, "_key"), "left_anti")
-    several = per_key.where("_rows > 1").select(F.col("_key").alias("_of"))
-    if several.isEmpty():
-        return out
-    sha = F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\t-\r]+", ""), 256)
-    winners = found.where("kept").select(F.col(key).alias("_key"), "text_sha256").distinct()
-    winners = winners.join(several, same("_key", "_of"), "left_semi")
-    mixed = df.withColumn("_sha", sha).join(
-        winners, same(key, "_key") & (F.col("_sha") == F.col("text_sha256")), "left_semi"
-    )
-    longest = F.max_by(F.struct(*df.columns), F.length(F.coalesce(text, F.lit(""))))
-    again = mixed.groupBy(F.col(key).alias("_key"), "_sha").agg(longest.alias("_kept"))
-    return out.unionByName(again.select("_kept.*"))
+def keep_first(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``df`` that stay, whole: one of each group of equal texts."""
+    found = duplicates(df, key, text).withColumnRenamed("text_sha256", "_mark")
+    norm = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\t-\r]+", "")
+    return keep_rows(df, key, text, found, F.sha2(norm, 256))

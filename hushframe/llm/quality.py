@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import fields, map_rows
@@ -174,6 +176,43 @@ def fit(
     return Ordinal(grades, params[:SIZE].astype(np.float32), theta)
 
 
+def rating(
+    model: Ordinal | None, text: Column, least: float | None = None, enough: float = 0.5
+) -> Column:
+    """The rating of each whole text: ``struct<expected_grade, tail_prob, kept>``.
+
+    ``tail_prob`` is the probability of a grade of ``least`` or more (by default the
+    second lowest) and ``kept`` tells whether it reaches ``enough``.  Null texts count
+    as empty.  Without a model nothing is known: both are null and all rows are kept.
+    """
+    if model is None:
+        return F.struct(
+            F.lit(None).cast("double").alias("expected_grade"),
+            F.lit(None).cast("double").alias("tail_prob"),
+            F.lit(True).alias("kept"),
+        )
+    grades = np.array(model.grades)
+    cut = 1 if least is None else int(np.searchsorted(grades, least))
+    cut = min(max(cut, 1), len(grades) - 1)
+
+    @F.pandas_udf("expected_grade double, tail_prob double, kept boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        features = Features()
+        for texts in batches:
+            tails = np.array([model.tails(*features(t)) for t in texts])
+            tails = tails.reshape(len(texts), len(grades) - 1)
+            probs = tails[:, cut - 1]
+            yield pd.DataFrame(
+                {
+                    "expected_grade": grades[0] + tails @ np.diff(grades),
+                    "tail_prob": probs,
+                    "kept": probs >= enough,
+                }
+            )
+
+    return run(text)
+
+
 def rate_texts(
     df: DataFrame,
     model: Ordinal | None,
@@ -181,33 +220,19 @@ def rate_texts(
     text: str,
     least: float | None = None,
     enough: float = 0.5,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rate each whole text: ``key, *carry, expected_grade, tail_prob, kept``.
+    """``key, expected_grade, tail_prob, kept`` of each row, by ``rating``."""
+    rated = rating(model, F.col(text).cast("string"), least, enough)
+    return df.select(key, rated.alias("_rating")).select(key, "_rating.*")
 
-    ``tail_prob`` is the probability of a grade of ``least`` or more (by default the
-    second lowest) and ``kept`` tells whether it reaches ``enough``.  Null texts count
-    as empty.  Without a model nothing is known: both are null and all rows are kept.
-    """
 
-    def make():
-        features = Features()
-        if model is not None:
-            grades = np.array(model.grades)
-            cut = 1 if least is None else int(np.searchsorted(grades, least))
-            cut = min(max(cut, 1), len(grades) - 1)
-
-        def rate(keys, texts, *kept):
-            if model is None:
-                nothing = [None] * len(keys)
-                return keys, *kept, nothing, nothing, [True] * len(keys)
-            tails = [model.tails(*features(t)) for t in texts]
-            expected = [float(grades[0] + t @ np.diff(grades)) for t in tails]
-            probs = [float(t[cut - 1]) for t in tails]
-            return keys, *kept, expected, probs, [p >= enough for p in probs]
-
-        return rate
-
-    names = fields(df, key, *carry)
-    schema = f"{names}, expected_grade double, tail_prob double, kept boolean"
-    return map_rows(df, [key, text, *carry], schema, make)
+def keep_good(
+    df: DataFrame,
+    model: Ordinal | None,
+    text: str,
+    least: float | None = None,
+    enough: float = 0.5,
+) -> DataFrame:
+    """The rows of ``df`` that are kept, whole; texts are rated where they are."""
+    rated = rating(model, F.col(text).cast("string"), least, enough)
+    return df.select("*", rated.alias("_rating")).where("_rating.kept").select(*df.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from hushframe.llm.common import checkpointed, fields, map_rows
+from hushframe.llm.common import checkpointed, fields, keep_rows, map_rows
 from hushframe.llm.components import components
 
 SHINGLE = 4
@@ -254,6 +255,20 @@ def _near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= DISTANCE)
 
 
+def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, print, root, component_id``; rows of one class share the root."""
+    found = checkpointed(fingerprints(df, key, text))
+    nodes = checkpointed(found.groupBy("print").agg(F.min(key).alias("_least")))
+    roots = components(links(nodes)).withColumnRenamed("node", "print")
+    rooted = nodes.join(roots, "print", "left")
+    rooted = checkpointed(
+        rooted.select("print", "_least", F.coalesce("root", "print").alias("root"))
+    )
+    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    named = rooted.join(least, "root").select("print", "root", "component_id")
+    return found.join(named, "print").select(key, "print", "root", "component_id")
+
+
 def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, fingerprint, component_id`` of each row of ``df``.
 
@@ -264,12 +279,25 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     is the id of a component only if it has no other key.  Repeated rows, and all equal
     fingerprints, are one node.
     """
-    found = checkpointed(fingerprints(df, key, text))
-    nodes = checkpointed(found.groupBy("print").agg(F.min(key).alias("_least")))
-    roots = components(links(nodes))
-    rooted = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left")
-    rooted = checkpointed(rooted.select("print", "_least", F.coalesce("root", "print").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(least, "root").select("print", "component_id")
     digits = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
-    return found.join(named, "print").select(key, digits, "component_id")
+    return _classes(df, key, text).select(key, digits, "component_id")
+
+
+def keep_first(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``df`` that stay, whole: of each component the smallest key's.
+
+    A null key is the largest; of rows that share the key, the smallest fingerprint
+    stays, then the longest text.
+    """
+    found = _classes(df, key, text)
+    order = F.struct(F.col(key).isNull(), F.col(key).alias("id"), F.col("print").alias("print"))
+    best = found.groupBy("root").agg(F.min(order).alias("_best"))
+    kept = F.col(key).eqNullSafe(F.col("_best.id")) & (F.col("print") == F.col("_best.print"))
+    found = found.join(best, "root").select(key, kept.alias("kept"), F.col("print").alias("_mark"))
+
+    @F.pandas_udf("bigint")
+    def mark(texts: pd.Series) -> pd.Series:
+        found = [fingerprint(t.encode() if t else None) for t in texts]
+        return pd.Series(np.array(found, np.uint64).view(np.int64))
+
+    return keep_rows(df, key, text, found, mark(F.col(text).cast("string")))
