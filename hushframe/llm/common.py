@@ -89,6 +89,22 @@ def same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names like the stems that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem = f"_{stem}"
+        out.append(stem)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters are in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def keep_rows(df: DataFrame, key: str, text: str, found: DataFrame, mark: Column) -> DataFrame:
     """The rows of ``df`` that ``found`` keeps, with all their columns.
 
@@ -102,16 +118,18 @@ def keep_rows(df: DataFrame, key: str, text: str, found: DataFrame, mark: Column
         F.count(F.lit(1)).alias("_rows"), F.count_if(~F.col("kept")).alias("_lost")
     )
     per_key = checkpointed(per_key.where("_rows > 1 or _lost > 0"))
-    touched = broadcast_if_small(per_key.select("_key"))
-    out = df.join(touched, same(key, "_key"), "left_anti")
-    several = per_key.where("_rows > 1 and _lost < _rows").select(F.col("_key").alias("_of"))
+    id_, is_, winner, won = fresh(df, "_id", "_is", "_winner", "_won")
+    touched = broadcast_if_small(per_key.select(F.col("_key").alias(id_)))
+    out = df.join(touched, same(key, id_), "left_anti")
+    several = per_key.where("_rows > 1 and _lost < _rows").select(F.col("_key").alias(id_))
     if several.isEmpty():
         return out
     several = broadcast_if_small(several)
-    winners = found.where("kept").join(several, same("_key", "_of"), "left_semi").distinct()
-    rows = df.join(several, same(key, "_of"), "left_semi").withColumn("_is", mark)
-    rows = rows.join(winners, same(key, "_key") & (F.col("_is") == F.col("_mark")), "left_semi")
+    winners = found.where("kept").select(F.col("_key").alias(winner), F.col("_mark").alias(won))
+    winners = winners.join(several, same(winner, id_), "left_semi").distinct()
+    rows = df.join(several, same(key, id_), "left_semi").withColumn(is_, mark)
+    rows = rows.join(winners, same(key, winner) & (F.col(is_) == F.col(won)), "left_semi")
     body = F.coalesce(text, F.lit(""))
-    best = F.max_by(F.struct(*df.columns), F.struct(F.length(body), body))
-    again = rows.groupBy(F.col(key).alias("_key"), "_is").agg(best.alias("_best"))
-    return out.unionByName(again.select("_best.*"))
+    best = F.max_by(F.struct(*own_columns(df)), F.struct(F.length(body), body))
+    again = rows.groupBy(F.col(key).alias(winner), is_).agg(best.alias(won))
+    return out.unionByName(again.select(f"{won}.*"))

@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hushframe.llm.common import broadcast_if_small, checkpointed, same
+from hushframe.llm.common import (
+    broadcast_if_small,
+    checkpointed,
+    fresh,
+    own_columns,
+    same,
+)
 
 #: Most times that a source's text is taken.
 CAP = 3
@@ -78,15 +84,15 @@ def mix(
     back by broadcast if they are few, else by a join that adaptive execution splits.
     Null texts have size 0; a source without words has the rate 0.
     """
-    sizes = checkpointed(
-        df.select(F.col(key).alias("_key"), F.col(source).alias("_of"), words(F.col(text)).alias("size"))
-    )
+    size = words(F.col(text)).alias("size")
+    sizes = checkpointed(df.select(F.col(key).alias("_key"), F.col(source).alias("_of"), size))
     per_source = sizes.groupBy(F.col("_of").alias("source")).agg(
         F.sum("size").alias("source_size")
     )
     aims = broadcast_if_small(targets(per_source, weights, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor("rate") + F.when(_draw(seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    part = F.col("rate") - F.floor("rate")
+    copies = F.floor("rate") + F.when(_draw(F.col("_key"), seed) < part, 1).otherwise(0)
     return (
         sizes.join(aims, same("_of", "source"), "left")
         .withColumn("rate", rate)
@@ -102,9 +108,9 @@ def mix(
     )
 
 
-def _draw(seed: int) -> Column:
+def _draw(key: Column, seed: int) -> Column:
     """A number from 0 to below 1 from 52 bits of the MD5 of seed and key."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_key").cast("string"), F.lit("")))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
     digits = F.substring(F.md5(name.cast("binary")), 1, 13)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
@@ -128,10 +134,10 @@ def repeat_rows(
     )
     aims = targets(counted, weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = broadcast_if_small(aims.select(F.col("source").alias("_of"), rate.alias("_rate")))
-    name = F.col(key).alias("_key")
-    drawn = df.select("*", name).join(rates, same(source, "_of"))
-    extra = F.when(_draw(seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    times = (F.floor("_rate") + extra).cast("int")
-    each = F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")
-    return drawn.select(*(F.col(c) for c in df.columns), each).drop("_copy")
+    of, often, copy = fresh(df, "_of", "_rate", "_copy")
+    rates = broadcast_if_small(aims.select(F.col("source").alias(of), rate.alias(often)))
+    whole = F.floor(often)
+    extra = F.when(_draw(F.col(key), seed) < F.col(often) - whole, 1).otherwise(0)
+    each = F.explode(F.array_repeat(F.lit(0), (whole + extra).cast("int"))).alias(copy)
+    drawn = df.join(rates, same(source, of))
+    return drawn.select(*own_columns(df), each).drop(copy)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import fields, map_rows
+from hushframe.llm.common import fields, fresh, map_rows, own_columns
 
 BITS = 16
 SIZE = 1 << BITS
@@ -235,4 +235,6 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``df`` that are kept, whole; texts are rated where they are."""
     rated = rating(model, F.col(text).cast("string"), least, enough)
-    return df.select("*", rated.alias("_rating")).where("_rating.kept").select(*df.columns)
+    (name,) = fresh(df, "_rating")
+    kept = df.select("*", rated.alias(name)).where(f"{name}.kept")
+    return kept.select(*own_columns(df))

@@ -1,0 +1,387 @@
+"""Deduplication, mixing, search, pieces, quality and the pipeline, against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from hushframe.llm import (
+    common,
+    components,
+    exact_dedup,
+    golomb,
+    mixing,
+    piece_sampling,
+    quality,
+    simhash,
+    topk,
+)
+from hushframe.llm.queries import graded, queries
+
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+CLASH = ("_key", "_id", "_is", "_row", "_block", "kept", "rate", "source_size", "print", "_rating")
+
+
+def docs(spark, rows, clash=False):
+    """Documents from (doc_id, text) or (doc_id, text, source)."""
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", 0) for r in rows]
+    df = spark.createDataFrame(full, DOC)
+    for name in CLASH if clash else ():
+        df = df.withColumn(name, F.lit(name))
+    return df
+
+
+def classes(pairs, ids):
+    """Smallest connected id of each id."""
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+# -- exact duplicates -------------------------------------------------------
+def test_golomb_round_trip():
+    rng = np.random.default_rng(3)
+    lists = [[], [0], [7], [0, 1, 2], [(1 << 48) - 1], range(5000)]
+    lists += [np.unique(rng.integers(0, 1 << b, n)) for b in (6, 20, 48) for n in (1, 50, 4000)]
+    for values in lists:
+        values = np.array(values, np.int64)
+        assert golomb.decode(*golomb.encode(values)).tolist() == values.tolist()
+
+
+def plain_duplicates(rows):
+    groups = collections.defaultdict(list)
+    for i, text, *_ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), i is None, i))
+    out = []
+    for norm, members in groups.items():
+        sha = hashlib.sha256(norm.encode()).hexdigest()
+        best = min(members, key=lambda m: m[:2] + (m[2] or 0,))
+        kept = False
+        for m in members:
+            out.append((m[2], best[2], len(members), m == best and not kept, sha))
+            kept |= m == best
+    return sorted(out, key=str)
+
+
+ROWS = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, "a b"), (5, None), (6, ""), (7, " \n"), (8, "é x"),
+        (9, "x"), (9, "x"), (9, "x y"), (None, "x"), (None, "z"), (10, "w" * 300_000),
+        (11, "w" * 300_000 + " ")]
+
+
+def test_exact_duplicates(spark):
+    got = exact_dedup.duplicates(docs(spark, ROWS, clash=True), "doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == plain_duplicates(ROWS)
+    assert exact_dedup.duplicates(docs(spark, []), "doc_id", "text").count() == 0
+
+
+def test_exact_duplicates_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rng = random.Random(2)
+    rows = [(i, rng.choice("abc") * rng.randint(1, 40) if i % 3 else "hot") for i in range(900)]
+    df = docs(spark, rows).repartition(7)
+    got = exact_dedup.duplicates(df, "doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == plain_duplicates(rows)
+
+
+def test_exact_keep_first(spark):
+    df = docs(spark, ROWS, clash=True)
+    kept = exact_dedup.keep_first(df, "doc_id", "text")
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    want = {3: "a  b", 4: "a b", 7: " \n", 8: "é x", 11: "w" * 300_000 + " "}
+    assert got == sorted([*want.items(), (9, "x"), (9, "x y"), (None, "z")], key=str)
+
+
+# -- near duplicates --------------------------------------------------------
+def plain_fingerprint(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_pairs(prints):
+    v = np.array(prints, np.uint64)
+    return [
+        (i, int(j))
+        for i in range(len(v))
+        for j in np.flatnonzero(np.bitwise_count(v ^ v[i]) <= simhash.DISTANCE)
+    ]
+
+
+def test_near_duplicates_query(spark, sf_dir):
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in queries()["op9_near_duplicates"](spark, sf_dir).collect()}
+    ids = sorted(texts)
+    prints = [plain_fingerprint(texts[i]) for i in ids]
+    root = classes(near_pairs(prints), range(len(ids)))
+    assert len(got) == len(ids)
+    for n, i in enumerate(ids):
+        assert got[i]["fingerprint"] == f"{prints[n]:016x}"
+        assert got[i]["component_id"] == ids[root[n]]
+
+
+@pytest.mark.parametrize("bucket", [4096, 16])
+def test_links_lose_nothing(spark, monkeypatch, bucket):
+    """Clusters, a long chain and noise; small buckets take the way of dealt chunks."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(bucket)
+    prints = {0, 1, (1 << 64) - 1}
+    for center in (0, rng.getrandbits(64), rng.getrandbits(64)):
+        for _ in range(150):
+            flips = rng.sample(range(64), rng.randint(1, 4))
+            prints.add(center ^ sum(1 << f for f in flips))
+    at = rng.getrandbits(64)
+    for _ in range(60):
+        at ^= sum(1 << f for f in rng.sample(range(64), 4))
+        prints.add(at)
+    prints |= {rng.getrandbits(64) for _ in range(300)}
+    prints = sorted(prints)
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "print bigint")
+    edges = simhash.links(df)
+    roots = dict(components.components(edges).collect())
+    got = collections.defaultdict(set)
+    for n, x in enumerate(signed):
+        got[roots.get(x, x)].add(n)
+    want = collections.defaultdict(set)
+    for n, r in classes(near_pairs(prints), range(len(prints))).items():
+        want[r].add(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_near_duplicate_edges(spark):
+    text = "one two three four five six seven eight nine ten " * 30
+    rows = [(5, text), (5, text), (3, text + "x"), (None, text), (8, None), (9, " "), (10, "A b"),
+            (11, "a B"), (None, "other words entirely"), (12, "q " * 100_000)]
+    df = docs(spark, rows, clash=True)
+    got = simhash.near_duplicates(df, "doc_id", "text").collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r["component_id"]].add(r["doc_id"])
+    assert by[8] == {8, 9} and by[10] == {10, 11} and by[None] == {None} and by[12] == {12}
+    assert len(got) == len(rows) and {r["fingerprint"] for r in got if r["doc_id"] == 8} == {"0" * 16}
+    kept = simhash.keep_first(df, "doc_id", "text")
+    assert kept.columns == df.columns
+    near = 3 if by[3] >= {3, 5} else 5
+    ids = collections.Counter(r["doc_id"] for r in kept.collect())
+    assert ids[near] == ids[8] == ids[10] == ids[12] == ids[None] == 1 and max(ids.values()) == 1
+    assert simhash.near_duplicates(docs(spark, []), "doc_id", "text").count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    df = spark.range(600).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    extra = spark.createDataFrame([(5000, 5000), (None, 1), (7000, 7001)], "a bigint, b bigint")
+    roots = components.components(df.union(extra)).collect()
+    assert len({r["root"] for r in roots if r["node"] <= 600}) == 1
+    assert len(roots) == 603 and len({r["root"] for r in roots}) == 2
+
+
+# -- mixing -----------------------------------------------------------------
+@pytest.mark.parametrize("seed", range(6))
+def test_targets_fill_up_to_the_caps(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i}": rng.choice([0, 1, 10, 1000, 50_000]) for i in range(rng.randint(1, 9))}
+    sizes[None] = 40
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    names = [*sorted(k for k in sizes if k is not None), None]
+    weight = {k: 1 + i % 3 for i, k in enumerate(names)}
+    free, target, left = set(names), {}, sum(sizes.values())
+    while True:
+        level = left / max(1, sum(weight[k] for k in free))
+        over = {k for k in free if weight[k] * level > 3 * sizes[k]}
+        if not over:
+            break
+        target |= {k: 3 * sizes[k] for k in over}
+        left -= sum(3 * sizes[k] for k in over)
+        free -= over
+    target |= {k: weight[k] * level for k in free}
+    assert got == pytest.approx(target)
+
+
+def test_mix(spark):
+    rows = [(i, "w " * (i % 7), "big" if i % 3 else "small") for i in range(3000)]
+    rows += [(1, None, None), (None, "a b c", None), (None, "a b c", None), (7, "x " * 200_000, "long")]
+    df = docs(spark, rows, clash=True)
+    got = mixing.mix(df, "doc_id", "text", "source").collect()
+    assert len(got) == len(rows)
+    assert all(r["taken"] == r["copies"] * r["size"] and r["copies"] <= 3 for r in got)
+    assert sorted(map(tuple, got), key=str) == sorted(
+        map(tuple, mixing.mix(df.repartition(5), "doc_id", "text", "source").collect()), key=str
+    )
+    repeated = mixing.repeat_rows(df, "doc_id", "text", "source")
+    assert repeated.columns == df.columns
+    assert repeated.count() == sum(r["copies"] for r in got)
+    assert mixing.mix(docs(spark, []), "doc_id", "text", "source").count() == 0
+    assert mixing.repeat_rows(docs(spark, [(1, None), (2, " ")]), "doc_id", "text", "source").count() == 0
+
+
+def test_mix_is_native(spark, sf_dir):
+    plan = queries()["op8_mix"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# -- top-k ------------------------------------------------------------------
+def plain_top_k(rows, k=5):
+    out = []
+    usable = [(i, v) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in usable]
+    for n, (i, v) in enumerate(whole):
+        if i is None or i % 50:
+            continue
+        scored = [(-int(v @ w), j is None, j) for m, (j, w) in enumerate(whole) if m != n and len(w) == len(v)]
+        scored.sort(key=lambda s: s[:2] + (s[2] or 0,))
+        out += [(i, r + 1, s[2], -s[0]) for r, s in enumerate(scored[:k])]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rows_, queries_", [(1 << 15, 256), (64, 3)])
+def test_top_k(spark, monkeypatch, rows_, queries_):
+    monkeypatch.setattr(topk, "ROWS", rows_)
+    monkeypatch.setattr(topk, "QUERIES", queries_)
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(16)]) for i in range(700)]
+    rows += [(i, [0.5] * 16) for i in range(700, 900)]  # ties
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (None, rows[3][1]), (50, None), (100, [None] * 16),
+             (150, [float("nan")] * 16), (200, [float("inf")] * 16), (250, [1.0, 2.0]), (251, [3.0, -1.0]),
+             (300, []), (350, [0.0] * 16), (400, [-0.7] * 16), (450, [1e30] * 16)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("dim", F.lit("x"))
+    got = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).collect()
+    plain = [(i, v and [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows[:-1]]
+    assert sorted(map(tuple, got), key=str) == plain_top_k(plain)
+    empty = df.where("false")
+    assert topk.top_k(empty, "vec_id", "embedding", F.col("vec_id") % 50 == 0).count() == 0
+
+
+# -- pieces -----------------------------------------------------------------
+def test_pieces_round_trip_and_repeat(spark):
+    texts = [None, "", " ", "  two  spaces\n\nand lines\t", "▁ sign ▁▁", "日本語 😀 é́ \x00 ", "word" * 20_000,
+             "the same words again " * 2000]
+    df = docs(spark, [*enumerate(texts), (7, texts[7]), (None, "null key")]).withColumn("ids", F.lit(1))
+    coded = piece_sampling.encode(df, "doc_id", "text", carry=("text",))
+    rows = piece_sampling.decode(coded, "ids", "decoded").collect()
+    assert len(rows) == len(texts) + 2
+    for r in rows:
+        assert r["decoded"] == (r["text"] or "") and r["n_pieces"] == len(r["ids"])
+    again = piece_sampling.encode(df.repartition(3), "doc_id", "text").collect()
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in again) == sorted(
+        (str(r["doc_id"]), r["ids"]) for r in rows
+    )
+    other = piece_sampling.encode(df, "doc_id", "text", seed=1).where("doc_id = 7").first()
+    assert other["ids"] != next(r["ids"] for r in rows if r["doc_id"] == 7)
+    assert piece_sampling.encode(docs(spark, []), "doc_id", "text").count() == 0
+
+
+def test_pieces_follow_the_lattice_distribution():
+    """Frequencies of sampled segmentations against all paths of a small lattice."""
+    sampler = piece_sampling.Sampler(piece_sampling.read_model(piece_sampling.MODEL))
+    weight = sampler.vocabulary.weight
+    chunk = "▁theon"
+
+    def paths(at):
+        if at == len(chunk):
+            return [((), 0.0)]
+        found = []
+        for end in range(at + 1, len(chunk) + 1):
+            if chunk[at:end] in weight:
+                piece, w = weight[chunk[at:end]]
+                found += [((piece, *p), w + rest) for p, rest in paths(end)]
+        return found
+
+    every = paths(0)
+    total = sum(np.exp(w) for _, w in every)
+    n = 20_000
+    seeds = np.arange(n, dtype=np.uint64) * np.uint64(7919)
+    drawn = collections.Counter(tuple(x.tolist()) for x in sampler(["theon"] * n, seeds))
+    assert set(drawn) <= {p for p, _ in every}
+    for p, w in every:
+        assert abs(drawn[p] / n - np.exp(w) / total) < 0.015
+
+
+# -- quality ----------------------------------------------------------------
+def test_quality_separates_held_out_labels(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest table has too few labels
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    model = quality.fit(d, labels.where(~held), "doc_id", "text", "grade")
+    assert model.grades == (0.0, 1.0, 2.0) and model.thresholds[0] < model.thresholds[1]
+    rated = quality.rate_texts(d, model, "doc_id", "text", least=1).join(labels.where(held), "doc_id")
+    rows = rated.collect()
+    assert sum(r["kept"] == (r["grade"] >= 1) for r in rows) / len(rows) >= 0.95
+
+
+def test_quality_gradient_orders_three_grades(spark):
+    rng = random.Random(0)
+    rows, grades = [], []
+    for i in range(300):
+        g = i % 3
+        rows.append((i, " ".join(rng.choices([("bad", "mid", "good")[g], "common", "word"], k=30))))
+        grades.append((i, g))
+    ratings = spark.createDataFrame([*grades, (None, 1), (5, None), (0, 2)], "doc_id bigint, grade int")
+    model = quality.fit(docs(spark, rows), ratings, "doc_id", "text", "grade")
+    got = quality.rate_texts(docs(spark, rows), model, "doc_id", "text").collect()
+    assert sum(round(r["expected_grade"]) == r["doc_id"] % 3 for r in got) >= 290
+
+
+def test_quality_edges(spark):
+    rows = [(1, None), (2, ""), (None, "x"), (1, "y " * 200_000)]
+    none = spark.createDataFrame([], "doc_id bigint, grade int")
+    df = docs(spark, rows, clash=True)
+    assert quality.fit(df, none, "doc_id", "text", "grade") is None
+    kept = quality.keep_good(df, None, "text")
+    assert kept.count() == 4 and kept.columns == df.columns
+    two = spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, grade int")
+    model = quality.fit(df, two, "doc_id", "text", "grade")
+    assert quality.rate_texts(df, model, "doc_id", "text").count() == 4
+    assert quality.keep_good(df, model, "text").columns == df.columns
+    assert quality.rate_texts(df.where("false"), model, "doc_id", "text").count() == 0
+
+
+# -- pipeline ---------------------------------------------------------------
+def test_pipeline_stages(spark, sf_dir):
+    """Each stage against a plain definition over what the stage before kept."""
+    from hushframe.sources.tables import stage
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, results = d.columns, [d]
+    for _, function in corpus_pipeline.STAGES:
+        results.append(stage(function(spark, results[-1], sf_dir)))
+    assert all(r.columns == columns for r in results[:-1])
+    start, good, exact, near, mixed = ({r["doc_id"]: r for r in x.collect()} for x in results[:-1])
+    labels = graded(spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()
+    assert all((r["doc_id"] in good) == (r["grade"] >= 1) for r in labels if r["doc_id"] in start)
+    rows = [(i, r["text"]) for i, r in good.items()]
+    assert set(exact) == {r[0] for r in plain_duplicates(rows) if r[3]}
+    ids = sorted(exact)
+    root = classes(near_pairs([plain_fingerprint(exact[i]["text"]) for i in ids]), range(len(ids)))
+    assert set(near) == {ids[r] for r in root.values()}
+    copies = mixing.mix(results[3], "doc_id", "text", "source").collect()
+    counts = collections.Counter(r["doc_id"] for r in results[4].collect())
+    assert counts == {r["doc_id"]: r["copies"] for r in copies if r["copies"]}
+    assert results[5].count() == sum(counts.values())
+    decoded = piece_sampling.decode(results[5], "ids", "text").collect()
+    assert all(r["text"] == mixed[r["doc_id"]]["text"] for r in decoded)
+
+
+def test_pipeline_runs(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "source", "n_pieces", "ids"]
