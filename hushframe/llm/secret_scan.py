@@ -28,6 +28,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODES = np.full(128, -1, np.int64)
 _CODES[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
 START = len(ALPHABET)
+LEAN = 8
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 
@@ -65,8 +66,9 @@ def fit(samples: DataFrame, value: str, random: str) -> Markov:
 
     ``random`` is true for random strings and false for ordinary ones.  Tasks count
     transitions in a matrix of fixed size; the sums that reach the driver have at most
-    two rows per pair of characters.  Counts start at one half.  Null values or labels
-    and strings with other characters teach nothing.
+    two rows per pair of characters.  Rare transitions lean on the class's share of the
+    character, with the weight of ``LEAN`` counts, and shares start at one half.  Null
+    values or labels and strings with other characters teach nothing.
     """
     n = START + 1
 
@@ -84,11 +86,13 @@ def fit(samples: DataFrame, value: str, random: str) -> Markov:
         return count
 
     counted = map_rows(samples, [value, random], "pair bigint, n bigint", make)
-    sums = np.full(2 * n * n, 0.5)
+    sums = np.zeros(2 * n * n)
     for row in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect():
         sums[row["pair"]] += row["n"]
     sums = sums.reshape(2, n, n)[:, :, :START]
-    logs = np.log(sums / sums.sum(2, keepdims=True))
+    share = sums.sum(1, keepdims=True) + 0.5
+    share /= share.sum(2, keepdims=True)
+    logs = np.log((sums + LEAN * share) / (sums.sum(2, keepdims=True) + LEAN))
     return Markov(logs[1] - logs[0])
 
 
