@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,6 @@ MIN_PHRASE = 2
 # Letters and digits, with inner apostrophes and hyphens; possessive, so that a
 # long chain needs no recursion.
 WORD = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
-_WORD = regex.compile(WORD)
 INLINE_PHRASES = 5000
 SALTS = 16
 
@@ -111,12 +109,19 @@ def _expand(text: Column, entries: Column) -> Column:
 
 
 def usable(dictionary: DataFrame) -> DataFrame:
-    """Distinct entries of a known type that are long enough."""
+    """Distinct entries of a known type that are long enough and have words.
+
+    ``run`` is the phrase's words joined by one space, by which it is looked for: signs
+    between words (``St. Louis``) are then those of the phrase, as only its occurrences
+    become spans.
+    """
     return (
         dictionary.where(F.col("entity_type").isin(*SCORES))
         .where(F.length("phrase") >= MIN_PHRASE)
         .select("phrase", "entity_type")
         .distinct()
+        .withColumn("run", F.array_join(words(F.col("phrase")), " "))
+        .where(F.col("run") != "")
     )
 
 
@@ -146,9 +151,9 @@ def dictionary_matches(
         return df.withColumn(out, empty_spans())
     searched = (F.col(lang) == LANGUAGE) & ~is_blank(F.col(text))
     if len(head) <= inline_phrases:
-        longest = max(len(_WORD.findall(r["phrase"])) for r in head)
+        longest = max(r["run"].count(" ") + 1 for r in head)
     else:
-        longest = entries.agg(F.max(F.size(words(F.col("phrase"))))).first()[0]
+        longest = entries.agg(F.max(F.size(F.split("run", " ")))).first()[0]
     grams = F.when(searched, ngrams(words(F.col(text)), max(1, longest)))
     if len(head) <= inline_phrases:
         return _inline(df, head, grams, text, out)
@@ -156,17 +161,17 @@ def dictionary_matches(
 
 
 def _inline(df, entries, grams, text, out) -> DataFrame:
-    listed = sorted((r["phrase"], r["entity_type"]) for r in entries)
+    listed = sorted((r["phrase"], r["entity_type"], r["run"]) for r in entries)
     known = F.from_json(
-        F.lit(json.dumps([{"phrase": p, "entity_type": t} for p, t in listed])),
-        "array<struct<phrase:string,entity_type:string>>",
+        F.lit(json.dumps([{"phrase": p, "entity_type": t, "run": r} for p, t, r in listed])),
+        "array<struct<phrase:string,entity_type:string,run:string>>",
     )
-    phrases = sorted({p for p, _ in listed})
-    found = F.filter(F.coalesce(F.col("__grams"), F.array()), lambda g: g.isin(phrases))
+    runs = sorted({r for _, _, r in listed})
+    found = F.filter(F.coalesce(F.col("__grams"), F.array()), lambda g: g.isin(runs))
     picked = F.when(
         F.size("__found") > 0,
-        F.filter(known, lambda k: F.array_contains(F.col("__found"), k["phrase"])),
-    ).otherwise(F.array().cast("array<struct<phrase:string,entity_type:string>>"))
+        F.filter(known, lambda k: F.array_contains(F.col("__found"), k["run"])),
+    ).otherwise(F.array().cast("array<struct<phrase:string,entity_type:string,run:string>>"))
     return (
         df.withColumn("__grams", grams)
         .withColumn("__found", found)
@@ -177,30 +182,28 @@ def _inline(df, entries, grams, text, out) -> DataFrame:
 
 
 def _joined(df, entries, grams, keys, text, out) -> DataFrame:
-    keys = list(keys)
-    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
-    candidates = df.select(
-        *keys, salt.alias("__salt"), F.explode(grams).alias("phrase")
-    )
+    """The same by a join on the word runs.
+
+    Messages meet their phrases again by the hash of keys and text, so that missing
+    keys are no loss and messages that share a key do not get each other's phrases.
+    """
+    row = F.xxhash64(*keys, text)
+    named = df.withColumn("__row", row)
+    salt = F.pmod(F.col("__row"), F.lit(SALTS)).cast("int")
+    candidates = named.select(
+        "__row", salt.alias("__salt"), F.explode(grams).alias("run")
+    ).distinct()
     salted = entries.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
     picked = (
-        candidates.join(salted, ["phrase", "__salt"])
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("phrase", "entity_type")).alias("__picked"))
+        candidates.join(salted, ["run", "__salt"])
+        .groupBy("__row")
+        .agg(F.array_sort(F.collect_list(F.struct("phrase", "entity_type"))).alias("__picked"))
     )
+    nothing = F.array().cast("array<struct<phrase:string,entity_type:string>>")
     return (
-        df.join(picked, keys, "left")
-        .withColumn(
-            out,
-            _expand(
-                F.col(text),
-                F.coalesce(
-                    F.col("__picked"),
-                    F.array().cast("array<struct<phrase:string,entity_type:string>>"),
-                ),
-            ),
-        )
-        .drop("__picked")
+        named.join(picked, "__row", "left")
+        .withColumn(out, _expand(F.col(text), F.coalesce(F.col("__picked"), nothing)))
+        .drop("__picked", "__row")
     )

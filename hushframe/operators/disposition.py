@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from hushframe.functions.text import is_blank, scrubbed_notice
 
 
-def outcome(decision: Column, action: Column, text: Column) -> Column:
+def outcome(
+    decision: Column, action: Column, blank: Column, failed: Column | None = None
+) -> Column:
     """``sent_raw``, ``sent_scrubbed`` or ``held``.
 
-    A blank text is sent without a look at the decision.  A warning follows the
+    A message that could not be analysed is held, whatever the decision or action.  A
+    blank text is sent without a look at the decision.  A warning follows the
     user's action; a blocked message can only be scrubbed or edited.  Whatever is
     not released is held.
     """
@@ -23,25 +26,42 @@ def outcome(decision: Column, action: Column, text: Column) -> Column:
     passes = decision.isin("allow", "notify") | (
         (decision == "warn") & (action == "send")
     )
+    failed = F.lit(False) if failed is None else F.coalesce(failed, F.lit(True))
     return (
-        F.when(is_blank(text), F.lit("sent_raw"))
+        F.when(failed, F.lit("held"))
+        .when(blank, F.lit("sent_raw"))
         .when(scrubs, F.lit("sent_scrubbed"))
         .when(passes, F.lit("sent_raw"))
         .otherwise(F.lit("held"))
     )
 
 
+def one_action(actions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One action per message: where a message has several different ones, none counts."""
+    return actions.groupBy(*keys).agg(
+        F.when(F.min("action") == F.max("action"), F.min("action")).alias("action")
+    )
+
+
 def dispose(
     analysed: DataFrame, actions: DataFrame | None, keys: Sequence[str] = ("scope_id", "seq")
 ) -> DataFrame:
-    """Add ``action`` and ``outcome``; ``actions`` is ``(keys, action)``."""
+    """Add ``n_detections``, ``action`` and ``outcome``; ``actions`` is ``(keys, action)``.
+
+    What the outcome needs of text and detections is worked out before the join, so they
+    are not shuffled where only the outcome is asked for.
+    """
+    flagged = analysed.withColumn("n_detections", F.size("detections")).withColumn(
+        "__blank", is_blank(F.col("text"))
+    )
     if actions is None:
-        joined = analysed.withColumn("action", F.lit(None).cast("string"))
+        joined = flagged.withColumn("action", F.lit(None).cast("string"))
     else:
-        joined = analysed.join(actions.select(*keys, "action"), list(keys), "left")
+        joined = flagged.join(one_action(actions, keys), list(keys), "left")
     return joined.withColumn(
-        "outcome", outcome(F.col("decision"), F.col("action"), F.col("text"))
-    )
+        "outcome",
+        outcome(F.col("decision"), F.col("action"), F.col("__blank"), F.col("failed")),
+    ).drop("__blank")
 
 
 def offered_actions(decision: Column, tier: Column) -> Column:
@@ -79,7 +99,7 @@ def entity_counts(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def scrub_count(disposed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Spans in scrubbed messages: occurrences, not distinct values."""
-    scrubbed = F.when(F.col("outcome") == "sent_scrubbed", F.size("detections"))
+    scrubbed = F.when(F.col("outcome") == "sent_scrubbed", F.col("n_detections"))
     return disposed.groupBy(*by).agg(
         F.coalesce(F.sum(scrubbed), F.lit(0)).cast("bigint").alias("scrub_count")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +44,15 @@ def normalise_lang(code: Column, default: str = DEFAULT_LANG) -> Column:
     return F.when(short.isin(*SUPPORTED), short).otherwise(F.lit(default))
 
 
+def _padded(text: Column) -> Column:
+    """The lower-case letters, words parted by a space, with a space at both ends."""
+    letters = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+    return F.concat(F.lit(" "), F.trim(letters), F.lit(" "))
+
+
 def trigrams(text: Column) -> Column:
     """All character trigrams of the lower-case letters, words parted by a space."""
-    letters = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
-    padded = F.concat(F.lit(" "), F.trim(letters), F.lit(" "))
-    return F.regexp_extract_all(padded, F.lit("(?=(...))"), F.lit(1))
+    return F.regexp_extract_all(_padded(text), F.lit("(?=(...))"), F.lit(1))
 
 
 def _top(counts: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
@@ -72,6 +78,63 @@ def language_profiles(
     return _top(counts, ["lang"], size)
 
 
+#: Most languages of the profiles: their ranks are sent with the tasks.
+MAX_PROFILES = 200
+
+
+def profile_ranks(profiles: DataFrame, size: int = PROFILE_SIZE) -> dict[str, list]:
+    """``{trigram: [(language, rank)]}`` of at most ``MAX_PROFILES`` profiles."""
+    rows = profiles.where(F.col("rank") <= size).select("trigram", "lang", "rank")
+    head = rows.limit(MAX_PROFILES * size + 1).collect()
+    if len(head) > MAX_PROFILES * size:
+        raise ValueError(f"profiles of more than {MAX_PROFILES} languages")
+    ranks: dict[str, list] = {}
+    for trigram, lang, rank in head:
+        ranks.setdefault(trigram, []).append((lang, rank))
+    return ranks
+
+
+def nearest_profile(padded: str, ranks: dict[str, list], size: int) -> str | None:
+    """The language with the smallest rank distance; None if it shares no trigram.
+
+    A trigram that a profile lacks costs ``size``, for all profiles alike, so the
+    smallest distance is the largest sum of ``size - difference`` over the shared ones.
+    """
+    counts = Counter(map("".join, zip(padded, padded[1:], padded[2:])))
+    best = sorted(counts, key=lambda t: (-counts[t], t))[:size]
+    scores: Counter = Counter()
+    for rank, trigram in enumerate(best, 1):
+        for lang, other in ranks.get(trigram, ()):
+            scores[lang] += size - abs(other - rank)
+    return min(scores, key=lambda k: (-scores[k], k), default=None)
+
+
+def detected_lang(
+    text: Column,
+    profiles: DataFrame,
+    default: str = DEFAULT_LANG,
+    size: int = PROFILE_SIZE,
+) -> Column:
+    """The language of each text, worked out in its row; null texts get the default.
+
+    Ranking needs a histogram per text, which no built-in function gives: exploded
+    trigrams are some twenty times the text and would have to be shuffled.  So letters
+    are prepared by built-in functions and ranked in Arrow batches.  Short texts get the
+    default, ties go to the smaller language code.
+    """
+    ranks = profile_ranks(profiles, size)
+
+    @F.pandas_udf("string")
+    def nearest(padded: pd.Series) -> pd.Series:
+        return padded.map(
+            lambda t: None if t is None else nearest_profile(t, ranks, size)
+        ).astype(object)
+
+    long_enough = F.length(trim_space(text)) >= MIN_LENGTH
+    code = nearest(F.when(long_enough, _padded(text)))
+    return F.coalesce(normalise_lang(code, default), F.lit(default))
+
+
 def identify_language(
     df: DataFrame,
     profiles: DataFrame,
@@ -80,64 +143,21 @@ def identify_language(
     default: str = DEFAULT_LANG,
     size: int = PROFILE_SIZE,
 ) -> DataFrame:
-    """``(keys, detected_lang)`` for every message.
-
-    The profile with the smallest rank distance wins, ties by language code.  A
-    trigram that a profile lacks costs ``size``, for all profiles alike, so the
-    smallest distance is the largest sum of ``size - difference`` over the shared
-    trigrams.  Short texts get the default.  The text moves once, to its key;
-    counting, ranking and scoring then need no further shuffle.
-    """
-    keys = list(keys)
-    body = trim_space(F.coalesce(F.col(text), F.lit("")))
-    long_enough = F.length(body) >= MIN_LENGTH
-    texts = df.select(*keys, text).repartition(*keys)
-    counts = (
-        texts.select(
-            *keys,
-            F.explode(F.when(long_enough, trigrams(F.col(text)))).alias("trigram"),
-        )
-        .groupBy(*keys, "trigram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = _top(counts, keys, size).select(*keys, "trigram", F.col("rank").alias("r"))
-    scored = (
-        ranked.join(profiles.select("lang", "trigram", "rank"), "trigram")
-        .groupBy(*keys, "lang")
-        .agg(F.sum(F.lit(size) - F.abs(F.col("rank") - F.col("r"))).alias("score"))
-        .groupBy(*keys)
-        .agg(F.min(F.struct(-F.col("score"), F.col("lang"))).alias("__best"))
-        .select(*keys, F.col("__best.lang").alias("__code"))
-    )
-    return (
-        df.select(*keys)
-        .join(scored, keys, "left")
-        .select(
-            *keys,
-            F.coalesce(normalise_lang(F.col("__code"), default), F.lit(default)).alias(
-                "detected_lang"
-            ),
-        )
-    )
+    """``(keys, detected_lang)`` for every message, a row per row and without a shuffle."""
+    found = detected_lang(F.col(text), profiles, default, size)
+    return df.select(*keys, found.alias("detected_lang"))
 
 
 def with_language(
     df: DataFrame,
     profiles: DataFrame | None = None,
-    keys: Sequence[str] = ("scope_id", "seq"),
     text: str = "text",
     lang: str = "lang",
     default: str = DEFAULT_LANG,
 ) -> DataFrame:
     """Fill a missing ``lang``: by identification with profiles, else the default."""
+    known = F.col(lang)
     if profiles is None:
-        return df.withColumn(lang, F.coalesce(F.col(lang), F.lit(default)))
-    keys = list(keys)
-    detected = identify_language(
-        df.where(F.col(lang).isNull()), profiles, keys, text, default
-    )
-    return (
-        df.join(detected, keys, "left")
-        .withColumn(lang, F.coalesce(F.col(lang), F.col("detected_lang"), F.lit(default)))
-        .drop("detected_lang")
-    )
+        return df.withColumn(lang, F.coalesce(known, F.lit(default)))
+    found = detected_lang(F.when(known.isNull(), F.col(text)), profiles, default)
+    return df.withColumn(lang, F.coalesce(known, found))

@@ -96,7 +96,7 @@ def number_values(values: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
         values,
         ["scope_id", "entity_type"],
         "first_seq",
-        ["first_start"],
+        ["first_start", "value"],
         F.lit(1),
         "idx",
         bits,
@@ -107,9 +107,11 @@ def token_vault(spans: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """The vault of a table of spans ``(scope_id, seq, entity_type, start, value)``.
 
     ``scope_id`` decides how far a token reaches: a document, a session, an epoch
-    of a session, or one constant for a whole corpus.
+    of a session, or one constant for a whole corpus.  Spans without scope or number
+    have no place in an order and get no token; scrubbing fails their messages.
     """
-    return number_values(first_seen(spans), bits)
+    placed = spans.where(F.col("scope_id").isNotNull() & F.col("seq").isNotNull())
+    return number_values(first_seen(placed), bits)
 
 
 def vault_append(vault: DataFrame, spans: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
@@ -118,6 +120,7 @@ def vault_append(vault: DataFrame, spans: DataFrame, bits: int = BLOCK_BITS) ->
     Known values keep their tokens; new ones continue their counter.
     """
     key = ["scope_id", "entity_type", "value"]
+    spans = spans.where(F.col("scope_id").isNotNull() & F.col("seq").isNotNull())
     fresh = first_seen(spans).join(vault.select(*key), key, "left_anti")
     last = vault.groupBy("scope_id", "entity_type").agg(F.max("idx").alias("__last"))
     return (
@@ -244,22 +247,16 @@ def restore_document(
     )
 
 
-def _apply_edits(
-    messages: DataFrame, edits: DataFrame, keys: Sequence[str], text: str, out: str
-) -> DataFrame:
-    collected = edits.groupBy(*keys).agg(
+def _collected(edits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return edits.groupBy(*keys).agg(
         F.collect_list(F.struct("start", "end", "put")).alias("__edits")
     )
-    return (
-        messages.join(collected, list(keys), "left")
-        .withColumn(
-            out,
-            F.when(F.col("__edits").isNull(), F.col(text)).otherwise(
-                splice(F.col(text), F.col("__edits"))
-            ),
-        )
-        .drop("__edits")
-    )
+
+
+def complete_vault(vault: DataFrame, spans: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """The vault with tokens for all values of ``spans``: known ones stay, new ones follow."""
+    columns = ["scope_id", "entity_type", "value", "token"]
+    return vault.select(*columns).unionByName(vault_append(vault, spans, bits).select(*columns))
 
 
 def scrub_session(
@@ -277,18 +274,31 @@ def scrub_session(
     in very many messages is a skewed join key with one vault row: adaptive
     execution splits it.  Give a staged ``df`` where detection is costly, as the
     spans are read for the vault, for the lookup and with the text.
+
+    Values that a given vault lacks get the tokens that ``vault_append`` gives them;
+    append those to the vault to restore them later.  Scrubbing fails closed: a message
+    whose edits are not exactly its spans has a NULL ``scrubbed``, never its text.  That
+    is so for messages without scope or number, and for all that share both with
+    another message with spans.
     """
     hits = hits_only(df, detections)
     spans = hits.select(
         "scope_id", "seq", F.explode(detections).alias("__d")
     ).select("scope_id", "seq", "__d.*")
-    if vault is None:
-        vault = token_vault(spans)
+    vault = token_vault(spans) if vault is None else complete_vault(vault, spans)
     edits = spans.join(
         vault.select("scope_id", "entity_type", "value", F.col("token").alias("put")),
         ["scope_id", "entity_type", "value"],
     )
-    return _apply_edits(hits, edits, ["scope_id", "seq"], text, out)
+    keys = ["scope_id", "seq"]
+    ranges = F.transform("__edits", lambda e: F.struct(e["start"], e["end"]))
+    wanted = F.transform(detections, lambda d: F.struct(d["start"], d["end"]))
+    exact = F.array_sort(ranges) == F.array_sort(wanted)
+    return (
+        hits.join(_collected(edits, keys), keys, "left")
+        .withColumn(out, F.when(exact, splice(F.col(text), F.col("__edits"))))
+        .drop("__edits")
+    )
 
 
 def restore_text(
@@ -317,7 +327,17 @@ def restore_text(
         vault.select("scope_id", "token", F.col("value").alias("put")),
         ["scope_id", "token"],
     )
-    return _apply_edits(df, edits, ["scope_id", "seq"], text, out)
+    keys = ["scope_id", "seq"]
+    return (
+        df.join(_collected(edits, keys), keys, "left")
+        .withColumn(
+            out,
+            F.when(F.col("__edits").isNull(), F.col(text)).otherwise(
+                splice(F.col(text), F.col("__edits"))
+            ),
+        )
+        .drop("__edits")
+    )
 
 
 def literal_tokens(df: DataFrame, text: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ def analyze(
     failed = F.col("text").isNull()
     if max_chars is not None:
         failed = failed | (F.length("text") > max_chars)
-    guarded = with_language(df, profiles, keys, default=default_lang).withColumn(
+    guarded = with_language(df, profiles, default=default_lang).withColumn(
         "failed", failed
     )
     body = guarded.withColumn("__body", F.when(~F.col("failed"), F.col("text")))

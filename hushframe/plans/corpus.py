@@ -32,6 +32,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_messages(docs, "source", "doc_id", "text", "lang")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations; their language is not known."""
+    scope = _join("conv-", F.col("conv_id").cast("string"))
+    return as_messages(table(spark, sf_dir, "conversations", "conv_id", "turn"), scope, "turn")
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SSN, IPv6, Ethereum and Bitcoin addresses, and emails inside passwords."""
     key = F.col("c_custkey")

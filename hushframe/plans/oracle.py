@@ -244,7 +244,7 @@ _ANALYSED = (
 _VAULT = """
 SELECT *, '<' || entity_type || '_' || idx::VARCHAR || '>' AS token FROM (
   SELECT *, row_number() OVER (PARTITION BY scope_id, entity_type
-      ORDER BY first_seq, first_start) AS idx
+      ORDER BY first_seq, first_start, value) AS idx
   FROM (SELECT scope_id, entity_type, value,
       min(seq) AS first_seq, arg_min("start", seq * 10000000 + "start") AS first_start
     FROM {0} GROUP BY 1, 2, 3))"""
@@ -317,20 +317,34 @@ SELECT lang, trigram, n, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, trigram) AS rank
   FROM (SELECT lang, trigram, count(*) AS n FROM ({_trigrams(DOCUMENTS, "lang")}) GROUP BY 1, 2))
 WHERE rank <= {PROFILE_SIZE}"""
-_IDENTIFIED = f"""
+def _identified(messages: str, long: str) -> str:
+    """The nearest profile of each of ``messages``; ``long`` are those that are long enough."""
+    return f"""
 WITH profiles AS MATERIALIZED ({_PROFILES}),
 ranked AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY scope_id, seq ORDER BY n DESC, trigram) AS r
   FROM (SELECT scope_id, seq, trigram, count(*) AS n
-    FROM ({_trigrams(DOCUMENTS + " WHERE length(text) >= 10", "scope_id, seq")}) GROUP BY 1, 2, 3))
+    FROM ({_trigrams(long, "scope_id, seq")}) GROUP BY 1, 2, 3))
   WHERE r <= {PROFILE_SIZE}),
 distance AS (SELECT d.scope_id, d.seq, l.lang,
     sum(coalesce(abs(p.rank - d.r), {PROFILE_SIZE})) AS far
   FROM ranked d CROSS JOIN (SELECT DISTINCT lang FROM profiles) l
   LEFT JOIN profiles p ON p.lang = l.lang AND p.trigram = d.trigram GROUP BY 1, 2, 3)
 SELECT m.scope_id, m.seq, coalesce(arg_min(lang, [far::VARCHAR.lpad(12, '0'), lang]), 'en') AS detected_lang
-FROM (SELECT source AS scope_id, doc_id AS seq FROM documents) m
+FROM (SELECT scope_id, seq FROM ({messages})) m
 LEFT JOIN distance USING (scope_id, seq) GROUP BY 1, 2"""
+
+
+_IDENTIFIED = _identified(DOCUMENTS, DOCUMENTS + " WHERE length(text) >= 10")
+_TEXTS = (
+    "SELECT source AS scope_id, doc_id AS seq, text FROM documents UNION ALL "
+    "SELECT 'conv-' || conv_id::VARCHAR, turn, text FROM conversations"
+)
+_LONG_TEXTS = f"SELECT * FROM ({_TEXTS}) WHERE length(trim(text)) >= 10"
+_TEXTS_WITH_LANG = (
+    f"SELECT scope_id, seq, text, detected_lang AS lang FROM ({_TEXTS}) t "
+    f"JOIN ({_identified(_TEXTS, _LONG_TEXTS)}) d USING (scope_id, seq)"
+)
 _NORMALISED = (
     "CASE WHEN s IN (" + ", ".join(map(_s, SUPPORTED)) + ") THEN s ELSE 'en' END"
 )
@@ -520,6 +534,50 @@ JOIN vault USING (scope_id) WHERE vault.token = t.value"""
     sql["disposition"] = (
         _with(CORPUS) + f"SELECT scope_id, seq, decision, action, outcome FROM ({_DISPOSED})"
     )
+    sql["send_pipeline"] = _with(
+        CORPUS,
+        disposed=_DISPOSED,
+        released="SELECT kept.* FROM kept SEMI JOIN (SELECT * FROM disposed"
+        " WHERE outcome = 'sent_scrubbed') USING (scope_id, seq)",
+        vault=_vault("released"),
+        spliced="SELECT released.*, token FROM released JOIN vault USING (scope_id, entity_type, value)",
+        done=_SCRUBBED,
+    ) + """
+SELECT scope_id, seq, outcome, CASE WHEN outcome <> 'held' THEN coalesce(scrubbed, text) END AS delivered
+FROM disposed LEFT JOIN done USING (scope_id, seq)"""
+    key = """CASE WHEN seq % 11 <> 0 THEN scope_id END AS scope_id,
+  CASE WHEN seq % 13 = 0 THEN NULL WHEN seq % 17 = 0 THEN seq + 1 ELSE seq END AS seq"""
+    sql["scrub_session_hard"] = _with(
+        CORPUS,
+        hits=f"SELECT scope_id || '#' || seq::VARCHAR AS id, seq AS row, text, {key}"
+        " FROM m SEMI JOIN kept USING (scope_id, seq)",
+        placed='SELECT hits.scope_id, hits.seq, entity_type, value, "start", "end", id, row FROM hits'
+        " JOIN kept ON hits.id = kept.scope_id || '#' || kept.seq::VARCHAR"
+        " WHERE hits.scope_id IS NOT NULL AND hits.seq IS NOT NULL",
+        earlier=_vault("(SELECT * FROM placed WHERE seq % 2 = 0)"),
+        fresh=_vault(
+            "(SELECT * FROM placed WHERE (scope_id, entity_type, value) NOT IN"
+            " (SELECT (scope_id, entity_type, value) FROM earlier))"
+        ),
+        last="SELECT scope_id, entity_type, max(idx) AS last FROM earlier GROUP BY 1, 2",
+        vault="SELECT scope_id, entity_type, value, token FROM earlier UNION ALL"
+        " SELECT scope_id, entity_type, value, '<' || entity_type || '_'"
+        " || (idx + coalesce(last, 0))::VARCHAR || '>' FROM fresh LEFT JOIN last USING (scope_id, entity_type)",
+        spliced='SELECT id, p."start", p."end", hits.text, token,'
+        ' coalesce(lag(p."end") OVER (PARTITION BY id ORDER BY p."start"), 0) AS prev'
+        " FROM placed p JOIN vault USING (scope_id, entity_type, value) JOIN hits USING (id)",
+        done="""SELECT id, string_agg(substr(text, prev + 1, "start" - prev) || token, '' ORDER BY "start")
+  || substr(any_value(text), max("end") + 1) AS scrubbed FROM spliced GROUP BY id""",
+        alone="SELECT scope_id, seq FROM hits GROUP BY 1, 2 HAVING count(*) = 1",
+    ) + """
+SELECT hits.scope_id, hits.seq, row, CASE WHEN alone.seq IS NOT NULL THEN scrubbed END AS scrubbed
+FROM hits LEFT JOIN done USING (id)
+LEFT JOIN alone ON alone.scope_id = hits.scope_id AND alone.seq = hits.seq"""
+    sql["analyze_with_language"] = _per_message(
+        "any_value(lang) AS lang, count(entity_type)::INTEGER AS n_detections, "
+        f"{_TOP} AS top_tier, {_message_decision(policy.DEFAULT_SETTINGS)} AS decision",
+        _TEXTS_WITH_LANG,
+    )
     open_docs = DOCUMENTS + " WHERE lang <> 'de' AND length(text) <= 5000"
     sql["fail_closed"] = _with(open_docs) + f"""
 SELECT scope_id, seq, FALSE AS failed, count(entity_type)::INTEGER AS n_detections, {_TOP} AS top_tier,

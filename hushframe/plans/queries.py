@@ -24,6 +24,7 @@ from hushframe.operators.language import (
 )
 from hushframe.plans import corpus as C
 from hushframe.plans.analyze import analyze
+from hushframe.plans.send import send
 from hushframe.sources.pages import visible_text
 from hushframe.sources.tables import as_messages, stage
 from hushframe.streaming.jobs import drain
@@ -388,6 +389,30 @@ def disposition_query(spark, sf_dir):
 _QUERIES["disposition"] = _QUERIES.pop("disposition_query")
 
 
+@query
+def send_pipeline(spark, sf_dir):
+    analysed = _analysed(spark, sf_dir, settings=OVERRIDES)
+    sent = send(analysed, C.actions(C.corpus(spark, sf_dir)))
+    return sent.select(*KEYS, "outcome", "delivered")
+
+
+@query
+def scrub_session_hard(spark, sf_dir):
+    """Keys that are missing or shared, and a vault that knows half of the values."""
+    n = F.col("seq")
+    hits = _hits(spark, sf_dir).select(
+        F.when(n % 11 != 0, F.col("scope_id")).alias("scope_id"),
+        F.when(n % 13 == 0, None).when(n % 17 == 0, n + 1).otherwise(n).alias("seq"),
+        n.alias("row"),
+        "text",
+        "detections",
+    )
+    hits = stage(hits)
+    old = explode_detections(hits, KEYS).where(F.col("seq") % 2 == 0)
+    vault = stage(tokens.token_vault(old))
+    return tokens.scrub_session(hits, vault).select(*KEYS, "row", "scrubbed")
+
+
 @query
 def fail_closed(spark, sf_dir):
     # German texts are taken as unreadable, texts over 5,000 characters as too long.
@@ -398,6 +423,18 @@ def fail_closed(spark, sf_dir):
     )
 
 
+@query
+def analyze_with_language(spark, sf_dir):
+    """All languages identified: those of documents are taken away, turns have none."""
+    docs = C.documents(spark, sf_dir)
+    profiles = language_profiles(docs)
+    turns = C.conversations(spark, sf_dir)
+    texts = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(turns)
+    return analyze(texts, profiles=profiles).select(
+        *KEYS, "lang", F.size("detections").alias("n_detections"), "top_tier", "decision"
+    )
+
+
 @query
 def fragment_scan(spark, sf_dir):
     lines = C.documents(spark, sf_dir).select(
@@ -434,7 +471,7 @@ def scrub_count(spark, sf_dir):
 @query
 def scrub_count_epochs(spark, sf_dir):
     numbers = tokens.epochs(C.corpus(spark, sf_dir), C.clears(spark, sf_dir))
-    counted = _disposed(spark, sf_dir).select(*KEYS, "detections", "outcome")
+    counted = _disposed(spark, sf_dir).select(*KEYS, "n_detections", "outcome")
     return disposition.scrub_count(counted.join(numbers, KEYS), ["scope_id", "epoch"])
 
 

@@ -106,15 +106,23 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def write_outcomes(df: DataFrame, sent_path: str, held_path: str, fmt: str = "parquet"):
-    """Write disposed messages: sent rows onward, held rows to quarantine only."""
+    """Write delivered messages: sent texts onward, held rows to quarantine only.
+
+    ``df`` comes from ``plans.send.deliver``.  Onward go keys, outcome and ``delivered``
+    only, never the text or the detections as they were; a row without delivered text
+    counts as held.
+    """
+    sent = (F.col("outcome") != "held") & F.col("delivered").isNotNull()
+    sent = F.coalesce(sent, F.lit(False))
     (
-        df.where(F.col("outcome") != "held")
+        df.where(sent)
+        .select("scope_id", "seq", "delivered", "outcome")
         .write.mode("append")
         .partitionBy("outcome")
         .format(fmt)
         .save(sent_path)
     )
-    df.where(F.col("outcome") == "held").write.mode("append").format(fmt).save(held_path)
+    df.where(~sent).drop("delivered").write.mode("append").format(fmt).save(held_path)
 
 
 def write_columns(df: DataFrame, path: str, columns: Sequence[str], fmt: str = "parquet"):

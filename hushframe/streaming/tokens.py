@@ -8,9 +8,11 @@ input arrives in the order of ``seq``.  A CLEAR event drops the state.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -46,12 +48,18 @@ def token_processor(ttl_ms: int | None = None) -> StatefulProcessor:
             last, epoch = self._last.get() if self._last.exists() else (0, 0)
             batch = pd.concat(list(rows), ignore_index=True)
             batch = batch.sort_values(["seq", "kind", "start"], kind="stable")
+            # one look at the state per value between two clears
+            part = (batch["kind"] == "~clear").cumsum()
+            batch = batch[~pd.DataFrame({"p": part, "k": batch["kind"], "v": batch["value"]}).duplicated()]
             fresh = []
             for row in batch.itertuples(index=False):
                 if row.kind == "~clear":
                     self._known.clear()
                     last, epoch = 0, epoch + 1
-                elif not self._known.containsKey((row.value,)):
+                elif self._known.containsKey((row.value,)):
+                    if ttl_ms:  # an entry's time counts from its last write
+                        self._known.updateValue((row.value,), self._known.getValue((row.value,)))
+                else:
                     last += 1
                     self._known.updateValue((row.value,), (last,))
                     token = f"<{entity_type}_{last}>"
@@ -78,27 +86,37 @@ def stream_to_vault(spans: DataFrame, vault_path: str, checkpoint: str):
 
     The same numbering as ``stream_tokens``, with the vault on shared storage in
     place of state: each micro-batch appends its new values by joins and block-wise
-    numbering, so one very large scope is spread over many tasks.  A batch that
-    runs again replaces its own rows.
+    numbering, so one very large scope is spread over many tasks.  Values that the
+    vault knows from other streams or earlier runs keep their tokens.  Files are kept
+    by stream (its checkpoint) and batch, so a batch that runs again replaces its own rows
+    and no others.  Only the scopes of the batch are looked up.  One stream at a time may
+    write to a scope.
     """
     columns = [part.split()[0] for part in VAULT.split(", ")]
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = spark.createDataFrame([], VAULT)
-        if batch_id > 0:
-            known = read_vault(spark, vault_path).where(F.col("batch") < batch_id)
+        own = (F.col("stream") == stream) & (F.col("batch") >= batch_id)
+        scopes = batch.select("scope_id").distinct()
+        known = read_vault(spark, vault_path).where(~own).join(scopes, "scope_id", "left_semi")
         fresh = vault_append(known.select(*columns), batch)
         fresh.select(*columns).write.mode("overwrite").parquet(
-            f"{vault_path}/batch={batch_id}"
+            f"{vault_path}/stream={stream}/batch={batch_id}"
         )
 
     return for_each_batch(spans, work, checkpoint)
 
 
 def read_vault(spark: SparkSession, vault_path: str) -> DataFrame:
-    """The vault that ``stream_to_vault`` keeps."""
-    return spark.read.schema(f"{VAULT}, batch bigint").parquet(vault_path)
+    """The vault that ``stream_to_vault`` keeps; empty where none is yet."""
+    schema = f"{VAULT}, stream string, batch bigint"
+    try:
+        return spark.read.schema(schema).parquet(vault_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def use_state_store(spark: SparkSession) -> None:

@@ -88,3 +88,25 @@ def test_layers_meet_in_overlap_resolution(messages, dictionary):
 def test_long_chains_of_words(messages, dictionary):
     text = "a-" * 50000 + "b London"
     assert [v for *_, v, _, _ in found(messages(text), dictionary)] == ["London", "London"]
+
+
+@pytest.mark.parametrize("inline_phrases", [5000, 1])
+def test_phrases_with_signs_between_words(messages, spark, inline_phrases):
+    phrases = ("St. Louis", "J. Smith", "Johnson & Johnson", "New York", "...")
+    entries = spark.createDataFrame([(p, "ORG") for p in phrases], "phrase string, entity_type string")
+    text = "J. Smith of Johnson & Johnson left St. Louis for New York; St Louis, J Smith"
+    got = found(messages(text), entries, inline_phrases=inline_phrases)
+    assert sorted(v for *_, v, _, _ in got) == ["J. Smith", "Johnson & Johnson", "New York", "St. Louis"]
+
+
+def test_both_ways_agree_on_missing_and_shared_keys(spark, dictionary):
+    rows = [(None, 1, "Alice in London", "en"), ("s", 2, "Al", "en"), ("s", 2, "Also London", "en")]
+    df = spark.createDataFrame(rows, "scope_id string, seq bigint, text string, lang string")
+
+    def spans(inline_phrases):
+        got = dictionary_matches(df, dictionary, inline_phrases=inline_phrases).collect()
+        return sorted((r.text, sorted(s.value for s in r.dictionary_spans)) for r in got)
+
+    assert spans(5000) == spans(1) == [
+        ("Al", ["Al"]), ("Alice in London", ["Alice", "London", "London"]), ("Also London", ["London", "London"]),
+    ]

@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from hushframe.functions.text import is_blank
 from hushframe.operators import policy as P
 from hushframe.operators.disposition import (
+    dispose,
     entity_counts,
     entity_summary,
     offered_actions,
@@ -111,12 +113,32 @@ def test_fail_closed_in_both_modes(messages):
 def test_outcome(spark, decision, action, text, want):
     got = spark.range(1).select(
         outcome(
-            F.lit(decision), F.lit(action).cast("string"), F.lit(text).cast("string")
+            F.lit(decision),
+            F.lit(action).cast("string"),
+            is_blank(F.lit(text).cast("string")),
         )
     )
     assert got.first()[0] == want
 
 
+def test_failed_messages_are_held_whatever_the_action(spark, messages):
+    analysed = analyze(messages("mail a@b.com " + "x" * 90, "a@b.com", None), max_chars=50)
+    actions = spark.createDataFrame(
+        [("s", i, "scrub") for i in range(3)], "scope_id string, seq bigint, action string"
+    )
+    got = {r.seq: r.outcome for r in dispose(analysed, actions).collect()}
+    assert got == {0: "held", 1: "sent_scrubbed", 2: "held"}
+
+
+def test_several_actions_neither_multiply_nor_release(spark, messages):
+    actions = spark.createDataFrame(
+        [("s", 0, "edit"), ("s", 0, "scrub"), ("s", 1, "scrub"), ("s", 1, "scrub")],
+        "scope_id string, seq bigint, action string",
+    )
+    got = dispose(analyze(messages("a@b.com", "c@d.com")), actions).orderBy("seq").collect()
+    assert [(r.seq, r.outcome) for r in got] == [(0, "held"), (1, "sent_scrubbed")]
+
+
 def test_summaries(spark, messages):
     row = analyze(messages("a@b.com c@d.com DOB: 1990-01-01 and 10.0.0.1")).withColumn(
         "entities", entity_summary(F.col("detections"))

@@ -5,9 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from hushframe.plans.oracle import oracle_sql
+from hushframe.plans.queries import queries
 from tests.check_oracle import compare, connect
 
-QUERIES = entry.queries()
+QUERIES = queries()
 # Compared only with ALL_QUERIES=1: another query contains the same result, such as
 # detect_all for a single detector.  check_oracle.py runs all of them.
 CONTAINED = {
@@ -28,7 +30,7 @@ def con(request):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracle_sql()) and set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -42,7 +44,15 @@ def test_entry(spark):
     assert df.count() > 0
 
 
+def test_deciding_an_outcome_shuffles_no_text(spark, sf_dir):
+    plan = QUERIES["disposition"](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    fields = [plan.output().apply(i).name() for i in range(plan.output().size())]
+    assert not {"text", "detections"} & set(fields)
+
+
 def test_no_python_in_batch_plans(spark, sf_dir):
-    for name in ("analyze", "scrub_session", "identify_language", "token_vault_session"):
+    for name in ("analyze", "scrub_session", "send_pipeline", "token_vault_session"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.operators.disposition import dispose
+from hushframe.operators.policy import Settings
 from hushframe.operators.routing import attribute_sites
 from hushframe.plans.analyze import analyze
+from hushframe.plans.send import send
 from hushframe.sources.pages import visible_text
 from hushframe.sources.tables import (
     as_messages,
@@ -54,12 +55,30 @@ def test_stage_uses_the_shared_folder(spark):
 
 
 def test_held_rows_never_reach_the_sent_sink(spark, messages, tmp_path):
-    df = dispose(analyze(messages("hello", "a@b.com", "  ")), None)
+    df = send(analyze(messages("hello", "a@b.com", "  ")))
     write_outcomes(df, str(tmp_path / "sent"), str(tmp_path / "held"))
     assert [r.seq for r in spark.read.parquet(str(tmp_path / "sent")).orderBy("seq").collect()] == [0, 2]
     assert [r.seq for r in spark.read.parquet(str(tmp_path / "held")).collect()] == [1]
 
 
+def test_sent_sink_holds_no_detected_value(spark, messages, tmp_path):
+    texts = ("mail a@b.com", "10.0.0.1 and c@d.com", "hello", None, "x@y.com " + "z" * 99)
+    df = send(analyze(messages(*texts), Settings("permissive"), max_chars=80))
+    write_outcomes(df, str(tmp_path / "sent"), str(tmp_path / "held"))
+    sent = spark.read.parquet(str(tmp_path / "sent"))
+    assert set(sent.columns) == {"scope_id", "seq", "delivered", "outcome"}
+    got = {r.seq: r.delivered for r in sent.collect()}
+    assert got == {0: "mail <EMAIL_ADDRESS_1>", 1: "<IP_ADDRESS_1> and <EMAIL_ADDRESS_2>", 2: "hello"}
+    assert spark.read.parquet(str(tmp_path / "held")).count() == 2
+
+
+def test_failed_scrubbing_is_held(spark):
+    rows = [(None, 1, "mail a@b.com", "en"), ("s", 2, "c@d.com", "en"), ("s", 2, "10.0.0.1", "en")]
+    df = spark.createDataFrame(rows, "scope_id string, seq bigint, text string, lang string")
+    got = send(analyze(df, Settings("permissive"))).collect()
+    assert [(r.outcome, r.delivered) for r in got] == [("held", None)] * 3
+
+
 def test_visible_text(spark):
     html = (
         "<html><head><title>no@x.com</title></head><body><script>var a='b@x.com'</script>"

@@ -77,6 +77,19 @@ def test_vault_table_over_two_runs_equals_the_batch_vault(spark, feed, tmp_path)
     assert vault(read_vault(spark, out)) == vault(T.token_vault(explode_detections(batch, KEYS)))
 
 
+def test_another_stream_adds_to_the_vault_and_destroys_nothing(spark, tmp_path):
+    out = str(tmp_path / "vault")
+    for name, text in (("one", "a@b.com"), ("two", "z@y.com a@b.com")):
+        feed = Feed(spark, tmp_path / name)
+        feed.add([("a", 1, text, "en")])
+        spans = explode_detections(analyze(feed.stream()), KEYS)
+        stream_to_vault(spans, out, str(tmp_path / f"cp-{name}"))
+    assert vault(read_vault(spark, out)) == {
+        ("a", "EMAIL_ADDRESS", "a@b.com"): "<EMAIL_ADDRESS_1>",
+        ("a", "EMAIL_ADDRESS", "z@y.com"): "<EMAIL_ADDRESS_2>",
+    }
+
+
 def test_clear_restarts_numbering(spark, feed):
     rows = [("a", 0, "E", "span", 0, "x"), ("a", 1, "E", "span", 0, "y"), ("a", 2, "E", "span", 0, "y")]
     schema = "scope_id string, seq bigint, entity_type string, kind string, start int, value string"

@@ -181,3 +181,26 @@ def test_allowed_types_are_scrubbed_too(messages):
     settings = Settings(overrides={"EMAIL_ADDRESS": "allow"})
     done = T.scrub_document(analyze(messages("a@b.com 10.0.0.1"), settings)).first()
     assert done.scrubbed == "<EMAIL_ADDRESS_1> <IP_ADDRESS_1>"
+
+
+# -- scrubbing fails closed -------------------------------------------------
+MESSAGE = "scope_id string, seq bigint, text string, lang string"
+
+
+def test_missing_and_shared_keys_give_no_text(spark):
+    rows = [
+        (None, 1, "mail a@b.com", "en"), ("s", None, "mail c@d.com", "en"),
+        ("s", 5, "mail e@f.com", "en"), ("s", 5, "10.0.0.1 is up", "en"), ("s", 6, "e@f.com g@h.com", "en"),
+    ]
+    got = T.scrub_session(analyze(spark.createDataFrame(rows, MESSAGE))).collect()
+    by_text = {r.text: r.scrubbed for r in got}
+    assert by_text.pop("e@f.com g@h.com") == "<EMAIL_ADDRESS_1> <EMAIL_ADDRESS_2>"
+    assert set(by_text.values()) == {None} and len(by_text) == 4
+
+
+def test_a_stale_vault_mints_what_it_lacks(spark, messages):
+    vault = T.token_vault(spans_of(messages("old@x.com")))
+    df = analyze(messages("mail old@x.com and new@x.com"))
+    assert T.scrub_session(df, vault).first().scrubbed == "mail <EMAIL_ADDRESS_1> and <EMAIL_ADDRESS_2>"
+    more = T.vault_append(vault, explode_detections(df, KEYS)).collect()
+    assert [(r.value, r.token) for r in more] == [("new@x.com", "<EMAIL_ADDRESS_2>")]
