@@ -30,10 +30,10 @@ def fields(df: DataFrame, *columns: str) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in columns)
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each piece holds a few MB, or one long row."""
+def pieces(batch: pa.RecordBatch, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each piece holds about ``size`` bytes, or one long row."""
     rows = batch.num_rows
-    step = max(1, min(rows, rows * PIECE_BYTES // max(1, batch.nbytes)))
+    step = max(1, min(rows, rows * size // max(1, batch.nbytes)))
     for start in range(0, rows, step):
         yield batch.slice(start, step)
 
@@ -43,6 +43,7 @@ def map_rows(
     columns: Sequence[str | Column],
     schema: str,
     make: Callable[[], Callable[..., Iterable[Sequence]]],
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Apply a function of Python lists to batches of ``columns``, without a shuffle.
 
@@ -54,7 +55,7 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, piece_bytes):
                 out = fn(*(c.to_pylist() for c in piece.columns))
                 arrays = [
                     c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
@@ -75,13 +76,14 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a narrow side for broadcast if it has few rows; else it is shuffled.
 
     ``df`` is written to the shared folder first, so the count is of what is joined.
     """
     held = checkpointed(df)
-    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    most = BROADCAST_ROWS if rows is None else min(rows, BROADCAST_ROWS)
+    return F.broadcast(held) if held.count() <= most else held
 
 
 def same(left: str, right: str) -> Column:

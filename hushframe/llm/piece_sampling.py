@@ -19,6 +19,8 @@ from hushframe.llm.common import fields, map_rows
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: What stands for a space in pieces.
 SPACE = "▁"
+#: Text bytes of one call: their lattices take some hundred times that.
+CALL_BYTES = 1 << 20
 
 
 def read_model(path: str) -> bytes:
@@ -80,7 +82,7 @@ class Trie:
             final[at] = found
         n = len(states) + 1
         self.piece = np.array([final.get(i, (-1, 0.0))[0] for i in range(n)], np.int32)
-        self.weight = np.array([final.get(i, (-1, 0.0))[1] for i in range(n)])
+        self.weight = np.array([final.get(i, (-1, 0.0))[1] for i in range(n)], np.float32)
         self.mask = (1 << (4 * n).bit_length()) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
         self.to = np.full(self.mask + 1, -1, np.int32)
@@ -151,9 +153,11 @@ class Lattices:
         at[node] = place
         self.last = offset[sizes] + rank  # by the chunks' own order
 
-        first = np.flatnonzero(chars != _END)
+        first = np.flatnonzero(chars != _END).astype(np.int32)
+        offset = offset.astype(np.int32)
         begun = at[first]
         column = first - offset[begun]
+        del text, flat, place, node
         state = np.zeros(len(first), np.int32)
         starts, ends, ids, weights = [], [], [], []
         here = first
@@ -166,23 +170,26 @@ class Lattices:
             here = offset[begun + step] + column
             got = piece >= 0
             starts.append(first[got]), ends.append(here[got])
-            ids.append(piece[got].astype(np.int64)), weights.append(trie.weight[state[got]])
+            ids.append(piece[got]), weights.append(trie.weight[state[got]])
             if step == 1:  # characters that are no piece
                 c = chars[first[~got]]
                 size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
                 starts.append(first[~got]), ends.append(here[~got])
-                ids.append(-1 - c), weights.append(-12.0 * size)
+                ids.append((-1 - c).astype(np.int32))
+                weights.append((-12.0 * size).astype(np.float32))
             live = (state >= 0) & (chars[here] != _END)
             first, begun, column, state, here = (
                 x[live] for x in (first, begun, column, state, here)
             )
         ends = np.concatenate(ends)
-        order = np.argsort(ends, kind="stable")
+        order = np.argsort(ends, kind="stable").astype(np.int32)
         ends = ends[order]
         self.start = np.concatenate(starts)[order]
         self.ids = np.concatenate(ids)[order]
         weight = np.concatenate(weights)[order]
-        self.first = np.searchsorted(ends, np.arange(nodes + 1))
+        del starts, ids, weights, order
+        per_node = np.bincount(ends, minlength=nodes)
+        self.first = np.concatenate(([0], np.cumsum(per_node)))
         self.cum = np.empty(len(ends))
         alpha = np.zeros(nodes)
         for p in range(1, longest + 1):
@@ -305,9 +312,13 @@ def encode(
     seed: int = 0,
     sharpness: float = 1.0,
     carry: tuple[str, ...] = (),
+    check: bool = False,
 ) -> DataFrame:
     """``key, *carry, n_pieces, ids``: a sampled segmentation of each whole text.
 
+    With ``check`` every text is decoded again in the same task, and ``lossless`` tells
+    whether it came back (null and empty texts count as empty).
+
     The draw depends on the seed, the row's key and the text alone, so repeated rows and
     reruns agree.  Null and empty texts have no pieces; null keys share a seed.
     """
@@ -315,19 +326,25 @@ def encode(
 
     def make():
         sampler = Sampler(content, sharpness=sharpness)
+        raw = sampler.vocabulary.raw
 
         def run(keys, hashes, texts, *kept):
             found = sampler(texts, np.array(hashes, np.int64).view(np.uint64))
             sizes = np.array([len(f) for f in found])
             flat = np.concatenate(found or [_EMPTY]).astype(np.int32)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            return keys, *kept, sizes, pa.ListArray.from_arrays(offsets, flat)
+            out = keys, *kept, sizes, pa.ListArray.from_arrays(offsets, flat)
+            if not check:
+                return out
+            pairs = zip(texts, found, strict=True)
+            return *out, [(t or "") == join_pieces(f.tolist(), raw) for t, f in pairs]
 
         return run
 
     schema = f"{fields(df, key, *carry)}, n_pieces bigint, ids array<int>"
+    schema += ", lossless boolean" * check
     drawn = F.xxhash64(F.lit(seed), F.col(key)).alias("_seed")
-    return map_rows(df, [key, drawn, text, *carry], schema, make)
+    return map_rows(df, [key, drawn, text, *carry], schema, make, CALL_BYTES)
 
 
 def decode(df: DataFrame, ids: str, text: str, model: str = MODEL) -> DataFrame:
