@@ -24,6 +24,7 @@ SPAN = T.StructType(
 SPANS = T.ArrayType(SPAN)
 
 FEW_EDITS = 100
+FOLD = 256
 _MARK = "\u0001"
 _PLAIN = T.ArrayType(
     T.StructType(
@@ -78,35 +79,64 @@ def gaps(text: Column, pattern: str | Column) -> Column:
     )
 
 
-def locate(found: Column, between: Column) -> Column:
-    """Give each match its offsets: running lengths over matches and gaps."""
-    pieces = F.zip_with(
-        found,
-        between,
-        lambda value, gap: F.struct(value.alias("value"), F.length(gap).alias("gap")),
-    )
+def running(values: Column, merge, start: int = 0) -> Column:
+    """The running ``merge`` of an array of integers, each with its own value.
+
+    A fold that appends copies its array at every step.  So it runs over blocks of
+    ``FOLD`` values, and once more over the blocks' last results; the cost grows with the
+    number of values, not with its square.
+    """
+    none = F.array().cast("array<int>")
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["pos"] + piece["gap"]
-        end = start + F.length(piece["value"])
-        span = F.struct(
-            start.alias("start"), end.alias("end"), piece["value"].alias("value")
+    def fold(block: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            now = merge(acc["now"], x)
+            return F.struct(now.alias("now"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        zero = F.struct(F.lit(start).alias("now"), none.alias("out"))
+        return F.aggregate(block, zero, step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        before = F.concat(
+            F.array(F.lit(start)), fold(F.transform(blocks, lambda x: F.element_at(x, -1)))
         )
-        return F.when(piece["value"].isNull(), acc).otherwise(
-            F.struct(
-                end.alias("pos"),
-                F.concat(acc["out"], F.array(span)).alias("out"),
+        return F.flatten(
+            F.zip_with(
+                blocks,
+                F.slice(before, F.lit(1), F.size(blocks)),
+                lambda block, b: F.transform(block, lambda x: merge(b, x)),
             )
         )
 
-    return F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("pos"), F.array().cast(_PLAIN).alias("out")),
-        step,
-        lambda acc: acc["out"],
+    def cut(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(whole), F.lit(FOLD))
+        return F.transform(starts, lambda at: fold(F.slice(whole, at, F.lit(FOLD))))
+
+    return F.when(F.size(values) <= FOLD, fold(values)).otherwise(
+        let(values, lambda whole: let(cut(whole), joined))
     )
 
 
+def locate(found: Column, between: Column) -> Column:
+    """Give each match its offsets: running lengths over matches and gaps."""
+
+    def placed(values: Column) -> Column:
+        steps = F.zip_with(
+            values,
+            F.slice(between, F.lit(1), F.size(values)),
+            lambda value, gap: F.length(value) + F.length(gap),
+        )
+        return F.zip_with(
+            values,
+            running(steps, lambda a, b: a + b),
+            lambda value, end: F.struct(
+                (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")
+            ),
+        )
+
+    return placed(found)
+
+
 def find_spans(text: Column, pattern: str | Column) -> Column:
     """``array<struct<start, end, value>>`` of all matches of ``pattern``."""
     found = matches(text, pattern)

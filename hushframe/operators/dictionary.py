@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.spans import SPANS, empty_spans
+from hushframe.functions.spans import SPANS, empty_spans, running
 from hushframe.functions.text import is_blank
 
 # Score and detector order by entity type; source and language.
@@ -63,19 +63,9 @@ def occurrences(text: Column, phrase: Column) -> Column:
     )
     pieces = F.split(F.concat(F.lit("\n"), text), quoted, -1)
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.length(piece)
-        return F.struct(
-            end.alias("pos"), F.concat(acc["out"], F.array(end)).alias("out")
-        )
-
     # The last end is that of the text; the others are where a phrase starts.
-    return F.aggregate(
-        pieces,
-        F.struct(F.lit(-1).alias("pos"), F.array().cast("array<int>").alias("out")),
-        step,
-        lambda acc: F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1),
-    )
+    ends = running(F.transform(pieces, F.length), lambda a, b: a + b)
+    return F.transform(F.slice(ends, F.lit(1), F.size(pieces) - 1), lambda end: end - 1)
 
 
 def _of_type(entity_type: Column, field: int, kind: str) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.functions.spans import SPANS, empty_spans, settle
+from hushframe.functions.spans import SPANS, empty_spans, let, running, settle
 
 
 def by_rank(spans: Column) -> Column:
@@ -50,33 +50,26 @@ def _greedy(spans: Column) -> Column:
 def _islands(spans: Column) -> Column:
     """Group spans into runs that are linked by overlaps."""
 
-    def step(acc: Column, s: Column) -> Column:
-        linked = s["start"] < acc["reach"]
-        return F.when(
-            linked,
-            F.struct(
-                acc["done"].alias("done"),
-                F.concat(acc["open"], F.array(s)).alias("open"),
-                F.greatest(acc["reach"], s["end"]).alias("reach"),
+    def runs(ordered: Column, reach: Column) -> Column:
+        def first(s: Column, i: Column) -> Column:
+            opens = (i == 0) | (s["start"] >= F.get(reach, i - 1))
+            return F.when(opens, i)
+
+        begins = F.filter(F.transform(ordered, first), lambda i: i.isNotNull())
+        return let(
+            begins,
+            lambda at: F.zip_with(
+                at,
+                F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(ordered))),
+                lambda a, b: F.slice(ordered, a + 1, b - a),
             ),
-        ).otherwise(
-            F.struct(
-                F.concat(acc["done"], F.array(acc["open"])).alias("done"),
-                F.array(s).alias("open"),
-                s["end"].alias("reach"),
-            )
         )
 
-    start = F.struct(
-        F.array().cast(f"array<{SPANS.simpleString()}>").alias("done"),
-        empty_spans().alias("open"),
-        F.lit(-1).alias("reach"),
-    )
-    return F.aggregate(
+    return let(
         by_start(spans),
-        start,
-        step,
-        lambda acc: F.concat(acc["done"], F.array(acc["open"])),
+        lambda ordered: let(
+            running(ordered["end"], F.greatest), lambda reach: runs(ordered, reach)
+        ),
     )
 
 

@@ -1,8 +1,10 @@
 import random
+from itertools import accumulate
 
+import pytest
 from pyspark.sql import functions as F
 
-from hushframe.functions.spans import SPANS
+from hushframe.functions.spans import SPANS, running
 from hushframe.operators.detectors import detect, explode_detections
 from hushframe.operators.overlap import (
     overlap_pairs,
@@ -82,3 +84,12 @@ def test_long_chain_of_overlaps(spark):
         [("s", 0, spans)], f"scope_id string, seq bigint, detections {SPANS.simpleString()}"
     )
     assert len(resolve_overlaps(df).first().detections) == n // 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 256, 257, 1000, 70_000])
+def test_running_folds(spark, n):
+    values = [(i * 7919) % 101 for i in range(n)]
+    row = spark.createDataFrame([(values,)], "v array<int>").select(
+        running(F.col("v"), lambda a, b: a + b), running(F.col("v"), F.greatest)
+    )
+    assert [list(x) for x in row.first()] == [list(accumulate(values)), list(accumulate(values, max))]
