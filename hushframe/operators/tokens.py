@@ -18,6 +18,7 @@ from hushframe.functions.spans import find_spans, let, splice
 from hushframe.functions.text import format_token
 from hushframe.operators.detectors import hits_only
 from hushframe.operators.overlap import by_start
+from hushframe.operators.policy import DEFAULT_SETTINGS, Settings, entity_decision
 
 TOKEN_PATTERN = java_pattern(TOKEN)
 BLOCK_BITS = 16
@@ -199,6 +200,22 @@ def document_edits(detections: Column) -> Column:
     )
 
 
+def scrubbed_spans(
+    detections: Column, settings: Settings | None = None, skip_allowed: bool = False
+) -> Column:
+    """The spans to scrub: all, or with ``skip_allowed`` those that settings do not allow.
+
+    An override changes a type's decision but does not take it out of scrubbing, unless
+    this is asked for.
+    """
+    if not skip_allowed:
+        return detections
+    settings = settings or DEFAULT_SETTINGS
+    return F.filter(
+        detections, lambda d: entity_decision(d["entity_type"], settings) != "allow"
+    )
+
+
 def scrub_document(
     df: DataFrame, text: str = "text", detections: str = "detections", out: str = "scrubbed"
 ) -> DataFrame:

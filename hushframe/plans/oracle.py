@@ -646,6 +646,24 @@ SELECT *, (site <> 'generic') <> covered AS disagrees FROM (
         "SELECT * FROM kept JOIN m USING (scope_id, seq)",
         'substr(text, "start" + 1, "end" - "start") <> value',
     )
+    faulty = dict(
+        session,
+        done=_SCRUBBED,
+        sent="SELECT done.scope_id, done.seq, text,"
+        " CASE WHEN seq % 50 = 0 THEN text ELSE scrubbed END AS scrubbed"
+        " FROM done JOIN m USING (scope_id, seq)",
+    )
+    leaks = _summary("SELECT * FROM kept JOIN sent USING (scope_id, seq)", "contains(scrubbed, value)")
+    changed = _summary("SELECT * FROM sent", "seq % 50 = 0")
+    sql["audit_session"] = _with(CORPUS, **faulty) + (
+        f"SELECT 'no_leak' AS audit, * FROM ({leaks}) UNION ALL SELECT 'preserve', * FROM ({changed})"
+    )
+    sql["scrub_skip_allowed"] = _with(
+        CORPUS,
+        wanted=f"SELECT * FROM kept WHERE {_decision(OVERRIDES)} <> 'allow'",
+        vault=_vault("wanted"),
+        spliced="SELECT wanted.*, token FROM wanted JOIN vault USING (scope_id, entity_type, value)",
+    ) + _SCRUBBED
     sql["audit_overlap"] = _with(CORPUS) + _summary(
         'SELECT *, lag("end") OVER (PARTITION BY scope_id, seq ORDER BY "start", "end") AS left_end FROM kept',
         'left_end > "start"',

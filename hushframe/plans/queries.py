@@ -532,6 +532,25 @@ def audit_preserve(spark, sf_dir):
     return audit.audit_preserve(tokens.scrub_document(_analysed(spark, sf_dir)))
 
 
+@query
+def audit_session(spark, sf_dir):
+    """Session scrubbing with a fault in every fiftieth message, which sends its text."""
+    done = stage(tokens.scrub_session(_hits(spark, sf_dir)))
+    fault = F.when(F.col("seq") % 50 == 0, F.col("text")).otherwise(F.col("scrubbed"))
+    sent = done.withColumn("scrubbed", fault)
+    audits = {"no_leak": audit.audit_no_leak(sent), "preserve": audit.audit_preserve(sent)}
+    named = [a.select(F.lit(n).alias("audit"), *a.columns) for n, a in audits.items()]
+    return named[0].unionByName(named[1])
+
+
+@query
+def scrub_skip_allowed(spark, sf_dir):
+    analysed = _analysed(spark, sf_dir, settings=OVERRIDES)
+    spans = tokens.scrubbed_spans(F.col("detections"), OVERRIDES, skip_allowed=True)
+    hits = stage(hits_only(analysed.withColumn("detections", spans)))
+    return tokens.scrub_session(hits).select(*KEYS, "scrubbed")
+
+
 # -- streams ----------------------------------------------------------------
 def _stream(spark, sf_dir) -> DataFrame:
     from pyspark.sql import types as T

@@ -1,7 +1,5 @@
 """Registered queries against their SQL, and what their plans look like."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
@@ -10,18 +8,7 @@ from hushframe.plans.queries import queries
 from tests.check_oracle import compare, connect
 
 QUERIES = queries()
-# Compared only with ALL_QUERIES=1: another query contains the same result, such as
-# detect_all for a single detector.  check_oracle.py runs all of them.
-CONTAINED = {
-    *(f"detect_{d}" for d in (
-        "email", "phone", "card", "iban", "ssn", "ipv4", "ipv6", "btc", "eth", "secret",
-        "dob", "person", "location", "org",
-    )),
-    "message_decision_permissive", "message_decision_override", "top_tier",
-    "decision_matrix", "entity_tier", "vault_size", "scrub_count", "entity_summary",
-    "audit_no_leak", "audit_span_integrity", "audit_preserve",
-}
-NAMES = sorted(set(QUERIES) - (set() if os.environ.get("ALL_QUERIES") else CONTAINED))
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")

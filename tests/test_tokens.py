@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hushframe.operators import audit
 from hushframe.operators import tokens as T
 from hushframe.operators.detectors import explode_detections
+from hushframe.operators.policy import Settings
 from hushframe.plans.analyze import analyze
 
 KEYS = ["scope_id", "seq"]
@@ -204,3 +205,20 @@ def test_a_stale_vault_mints_what_it_lacks(spark, messages):
     assert T.scrub_session(df, vault).first().scrubbed == "mail <EMAIL_ADDRESS_1> and <EMAIL_ADDRESS_2>"
     more = T.vault_append(vault, explode_detections(df, KEYS)).collect()
     assert [(r.value, r.token) for r in more] == [("new@x.com", "<EMAIL_ADDRESS_2>")]
+
+
+def test_preserve_reads_by_position(spark, messages):
+    df = T.scrub_document(analyze(messages("see <SSN_1> mail a@b.com", "10.0.0.1 x a@b.com", "none")))
+    assert tuple(audit.audit_preserve(df).first()) == (3, 0)
+    bad = df.withColumn("scrubbed", F.regexp_replace("scrubbed", " x ", " y "))
+    assert tuple(audit.audit_preserve(bad).first()) == (3, 1)
+    lost = df.withColumn("scrubbed", F.regexp_replace("scrubbed", "<EMAIL_ADDRESS_1>", ""))
+    assert tuple(audit.audit_preserve(lost).first()) == (3, 2)
+
+
+def test_allowed_types_are_left_out_on_request(messages):
+    settings = Settings(overrides={"EMAIL_ADDRESS": "allow"})
+    df = analyze(messages("a@b.com 10.0.0.1"), settings)
+    for skip, want in ((False, "<EMAIL_ADDRESS_1> <IP_ADDRESS_1>"), (True, "a@b.com <IP_ADDRESS_1>")):
+        spans = T.scrubbed_spans(F.col("detections"), settings, skip_allowed=skip)
+        assert T.scrub_session(df.withColumn("detections", spans)).first().scrubbed == want
