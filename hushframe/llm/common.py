@@ -62,6 +62,7 @@ def map_rows(
                     for c, f in zip(out, arrow, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: What stands for a space in pieces.
 SPACE = "▁"
 #: Text bytes of one call: their lattices take some hundred times that.
-CALL_BYTES = 1 << 20
+CALL_BYTES = 1 << 19
 
 
 def read_model(path: str) -> bytes:
