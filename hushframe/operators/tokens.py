@@ -37,14 +37,26 @@ def prefix_sum(
     """Running sum of ``value`` by ``keys`` in the order (seq, ties), inclusive.
 
     A plain window would put all rows of a key in one task, and one key may hold a
-    third of the table.  Here a key is cut into blocks of 2^bits consecutive
-    ``seq`` values: rows are summed within their block, and a second, far smaller
-    window over one row per block gives what comes before each block.  ``seq`` is
-    an integer position such as a message number.
+    third of the table.  Here a key's range of ``seq`` is cut into equal stretches, as
+    many as give 2^bits rows on average: rows are summed within their block, and a
+    second, far smaller window over one row per block gives what comes before each
+    block.  So it does not matter whether ``seq`` counts messages or is a hash or a
+    time.  Rows with a missing key are left out.
     """
     by_block = [*keys, "__block"]
-    blocked = df.withColumn("__block", F.shiftright(seq, bits)).withColumn(
-        "__value", value.cast("bigint")
+    place = F.col(seq).cast("double")
+    ranges = df.groupBy(*keys).agg(
+        F.min(place).alias("__low"),
+        F.max(place).alias("__high"),
+        F.ceil(F.count(F.lit(1)) / F.lit(float(1 << bits))).alias("__blocks"),
+    )
+    width = (F.col("__high") - F.col("__low") + 1) / F.col("__blocks")
+    block = F.floor((place - F.col("__low")) / width)
+    blocked = (
+        df.join(ranges, list(keys))
+        .withColumn("__block", block)
+        .withColumn("__value", value.cast("bigint"))
+        .drop("__low", "__high", "__blocks")
     )
     within = (
         Window.partitionBy(*by_block)

@@ -222,3 +222,18 @@ def test_allowed_types_are_left_out_on_request(messages):
     for skip, want in ((False, "<EMAIL_ADDRESS_1> <IP_ADDRESS_1>"), (True, "a@b.com <IP_ADDRESS_1>")):
         spans = T.scrubbed_spans(F.col("detections"), settings, skip_allowed=skip)
         assert T.scrub_session(df.withColumn("detections", spans)).first().scrubbed == want
+
+
+def test_blocks_stay_even_where_numbers_are_sparse(spark):
+    """Hashed positions: a block holds a few times the mean at most, and order is kept."""
+    rows = spark.range(20_000).select(
+        F.lit("s").alias("k"), F.xxhash64("id").alias("seq"), F.lit(1).alias("one")
+    )
+    got = T.prefix_sum(rows, ["k"], "seq", [], F.col("one"), "n", bits=8)
+    ordered = [r.n for r in got.orderBy("seq").collect()]
+    assert ordered == list(range(1, 20_001))
+    place = F.col("seq").cast("double")
+    low, high = rows.agg(F.min(place), F.max(place)).first()
+    width = (high - low + 1) / -(-20_000 // 256)
+    sizes = rows.groupBy(F.floor((place - low) / width).alias("b")).count().agg(F.max("count"))
+    assert sizes.first()[0] < 3 * 256
