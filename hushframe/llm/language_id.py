@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hushframe.llm.common import fields, map_rows
+from hushframe.llm.common import broadcast_if_small, fields, map_rows
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Texts are compressed in chunks of so many bytes, so that a long one never moves
@@ -58,13 +57,12 @@ def language_dictionaries(
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
     order = F.xxhash64(F.lit(seed), F.col(key))
-    chosen = (
-        rows.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), order.alias("_h"))
-        .distinct()
-        .withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_key")))
-        .where(F.col("_n") <= docs)
-        .drop("_n")
-    )
+    chosen = rows.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), order.alias("_h"))
+    chosen = chosen.distinct().withColumn("_part", F.col("_h").bitwiseAND(63))
+    for parts in (["_lang", "_part"], ["_lang"]):  # in parts first: a language may be most rows
+        first = F.row_number().over(Window.partitionBy(*parts).orderBy("_h", "_key"))
+        chosen = chosen.withColumn("_n", first).where(F.col("_n") <= docs).drop("_n")
+    chosen = broadcast_if_small(chosen.drop("_part"))
     texts = rows.select(
         F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.col(text).alias("_text")
     ).join(chosen, ["_lang", "_key"])
@@ -149,7 +147,3 @@ def held_out(key, folds: int = 5):
     """True where crc32 of the key's text is divisible by ``folds``; null keys are held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
-
-def crc(value: str) -> int:
-    """The same remainder's hash in Python."""
-    return zlib.crc32(value.encode())
