@@ -53,7 +53,8 @@ def language_dictionaries(
     Of each language the ``docs`` rows with the smallest seeded key hashes give a
     passage of at most ``piece`` bytes from a place that the hash picks, so a
     dictionary has at most ``docs * piece`` bytes whatever the size of the table.
-    Rows without language, key or letters give nothing.
+    Rows without language, key or letters give nothing.  The languages come in falling
+    order of their rows (all are counted), then by name.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
     order = F.xxhash64(F.lit(seed), F.col(key))
@@ -83,8 +84,10 @@ def language_dictionaries(
     out: dict[str, list] = {}
     for row in found.collect():  # bounded: docs * piece bytes a language
         out.setdefault(row["_lang"], []).append((row["_h"], row["_cut"]))
-    joined = {k: " ".join(c for _, c in sorted(v) if c) for k, v in out.items()}
-    return {k: v.encode() for k, v in sorted(joined.items()) if len(v.encode()) >= 8}
+    joined = {k: " ".join(c for _, c in sorted(v) if c).encode() for k, v in out.items()}
+    sizes = dict(rows.groupBy(lang).count().collect())
+    order = sorted(joined, key=lambda k: (-sizes[k], k))
+    return {k: joined[k] for k in order if len(joined[k]) >= 8}
 
 
 def identify(
@@ -97,14 +100,14 @@ def identify(
     """Language of each whole text: ``key, lang_best, lang_pred, margin, score``.
 
     A text is encoded once per language with that language's dictionary; the smallest
-    total size wins, ties go to the smaller name.  ``margin`` is how much larger the
+    total size wins, ties go to the language that comes first.  ``margin`` is how much larger the
     second size is, as a share of it; below ``min_margin`` the choice is rejected
     (``lang_pred`` null, ``lang_best`` still tells it).  ``score`` weighs the sizes as
     code lengths, one over the sum of ``exp((best - size) / 8)``.  A null text or one
     without letters is ``und`` with margin and score 0, as is every text if there is no
     dictionary.
     """
-    names = sorted(dictionaries)
+    names = list(dictionaries)
 
     def make():
         coders, params = [], _parameters()
