@@ -681,6 +681,22 @@ LEFT JOIN (SELECT scope_id, seq, string_agg(substr(text, prev + 1, "start" - pre
     sql["stream_analyze"] = _per_message(_ANALYSED, DOCUMENTS)
     sql["stream_tokenise"] = _with(DOCUMENTS) + f"SELECT {vault_columns} FROM ({_vault()})"
     sql["stream_vault"] = sql["stream_tokenise"]
+    sql["stream_scrub"] = _with(
+        DOCUMENTS,
+        decided=f"SELECT scope_id, seq, any_value(text) AS text,"
+        f" {_message_decision(policy.Settings('permissive'))} AS decision"
+        " FROM m LEFT JOIN kept USING (scope_id, seq) GROUP BY scope_id, seq",
+        disposed=f"SELECT *, CASE WHEN NOT regexp_matches(text, {_s('[^' + P.SPACE + ']')})"
+        " OR decision IN ('allow', 'notify') THEN 'sent_raw'"
+        " WHEN decision = 'auto_scrub' THEN 'sent_scrubbed' ELSE 'held' END AS outcome FROM decided",
+        released="SELECT kept.* FROM kept SEMI JOIN (SELECT * FROM disposed"
+        " WHERE outcome = 'sent_scrubbed') USING (scope_id, seq)",
+        vault=_vault("released"),
+        spliced="SELECT released.*, token FROM released JOIN vault USING (scope_id, entity_type, value)",
+        done=_SCRUBBED,
+    ) + """
+SELECT scope_id, seq, outcome, CASE WHEN outcome <> 'held' THEN coalesce(scrubbed, text) END AS delivered
+FROM disposed LEFT JOIN done USING (scope_id, seq)"""
     sql["stream_scrub_count"] = _with(DOCUMENTS) + f"""
 SELECT scope_id, coalesce(sum(n) FILTER (decision = 'auto_scrub'), 0)::BIGINT AS scrub_count
 FROM (SELECT scope_id, seq, count(entity_type) AS n,

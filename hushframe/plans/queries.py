@@ -600,6 +600,28 @@ def stream_vault(spark, sf_dir):
     return read_vault(spark, f"{base}/vault").select(*VAULT)
 
 
+@query
+def stream_scrub(spark, sf_dir):
+    """Documents that arrive in three parts, by number, one micro-batch each."""
+    import uuid
+
+    from hushframe.sources.session import shared_dir
+    from hushframe.streaming.tokens import stream_scrub as scrub
+
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    docs = C.documents(spark, sf_dir)
+    last = docs.agg(F.max("seq")).first()[0] or 0
+    for part in range(3):
+        of_part = F.floor(F.col("seq") * 3 / (last + 1)) == part
+        docs.where(of_part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    files = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1)
+    scrub(
+        files.parquet(f"{base}/in"), f"{base}/vault", f"{base}/out", f"{base}/checkpoint",
+        policy.Settings("permissive"),
+    )
+    return spark.read.parquet(f"{base}/out").select(*KEYS, "outcome", "delivered")
+
+
 @query
 def stream_scrub_count(spark, sf_dir):
     import uuid

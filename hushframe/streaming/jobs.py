@@ -11,25 +11,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from hushframe.sources.session import shared_dir
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what is available now to parquet files under ``path``."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+AVAILABLE_NOW = {"availableNow": True}
+
+
+def _start(writer: DataStreamWriter, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Start a query; one that only runs over what is available is waited for."""
+    query = writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    if trigger == AVAILABLE_NOW:
+        query.awaitTermination()
     return query
 
 
+def run_available(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW
+) -> StreamingQuery:
+    """Append to parquet files under ``path``: what is available now, or by ``trigger``."""
+    writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
+    return _start(writer, checkpoint, trigger)
+
+
 def drain(stream: DataFrame) -> DataFrame:
     """Run a stream over what is available and read the result back."""
     spark = stream.sparkSession
@@ -39,21 +44,17 @@ def drain(stream: DataFrame) -> DataFrame:
 
 
 def for_each_batch(
-    stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame,
+    work: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Run ``work(batch, batch_id)`` for what is available now.
+    """Run ``work(batch, batch_id)`` for what is available now, or by ``trigger``.
 
     ``work`` is called again with the same id after a failure, so it has to write
     under that id.
     """
-    query = (
-        stream.writeStream.foreachBatch(work)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    return _start(stream.writeStream.foreachBatch(work), checkpoint, trigger)
 
 
 def analyze_with_live_settings(

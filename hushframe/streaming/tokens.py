@@ -17,9 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from hushframe.operators.detectors import explode_detections
+from hushframe.operators.disposition import dispose
+from hushframe.operators.policy import DEFAULT_SETTINGS, Settings
 from hushframe.operators.tokens import vault_append
+from hushframe.plans.analyze import analyze
+from hushframe.plans.send import deliver
 from hushframe.sources.session import STATE_STORE
-from hushframe.streaming.jobs import for_each_batch
+from hushframe.sources.tables import stage
+from hushframe.streaming.jobs import AVAILABLE_NOW, for_each_batch
 
 OUTPUT = (
     "scope_id string, entity_type string, value string, first_seq bigint, "
@@ -81,7 +87,24 @@ VAULT = (
 )
 
 
-def stream_to_vault(spans: DataFrame, vault_path: str, checkpoint: str):
+def _stream_id(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def _known(spans: DataFrame, vault_path: str, stream: str, batch_id: int) -> DataFrame:
+    """The vault's rows of the batch's scopes, but for those of this batch itself."""
+    own = (F.col("stream") == stream) & (F.col("batch") >= batch_id)
+    scopes = spans.select("scope_id").distinct()
+    vault = read_vault(spans.sparkSession, vault_path).where(~own)
+    return vault.select(*_COLUMNS).join(scopes, "scope_id", "left_semi")
+
+
+_COLUMNS = [part.split()[0] for part in VAULT.split(", ")]
+
+
+def stream_to_vault(
+    spans: DataFrame, vault_path: str, checkpoint: str, trigger: dict = AVAILABLE_NOW
+):
     """Keep a vault table up to date with a stream of spans.
 
     The same numbering as ``stream_tokens``, with the vault on shared storage in
@@ -92,20 +115,47 @@ def stream_to_vault(spans: DataFrame, vault_path: str, checkpoint: str):
     and no others.  Only the scopes of the batch are looked up.  One stream at a time may
     write to a scope.
     """
-    columns = [part.split()[0] for part in VAULT.split(", ")]
-    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    stream = _stream_id(checkpoint)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        own = (F.col("stream") == stream) & (F.col("batch") >= batch_id)
-        scopes = batch.select("scope_id").distinct()
-        known = read_vault(spark, vault_path).where(~own).join(scopes, "scope_id", "left_semi")
-        fresh = vault_append(known.select(*columns), batch)
-        fresh.select(*columns).write.mode("overwrite").parquet(
+        fresh = vault_append(_known(batch, vault_path, stream, batch_id), batch)
+        fresh.select(*_COLUMNS).write.mode("overwrite").parquet(
             f"{vault_path}/stream={stream}/batch={batch_id}"
         )
 
-    return for_each_batch(spans, work, checkpoint)
+    return for_each_batch(spans, work, checkpoint, trigger)
+
+
+def stream_scrub(
+    messages: DataFrame,
+    vault_path: str,
+    out_path: str,
+    checkpoint: str,
+    settings: Settings = DEFAULT_SETTINGS,
+    trigger: dict = AVAILABLE_NOW,
+):
+    """Send a stream of messages on: ``scope_id, seq, outcome, delivered`` under ``out_path``.
+
+    Each micro-batch is analysed once, mints tokens for what it sends scrubbed, appends
+    them to the vault table and only then writes its texts.  Known values keep their
+    tokens, as in ``stream_to_vault``; a batch that runs again writes the same again.
+    """
+    stream = _stream_id(checkpoint)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        disposed = stage(dispose(analyze(batch, settings), None))
+        sent = disposed.where(F.col("outcome") == "sent_scrubbed")
+        spans = explode_detections(sent, ["scope_id", "seq"])
+        known = _known(spans, vault_path, stream, batch_id)
+        place = f"{vault_path}/stream={stream}/batch={batch_id}"
+        vault_append(known, spans).select(*_COLUMNS).write.mode("overwrite").parquet(place)
+        fresh = batch.sparkSession.read.schema(VAULT).parquet(place)
+        delivered = deliver(disposed, known.unionByName(fresh))
+        delivered.select("scope_id", "seq", "outcome", "delivered").write.mode(
+            "overwrite"
+        ).parquet(f"{out_path}/batch={batch_id}")
+
+    return for_each_batch(messages, work, checkpoint, trigger)
 
 
 def read_vault(spark: SparkSession, vault_path: str) -> DataFrame:
