@@ -60,14 +60,20 @@ _PUNCT = re.compile(r"[.,;:!?。，；！？…]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+#: Deeper elements become neighbours, as in browsers; it bounds all ways up.
+DEPTH = 500
+
+
 @dataclass(eq=False)
 class Node:
     tag: str
-    path: str
+    path: int  # number of the tag path from the root
     parent: Node | None
     out: bool = False  # furniture, or inside it
     form: bool = False  # out only because of a form around it
     link: bool = False
+    kept: bool = False  # inside an article
+    depth: int = 0
 
 
 @dataclass
@@ -91,7 +97,7 @@ def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[bool, boo
         return True, False
     if _HIDDEN.search(attrs.get("style", "")):
         return True, False
-    if tag == "header" and not any(f"/{k}/" in f"{parent.path}/" for k in KEEPS):
+    if tag == "header" and not parent.kept:
         return True, False
     if tag in ("html", "body", *KEEPS):
         return False, False
@@ -111,7 +117,8 @@ def _attributes(tag: str) -> dict[str, str]:
 
 def leaves(page: str) -> list[Leaf]:
     """Text leaves in page order, with their tag paths and block numbers."""
-    node = root = Node("", "", None)
+    node = root = Node("", 0, None)
+    paths: dict[tuple[int, str], int] = {}
     out: list[Leaf] = []
     block, at, size = 0, 0, len(page)
     while at < size:
@@ -167,7 +174,11 @@ def leaves(page: str) -> list[Leaf]:
             continue
         attrs = _attributes(page[m.end() : at]) if at - m.end() > 1 else {}
         is_out, form = _furniture(tag, attrs, node)
-        new = Node(tag, f"{node.path}/{tag}", node, is_out, form, tag == "a" or node.link)
+        if node.depth >= DEPTH:
+            node = node.parent
+        path = paths.setdefault((node.path, tag), len(paths) + 1)
+        new = Node(tag, path, node, is_out, form, tag == "a" or node.link)
+        new.kept, new.depth = node.kept or tag in KEEPS, node.depth + 1
         if node.out and not (node.form and tag in KEEPS):
             new.out, new.form = True, node.form and (form or not is_out)
         if tag in RAW:
@@ -190,7 +201,7 @@ def score_paths(found: list[Leaf], sigma: float = 1.0) -> float:
     """
     if not found:
         return 0.0
-    paths: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for leaf in found:
         size = 0 if leaf.node.link else len(leaf.text.strip())
         sums = paths.setdefault(leaf.node.path, [0.0, 0.0, 0.0])
@@ -210,7 +221,7 @@ def score_paths(found: list[Leaf], sigma: float = 1.0) -> float:
             out.append(sum(a * b for a, b in zip(w, values[low:high])) / sum(w))
         return out
 
-    fused: dict[str, list[float]] = {}
+    fused: dict[int, list[float]] = {}
     for leaf, t, p in zip(found, smooth(text), smooth(marks)):
         sums = fused.setdefault(leaf.node.path, [0.0, 0.0])
         sums[0] += t * (1 + p)

@@ -16,6 +16,7 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Texts are compressed in chunks of so many bytes, so that a long one never moves
 #: the dictionary out of the window.
 CHUNK = 16 << 10
+LANGUAGES = 500
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
@@ -54,9 +55,13 @@ def language_dictionaries(
     passage of at most ``piece`` bytes from a place that the hash picks, so a
     dictionary has at most ``docs * piece`` bytes whatever the size of the table.
     Rows without language, key or letters give nothing.  The languages come in falling
-    order of their rows (all are counted), then by name.
+    order of their rows (all are counted), then by name; more than ``LANGUAGES`` are an
+    error, as all dictionaries are sent to every task.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
+    sizes = dict(rows.groupBy(lang).count().limit(LANGUAGES + 1).collect())
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     order = F.xxhash64(F.lit(seed), F.col(key))
     chosen = rows.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), order.alias("_h"))
     chosen = chosen.distinct().withColumn("_part", F.col("_h").bitwiseAND(63))
@@ -85,7 +90,6 @@ def language_dictionaries(
     for row in found.collect():  # bounded: docs * piece bytes a language
         out.setdefault(row["_lang"], []).append((row["_h"], row["_cut"]))
     joined = {k: " ".join(c for _, c in sorted(v) if c).encode() for k, v in out.items()}
-    sizes = dict(rows.groupBy(lang).count().collect())
     order = sorted(joined, key=lambda k: (-sizes[k], k))
     return {k: joined[k] for k in order if len(joined[k]) >= 8}
 

@@ -206,6 +206,12 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_hostile_pages_take_little_time():
+    for part in ("<div>", "<a ", '<a "', "<!--", "</p>", "<b>x", "<script>", "&", "<", "<p>x</p></div>"):
+        html_text.main_text(part * 60_000)
+    html_text.main_text("<div>" * 30_000 + "text</p>" * 30_000)
+
+
 def test_pages_keep_every_row_and_whole_texts(spark):
     long = "<article>" + "<p>some words, here.</p>" * 20_000 + "</article>"
     rows = [(1, "u", long), (1, "u", long), (None, None, None), (2, "v", "<article><p>x</article>")]
