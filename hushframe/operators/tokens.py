@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.patterns import TOKEN, java_pattern
-from hushframe.functions.spans import find_spans, let, splice
+from hushframe.functions.spans import FEW_EDITS, find_spans, let, running, splice
 from hushframe.functions.text import format_token
 from hushframe.operators.detectors import hits_only
 from hushframe.operators.overlap import by_start
@@ -185,31 +185,101 @@ def epoch_scope(spans: DataFrame, message_epochs: DataFrame) -> DataFrame:
     )
 
 
+def _value_numbers(ordered: Column) -> Column:
+    """The number of each span's value within its type, by first place, via sorting.
+
+    Equal values are neighbours once sorted; the first of each run passes its place on,
+    and the runs' first places, sorted by type, give the numbers.
+    """
+
+    def carried(marks: Column) -> Column:
+        """Each element, or the last one before it that is not -1."""
+        return running(marks, lambda a, b: F.when(b >= 0, b).otherwise(a), start=-1)
+
+    def opens(items: Column, same) -> Column:
+        """Where an element differs from the one before."""
+        return F.transform(
+            items, lambda x, i: F.when((i > 0) & same(x, F.get(items, i - 1)), -1).otherwise(i)
+        )
+
+    def by_value(items: Column) -> Column:
+        """Of each span in order, the place of the first one with its value."""
+        same = opens(items, lambda x, y: (x["t"] == y["t"]) & (x["v"] == y["v"]))
+        first = F.transform(same, lambda at: F.when(at >= 0, F.get(items, at)["i"]).otherwise(-1))
+        pairs = F.zip_with(
+            items, carried(first), lambda x, f: F.struct(x["i"].alias("i"), f.alias("f"))
+        )
+        return F.transform(F.array_sort(pairs), lambda p: p["f"])
+
+    def numbers(first: Column) -> Column:
+        """Numbers by place, given each span's first place."""
+        is_first = F.transform(first, lambda f, i: F.when(f == i, 1).otherwise(0))
+        count = running(is_first, lambda a, b: a + b)
+        firsts = F.filter(
+            F.transform(
+                ordered,
+                lambda s, i: F.when(
+                    F.get(first, i) == i, F.struct(s["entity_type"].alias("t"), i.alias("i"))
+                ),
+            ),
+            lambda x: x.isNotNull(),
+        )
+
+        def ranked(by_type: Column) -> Column:
+            begins = carried(opens(by_type, lambda x, y: x["t"] == y["t"]))
+            pairs = F.zip_with(
+                by_type, begins, lambda x, k: F.struct(x["i"].alias("i"), k.alias("k"))
+            )
+            placed = F.transform(
+                pairs, lambda p, k: F.struct(p["i"].alias("i"), (k - p["k"] + 1).alias("n"))
+            )
+            return F.transform(F.array_sort(placed), lambda p: p["n"])
+
+        return let(
+            count,
+            lambda c: let(
+                let(F.array_sort(firsts), ranked),
+                lambda n: F.transform(first, lambda f: F.get(n, F.get(c, f) - 1)),
+            ),
+        )
+
+    items = F.transform(
+        ordered,
+        lambda s, i: F.struct(
+            s["entity_type"].alias("t"), s["value"].alias("v"), i.alias("i")
+        ),
+    )
+    return let(let(F.array_sort(items), by_value), numbers)
+
+
 def document_edits(detections: Column) -> Column:
     """Edits that replace every span by its token, numbered within one message."""
 
     def named(s: Column) -> Column:
         return F.struct(s["entity_type"].alias("entity_type"), s["value"].alias("value"))
 
-    def numbered(ordered: Column, known: Column) -> Column:
-        def edit(s: Column) -> Column:
+    def edit(s: Column, idx: Column) -> Column:
+        return F.struct(
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            format_token(s["entity_type"], idx).alias("put"),
+        )
+
+    def searched(ordered: Column, known: Column) -> Column:
+        def one(s: Column) -> Column:
             same_type = F.filter(known, lambda k: k["entity_type"] == s["entity_type"])
-            idx = F.array_position(same_type["value"], s["value"])
-            return F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                format_token(s["entity_type"], idx).alias("put"),
-            )
+            return edit(s, F.array_position(same_type["value"], s["value"]))
 
-        return F.transform(ordered, edit)
+        return F.transform(ordered, one)
 
-    return let(
-        by_start(detections),
-        lambda ordered: let(
-            F.array_distinct(F.transform(ordered, named)),
-            lambda known: numbered(ordered, known),
-        ),
-    )
+    def numbered(ordered: Column) -> Column:
+        few = let(
+            F.array_distinct(F.transform(ordered, named)), lambda known: searched(ordered, known)
+        )
+        many = let(_value_numbers(ordered), lambda n: F.zip_with(ordered, n, edit))
+        return F.when(F.size(ordered) <= FEW_EDITS, few).otherwise(many)
+
+    return let(by_start(detections), numbered)
 
 
 def scrubbed_spans(
@@ -241,16 +311,26 @@ def scrub_document(
             F.array().cast("array<struct<start:int,end:int,put:string>>")
         ),
     )
-    pairs = F.transform(
+    pairs = F.zip_with(
         "__edits",
-        lambda e: F.struct(
-            e["put"].alias("token"),
-            F.substring(F.col(text), e["start"] + 1, e["end"] - e["start"]).alias("value"),
-        ),
+        by_start(F.col(detections)),
+        lambda e, d: F.struct(e["put"].alias("token"), d["value"].alias("value")),
+    )
+
+    def once(sorted_: Column) -> Column:
+        """Distinct neighbours; comparing all with all would take their square."""
+        keep = F.transform(
+            sorted_,
+            lambda p, i: F.when((i == 0) | (p["token"] != F.get(sorted_, i - 1)["token"]), p),
+        )
+        return F.filter(keep, lambda p: p.isNotNull())
+
+    distinct = F.when(F.size("__edits") <= FEW_EDITS, F.array_distinct(pairs)).otherwise(
+        let(F.array_sort(pairs), once)
     )
     return (
         edits.withColumn(out, splice(F.col(text), F.col("__edits")))
-        .withColumn("vault", F.array_distinct(pairs))
+        .withColumn("vault", distinct)
         .drop("__edits")
     )
 

@@ -237,3 +237,16 @@ def test_blocks_stay_even_where_numbers_are_sparse(spark):
     width = (high - low + 1) / -(-20_000 // 256)
     sizes = rows.groupBy(F.floor((place - low) / width).alias("b")).count().agg(F.max("count"))
     assert sizes.first()[0] < 3 * 256
+
+
+@pytest.mark.parametrize("n", [3, 100, 101, 3000])
+def test_numbers_in_a_long_message(messages, n):
+    rng = random.Random(n)
+    made = [rng.choice([f"u{rng.randrange(n)}@b.com", f"10.0.{rng.randrange(9)}.{rng.randrange(99)}"]) for _ in range(n)]
+    known, want = {}, []
+    for value in made:
+        kind = "EMAIL_ADDRESS" if "@" in value else "IP_ADDRESS"
+        number = known.setdefault((kind, value), 1 + sum(k == kind for k, _ in known))
+        want.append(f"<{kind}_{number}>")
+    row = T.scrub_document(analyze(messages(" ".join(made)))).first()
+    assert row.scrubbed == " ".join(want)
