@@ -31,6 +31,8 @@ SPACE = b"\x20\t\n\x0b\x0c\r"
 BITS = 48
 #: Most rows of a block: one sorted hash list, and one group when the bitmaps return.
 BLOCK = 1 << 17
+#: Most groups that are broadcast to their rows; more are joined.
+GROUPS = 100_000
 
 
 def normalise(text: bytes | None) -> bytes:
@@ -188,9 +190,14 @@ def duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
         F.col("_best._row").alias("_keep"),
         one.alias("group_size"),
     )
+    groups = broadcast_if_small(groups.where("group_size > 1"), GROUPS)
     sha = F.lower(F.hex("_sha")).alias("text_sha256")
-    grouped = suspects.join(groups, "_sha").select(
-        key, "keep_id", "group_size", (F.col("_row") == F.col("_keep")).alias("kept"), sha
+    grouped = suspects.join(groups, "_sha", "left").select(
+        key,
+        F.when(F.col("group_size").isNull(), F.col(key)).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+        F.coalesce(F.col("_row") == F.col("_keep"), F.lit(True)).alias("kept"),
+        sha,
     )
     single = marked.where("not _suspect").select(
         key,
