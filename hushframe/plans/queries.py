@@ -563,11 +563,13 @@ def _stream(spark, sf_dir) -> DataFrame:
             T.StructField("source", T.StringType()),
         ]
     )
-    files = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = spark.readStream.schema(schema)
+    if store.getFileStatus(path).isDirectory():
+        files = files.parquet(f"{sf_dir}/documents.parquet")
+    else:  # a stream's path has to be a folder
+        files = files.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     return as_messages(files, "source", "doc_id", "text", "lang")
 
 
