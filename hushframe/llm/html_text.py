@@ -73,6 +73,7 @@ class Node:
     form: bool = False  # out only because of a form around it
     link: bool = False
     kept: bool = False  # inside an article
+    named: bool = False  # class or id names furniture
     depth: int = 0
 
 
@@ -87,24 +88,24 @@ class Leaf:
     kept: bool = field(default=False)
 
 
-def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[bool, bool]:
-    """Whether an element is out, and whether only for being a form."""
+def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[bool, bool, bool]:
+    """Whether an element is out, whether only for being a form, and whether named so."""
     if tag == "form":
-        return True, True
+        return True, True, False
     if tag in NEVER or attrs.get("role", "").lower() in NEVER_ROLES:
-        return True, False
+        return True, False, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True, False
+        return True, False, False
     if _HIDDEN.search(attrs.get("style", "")):
-        return True, False
+        return True, False, False
     if tag == "header" and not parent.kept:
-        return True, False
+        return True, False, False
     if tag in ("html", "body", *KEEPS):
-        return False, False
+        return False, False, False
     names = {n.lower() for k in ("class", "id") for n in _NAMES.findall(attrs.get(k, ""))}
     if names & FURNITURE and not (names & CONTENT and not names & {"ad", "ads", "comments"}):
-        return True, False
-    return False, False
+        return False, False, True
+    return False, False, False
 
 
 def _attributes(tag: str) -> dict[str, str]:
@@ -173,12 +174,12 @@ def leaves(page: str) -> list[Leaf]:
                 out.append(Leaf(" ", node, block))
             continue
         attrs = _attributes(page[m.end() : at]) if at - m.end() > 1 else {}
-        is_out, form = _furniture(tag, attrs, node)
+        is_out, form, named = _furniture(tag, attrs, node)
         if node.depth >= DEPTH:
             node = node.parent
         path = paths.setdefault((node.path, tag), len(paths) + 1)
         new = Node(tag, path, node, is_out, form, tag == "a" or node.link)
-        new.kept, new.depth = node.kept or tag in KEEPS, node.depth + 1
+        new.kept, new.depth, new.named = node.kept or tag in KEEPS, node.depth + 1, named
         if node.out and not (node.form and tag in KEEPS):
             new.out, new.form = True, node.form and (form or not is_out)
         if tag in RAW:
@@ -234,6 +235,39 @@ def score_paths(found: list[Leaf], sigma: float = 1.0) -> float:
     return min(spread, max(scores) / 2)
 
 
+def _without_named(found: list[Leaf]) -> list[Leaf]:
+    """Leaves outside elements whose names are those of furniture.
+
+    Such an element stays if it is around the page's text: if more than half of the
+    text outside links is in it, of that in articles where there are any.
+    """
+    worded = [x for x in found if not x.node.link and x.text.strip()]
+    worded = [x for x in worded if x.node.kept] or worded
+    held: dict[int, int] = {}
+    total = 0
+    for leaf in worded:
+        size, node = len(leaf.text.strip()), leaf.node
+        total += size
+        while node is not None:
+            if node.named:
+                held[id(node)] = held.get(id(node), 0) + size
+            node = node.parent
+    cut: dict[int, bool] = {}
+
+    def is_cut(node: Node | None) -> bool:
+        seen = []
+        while node is not None and id(node) not in cut:
+            seen.append(node)
+            node = node.parent
+        yes = node is not None and cut[id(node)]
+        for n in reversed(seen):
+            yes = yes or n.named and 2 * held.get(id(n), 0) <= total
+            cut[id(n)] = yes
+        return yes
+
+    return [x for x in found if not is_cut(x.node)]
+
+
 def _ancestors(node: Node | None) -> list[Node]:
     """From the root down."""
     out = []
@@ -247,19 +281,23 @@ def main_text(page: str | None) -> str:
     """The article of a page: its blocks, in page order, joined by a blank line.
 
     Leaves inside furniture are left out.  Of the others, those on content paths (by
-    ``score_paths``) mark where the article is: the element around all of them, widened
-    to the nearest ``article`` or ``main``.  All blocks in there belong to the text, but
+    ``score_paths``) mark where the article is: the element around all of those inside
+    ``article`` and ``main`` or all outside, whichever have the larger sum of scores,
+    widened to the nearest ``article`` or ``main``.  All blocks in there belong to the text, but
     for leaves off the content paths that are lists of links only.
     """
-    found = [x for x in leaves(page or "") if not x.node.out]
+    found = _without_named([x for x in leaves(page or "") if not x.node.out])
     worded = [x for x in found if x.text.strip()]
     if not worded:
         return ""
     least = score_paths(worded)
     marked = [x for x in worded if x.score >= least] or worded
-    chains: dict[int, list[Node]] = {id(x.node): _ancestors(x.node) for x in marked}
-    inside = [c for c in chains.values() if any(n.tag in KEEPS for n in c)]
-    first, *others = inside or list(chains.values())
+    sums = {kept: sum(x.score for x in marked if x.node.kept is kept) for kept in (True, False)}
+    kept = sums[True] >= sums[False] and any(x.node.kept for x in marked)
+    chains: dict[int, list[Node]] = {
+        id(x.node): _ancestors(x.node) for x in marked if x.node.kept is kept
+    }
+    first, *others = chains.values()
     depth = len(first)
     for chain in others:
         depth = min(depth, len(chain))
