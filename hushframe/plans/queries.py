@@ -613,14 +613,16 @@ def stream_scrub(spark, sf_dir):
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     docs = C.documents(spark, sf_dir)
     last = docs.agg(F.max("seq")).first()[0] or 0
+    third = F.floor(F.col("seq") * 3 / (F.lit(max(last, 0)) + 1))
+    third = F.greatest(F.lit(0), F.coalesce(third, F.lit(0)))  # of null and negative numbers too
     for part in range(3):
-        of_part = F.floor(F.col("seq") * 3 / (last + 1)) == part
-        docs.where(of_part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    files = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1)
-    scrub(
-        files.parquet(f"{base}/in"), f"{base}/vault", f"{base}/out", f"{base}/checkpoint",
-        policy.Settings("permissive"),
-    )
+        docs.where(third == part).write.mode("append").parquet(f"{base}/in")
+        # a run takes all new files, however many, as one micro-batch
+        scrub(
+            spark.readStream.schema(docs.schema).parquet(f"{base}/in"),
+            f"{base}/vault", f"{base}/out", f"{base}/checkpoint",
+            policy.Settings("permissive"),
+        )
     return spark.read.parquet(f"{base}/out").select(*KEYS, "outcome", "delivered")
 
 
