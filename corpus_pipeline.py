@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hushframe.llm import exact_dedup, mixing, near_copies, piece_sampling, quality
+from hushframe.llm import exact_dedup, mixing, piece_sampling, quality, simhash
 from hushframe.llm.queries import graded, table
 from hushframe.sources.tables import stage
 
@@ -21,8 +21,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with similar shingles of five words."""
-    return near_copies.keep_first(docs, "doc_id", "text", length=5, similarity=0.8)
+    """One document of each group whose fingerprints link at few differing bits."""
+    return simhash.keep_first(docs, "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
