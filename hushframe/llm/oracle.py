@@ -5,6 +5,20 @@ from __future__ import annotations
 _SQL: dict[str, str] = {}
 
 
+#: The table of CRC-32, and the CRC-32 of the UTF-8 bytes of a text ``f`` by it.
+_CRC_TABLE = """bits(i, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+  FROM bits WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295,
+  list_transform(range(1, octet_length(encode(f)) + 1), lambda i:
+    CAST('0x' || substr(hex(encode(f)), CAST(2 * i - 1 AS INT), 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INT)])), 4294967295)"""
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
@@ -85,3 +99,46 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
       FROM scores)
 WHERE n <= 5
 """
+
+_SQL["op11_resample"] = rf"""
+WITH RECURSIVE {_CRC_TABLE}, texts AS (
+  SELECT 0 AS side, doc_id, text FROM documents
+  UNION ALL SELECT 1, NULL, text FROM benchmark
+), words AS (
+  SELECT side, doc_id, coalesce(regexp_extract_all({_LOWER.format("text")},
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts
+), runs AS (
+  SELECT side, doc_id, len(w) AS n_words, list_concat(w, list_transform(
+           range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS fs FROM words
+), uses AS (SELECT side, doc_id, unnest(fs) AS f FROM runs
+), named AS (
+  SELECT f, {_CRC} % 10000 AS bucket FROM (SELECT DISTINCT f FROM uses), crc
+), counts AS (
+  SELECT bucket, CAST(count(*) FILTER (side = 0) AS DOUBLE) AS s,
+         CAST(count(*) FILTER (side = 1) AS DOUBLE) AS t
+  FROM uses JOIN named USING (f) GROUP BY bucket
+), totals AS (SELECT sum(s) + 10000 AS s, sum(t) + 10000 AS t FROM counts
+), gains AS (
+  SELECT bucket, floor(1000 * ln((c.t + 1) * a.s / ((c.s + 1) * a.t))) AS gain
+  FROM counts c, totals a
+), weights AS (
+  SELECT doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+  FROM uses JOIN named USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id
+), draws AS (
+  SELECT doc_id, n_words, CAST(len(fs) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || substr(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM runs LEFT JOIN weights USING (doc_id) WHERE side = 0
+), scores AS (
+  SELECT doc_id, n_words >= 20 AS fit, n_features, weight,
+         weight + CAST(floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT)
+         AS score
+  FROM draws
+), places AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY fit) AS n
+  FROM scores
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank
+FROM places
+"""

@@ -15,6 +15,7 @@ from hushframe.llm import (
     pii,
     piece_sampling,
     quality,
+    resampling,
     secret_scan,
     simhash,
     topk,
@@ -135,3 +136,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@query
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target, "doc_id", "text", "text")
