@@ -142,3 +142,43 @@ SELECT doc_id, n_features, weight, score,
        CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank
 FROM places
 """
+
+_SQL["op12_spelling"] = rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents) GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, c, {_CRC} AS h
+  FROM (SELECT run, c, CAST(doc_id AS VARCHAR) || ':' || run AS f FROM runs), crc
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 199 = 0
+      THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+      ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), cut AS (
+  SELECT DISTINCT word, n, CAST(i AS INT) AS i,
+         substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i
+  WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n
+  FROM pairs GROUP BY word
+), forms AS (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), chain(word, last) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.last = f.word WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT c.word, c.last AS root FROM chain c JOIN forms f ON c.last = f.word WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""

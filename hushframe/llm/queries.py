@@ -18,6 +18,7 @@ from hushframe.llm import (
     resampling,
     secret_scan,
     simhash,
+    spelling,
     topk,
 )
 
@@ -142,3 +143,8 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return resampling.resample(docs, target, "doc_id", "text", "text")
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), "doc_id", "text")
