@@ -20,6 +20,7 @@ from hushframe.llm import (
     simhash,
     spelling,
     topk,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +149,12 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = toxicity.held_out("doc_id")
+    model = toxicity.fit(docs.where(~held), labels.where(~held), "doc_id", "text", "toxic")
+    found = toxicity.score(docs, model, "doc_id", "text")
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
