@@ -10,78 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.patterns import TOKEN, java_pattern
 from hushframe.functions.spans import FEW_EDITS, find_spans, let, running, splice
 from hushframe.functions.text import format_token
 from hushframe.operators.detectors import hits_only
+from hushframe.operators.ordering import BLOCK_BITS, number_rows, prefix_sum
 from hushframe.operators.overlap import by_start
 from hushframe.operators.policy import DEFAULT_SETTINGS, Settings, entity_decision
 
 TOKEN_PATTERN = java_pattern(TOKEN)
-BLOCK_BITS = 16
 MAX_START = 2**31  # more than any offset in a string
 
 
-def prefix_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    seq: str,
-    ties: Sequence[str],
-    value: Column,
-    out: str,
-    bits: int = BLOCK_BITS,
-) -> DataFrame:
-    """Running sum of ``value`` by ``keys`` in the order (seq, ties), inclusive.
-
-    A plain window would put all rows of a key in one task, and one key may hold a
-    third of the table.  Here a key's range of ``seq`` is cut into equal stretches, as
-    many as give 2^bits rows on average: rows are summed within their block, and a
-    second, far smaller window over one row per block gives what comes before each
-    block.  So it does not matter whether ``seq`` counts messages or is a hash or a
-    time.  Rows with a missing key are left out.
-    """
-    by_block = [*keys, "__block"]
-    place = F.col(seq).cast("double")
-    ranges = df.groupBy(*keys).agg(
-        F.min(place).alias("__low"),
-        F.max(place).alias("__high"),
-        F.ceil(F.count(F.lit(1)) / F.lit(float(1 << bits))).alias("__blocks"),
-    )
-    width = (F.col("__high") - F.col("__low") + 1) / F.col("__blocks")
-    block = F.floor((place - F.col("__low")) / width)
-    blocked = (
-        df.join(ranges, list(keys))
-        .withColumn("__block", block)
-        .withColumn("__value", value.cast("bigint"))
-        .drop("__low", "__high", "__blocks")
-    )
-    within = (
-        Window.partitionBy(*by_block)
-        .orderBy(seq, *ties)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ahead = (
-        Window.partitionBy(*keys)
-        .orderBy("__block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = (
-        blocked.groupBy(*by_block)
-        .agg(F.sum("__value").alias("__total"))
-        .withColumn("__before", F.coalesce(F.sum("__total").over(ahead), F.lit(0)))
-        .drop("__total")
-    )
-    return (
-        blocked.withColumn("__within", F.sum("__value").over(within))
-        .join(before, by_block)
-        .withColumn(out, F.col("__before") + F.col("__within"))
-        .drop("__block", "__value", "__within", "__before")
-    )
-
-
 def first_seen(spans: DataFrame) -> DataFrame:
     """Distinct values of a scope with the place of their first occurrence.
 
@@ -103,31 +46,27 @@ def first_seen(spans: DataFrame) -> DataFrame:
     )
 
 
-def number_values(values: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def number_values(values: DataFrame) -> DataFrame:
     """Number first-seen values per (scope, type) and format their tokens."""
-    return prefix_sum(
-        values,
-        ["scope_id", "entity_type"],
-        "first_seq",
-        ["first_start", "value"],
-        F.lit(1),
-        "idx",
-        bits,
-    ).withColumn("token", format_token(F.col("entity_type"), F.col("idx")))
-
-
-def token_vault(spans: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    order = ["first_seq", "first_start", "value"]
+    numbered = number_rows(values, ["scope_id", "entity_type"], order, "idx")
+    return numbered.withColumn("token", format_token(F.col("entity_type"), F.col("idx")))
+
+
+def token_vault(spans: DataFrame) -> DataFrame:
     """The vault of a table of spans ``(scope_id, seq, entity_type, start, value)``.
 
     ``scope_id`` decides how far a token reaches: a document, a session, an epoch
     of a session, or one constant for a whole corpus.  Spans without scope or number
     have no place in an order and get no token; scrubbing fails their messages.
+    The spans are read once: numbering writes the distinct values, sorted, to the shared
+    folder.
     """
     placed = spans.where(F.col("scope_id").isNotNull() & F.col("seq").isNotNull())
-    return number_values(first_seen(placed), bits)
+    return number_values(first_seen(placed))
 
 
-def vault_append(vault: DataFrame, spans: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def vault_append(vault: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows to append to a vault for spans that come later.
 
     Known values keep their tokens; new ones continue their counter.
@@ -137,7 +76,7 @@ def vault_append(vault: DataFrame, spans: DataFrame, bits: int = BLOCK_BITS) ->
     fresh = first_seen(spans).join(vault.select(*key), key, "left_anti")
     last = vault.groupBy("scope_id", "entity_type").agg(F.max("idx").alias("__last"))
     return (
-        number_values(fresh, bits)
+        number_values(fresh)
         .join(last, ["scope_id", "entity_type"], "left")
         .withColumn("idx", F.col("idx") + F.coalesce("__last", F.lit(0)))
         .withColumn("token", format_token(F.col("entity_type"), F.col("idx")))
@@ -166,9 +105,7 @@ def epochs(messages: DataFrame, clears: DataFrame, bits: int = BLOCK_BITS) -> Da
         )
     )
     return (
-        prefix_sum(
-            marked, ["scope_id"], "seq", ["__clear"], F.col("__clear"), "epoch", bits
-        )
+        prefix_sum(marked, ["scope_id"], ["seq", "__clear"], F.col("__clear"), "epoch", bits)
         .where(F.col("__clear") == 0)
         .select("scope_id", "seq", "epoch")
     )
@@ -362,10 +299,10 @@ def _collected(edits: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def complete_vault(vault: DataFrame, spans: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def complete_vault(vault: DataFrame, spans: DataFrame) -> DataFrame:
     """The vault with tokens for all values of ``spans``: known ones stay, new ones follow."""
     columns = ["scope_id", "entity_type", "value", "token"]
-    return vault.select(*columns).unionByName(vault_append(vault, spans, bits).select(*columns))
+    return vault.select(*columns).unionByName(vault_append(vault, spans).select(*columns))
 
 
 def scrub_session(
@@ -410,43 +347,53 @@ def scrub_session(
     )
 
 
+def _known_tokens(vault: DataFrame) -> DataFrame:
+    """``scope_id, token, put``: the tokens of a vault that stand for one value only."""
+    known = vault.groupBy("scope_id", "token").agg(
+        F.min("value").alias("put"), F.max("value").alias("__other")
+    )
+    return known.where(F.col("put") == F.col("__other")).drop("__other")
+
+
 def restore_text(
     df: DataFrame, vault: DataFrame, text: str = "scrubbed", out: str = "restored"
 ) -> DataFrame:
     """Replace the tokens of each message by the values of its scope's vault.
 
-    A token is taken whole, tokens that the scope does not know stay as they are,
-    and restored text is not searched again.
+    A token is taken whole, tokens that the scope does not know stay as they are, and
+    so do those that the vault gives several values; restored text is not searched again.
+    Messages may share their scope and number, or lack a number: edits belong to scope,
+    number and the hash of the text, so each message gets its own.  Without a scope
+    nothing is known.  Only messages with a token are joined; give a staged ``df`` where
+    it is costly, as those and the others are read apart.
     """
-    found = (
-        df.select(
-            "scope_id",
-            "seq",
-            F.explode(find_spans(F.col(text), TOKEN_PATTERN)).alias("__t"),
-        )
-        .select(
-            "scope_id",
-            "seq",
-            F.col("__t.start").alias("start"),
-            F.col("__t.end").alias("end"),
-            F.col("__t.value").alias("token"),
-        )
+    has_token = F.coalesce(F.col(text).rlike(TOKEN_PATTERN), F.lit(False))
+    marked = df.where(has_token).withColumn("__sha", F.sha2(F.col(text).cast("binary"), 256))
+    found = marked.select(
+        "scope_id", "seq", "__sha", F.explode(find_spans(F.col(text), TOKEN_PATTERN)).alias("__t")
     )
-    edits = found.join(
-        vault.select("scope_id", "token", F.col("value").alias("put")),
-        ["scope_id", "token"],
+    found = found.select(
+        "scope_id", "seq", "__sha", "__t.start", "__t.end", F.col("__t.value").alias("token")
     )
-    keys = ["scope_id", "seq"]
-    return (
-        df.join(_collected(edits, keys), keys, "left")
-        .withColumn(
-            out,
-            F.when(F.col("__edits").isNull(), F.col(text)).otherwise(
-                splice(F.col(text), F.col("__edits"))
-            ),
-        )
-        .drop("__edits")
+    edits = found.join(_known_tokens(vault), ["scope_id", "token"])
+    edits = edits.groupBy("scope_id", "seq", "__sha").agg(
+        F.collect_set(F.struct("start", "end", "put")).alias("__edits")
+    )
+    edits = edits.select(
+        F.col("scope_id").alias("__scope"), F.col("seq").alias("__seq"), F.col("__sha").alias("__of"),
+        "__edits",
+    )
+    own = (
+        (F.col("scope_id") == F.col("__scope"))
+        & F.col("seq").eqNullSafe(F.col("__seq"))
+        & (F.col("__sha") == F.col("__of"))
+    )
+    restored = F.when(F.col("__edits").isNull(), F.col(text)).otherwise(
+        splice(F.col(text), F.col("__edits"))
     )
+    done = marked.join(edits, own, "left").withColumn(out, restored)
+    done = done.drop("__edits", "__scope", "__seq", "__of", "__sha")
+    return done.unionByName(df.where(~has_token).withColumn(out, F.col(text)))
 
 
 def literal_tokens(df: DataFrame, text: str = "text") -> DataFrame:

@@ -518,6 +518,18 @@ FROM fresh LEFT JOIN last USING (scope_id, entity_type)"""
 SELECT m.scope_id, m.seq, m.text || ' see ' || coalesce(v.value, '<PHONE_NUMBER_1>') || ' or <PERSON_99>' AS restored
 FROM m SEMI JOIN kept USING (scope_id, seq)
 LEFT JOIN (SELECT scope_id, value FROM vault WHERE token = '<PHONE_NUMBER_1>') v USING (scope_id)"""
+    sql["restore_text_hard"] = _with(
+        CORPUS,
+        vault=_vault(),
+        spliced="SELECT kept.*, CASE WHEN seq % 11 = 0 OR idx % 5 = 0 THEN token ELSE value END AS token"
+        " FROM kept JOIN vault USING (scope_id, entity_type, value)",
+        done=_SCRUBBED,
+    ) + """
+SELECT CASE WHEN d.seq % 11 <> 0 THEN d.scope_id END AS scope_id,
+  CASE WHEN d.seq % 13 <> 0 THEN d.seq // 3 END AS seq, d.seq AS row,
+  scrubbed || ' see ' || coalesce(CASE WHEN d.seq % 11 <> 0 THEN v.value END, '<PHONE_NUMBER_1>') AS restored
+FROM done d LEFT JOIN (SELECT scope_id, value FROM vault WHERE token = '<PHONE_NUMBER_1>') v
+  ON v.scope_id = d.scope_id"""
     quoted = """
 SELECT 'seg-' || c_mktsegment AS scope_id, c_custkey AS seq, 'about <SSN_' || (c_custkey % 500)::VARCHAR
   || '> and <PERSON_' || c_custkey::VARCHAR || '> please' AS text FROM customer"""

@@ -349,6 +349,22 @@ def restore_text(spark, sf_dir):
     return tokens.restore_text(replies, vault).select(*KEYS, "restored")
 
 
+@query
+def restore_text_hard(spark, sf_dir):
+    """Messages that share or lack keys; a vault with doubled and contradicting rows."""
+    hits, n = _hits(spark, sf_dir), F.col("seq")
+    vault = stage(tokens.token_vault(explode_detections(hits, KEYS)))
+    replies = tokens.scrub_session(hits, vault).select(
+        F.when(n % 11 != 0, F.col("scope_id")).alias("scope_id"),
+        F.when(n % 13 != 0, F.floor(n / 3)).cast("bigint").alias("seq"),
+        n.alias("row"),
+        F.concat("scrubbed", F.lit(" see <PHONE_NUMBER_1>")).alias("scrubbed"),
+    )
+    other = vault.where(F.col("idx") % 5 == 0).withColumn("value", F.lit("other"))
+    doubled = vault.unionByName(vault).unionByName(other)
+    return tokens.restore_text(stage(replies), doubled).select(*KEYS, "row", "restored")
+
+
 @query
 def literal_token_collisions(spark, sf_dir):
     vault = tokens.token_vault(_kept(spark, sf_dir))

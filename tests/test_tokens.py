@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.operators import audit
+from hushframe.operators import audit, ordering
 from hushframe.operators import tokens as T
 from hushframe.operators.detectors import explode_detections
 from hushframe.operators.policy import Settings
@@ -41,14 +41,13 @@ def brute_vault(rows):
 SPAN = "scope_id string, seq bigint, entity_type string, start int, value string"
 
 
-@pytest.mark.parametrize("bits", [0, 4, 16])
 @pytest.mark.parametrize("partitions", [1, 40])
-def test_vault_equals_brute_force(spark, bits, partitions):
+def test_vault_equals_brute_force(spark, partitions):
     rows = random_spans(900)
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
         df = spark.createDataFrame(rows, SPAN).repartition(7)
-        assert vault_rows(T.token_vault(df, bits)) == brute_vault(rows)
+        assert vault_rows(T.token_vault(df)) == brute_vault(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
@@ -224,21 +223,53 @@ def test_allowed_types_are_left_out_on_request(messages):
         assert T.scrub_session(df.withColumn("detections", spans)).first().scrubbed == want
 
 
-def test_blocks_stay_even_where_numbers_are_sparse(spark):
-    """Hashed positions: a block holds a few times the mean at most, and order is kept."""
-    rows = spark.range(20_000).select(
-        F.lit("s").alias("k"), F.xxhash64("id").alias("seq"), F.lit(1).alias("one")
-    )
-    got = T.prefix_sum(rows, ["k"], "seq", [], F.col("one"), "n", bits=8)
-    ordered = [r.n for r in got.orderBy("seq").collect()]
-    assert ordered == list(range(1, 20_001))
-    place = F.col("seq").cast("double")
-    low, high = rows.agg(F.min(place), F.max(place)).first()
-    width = (high - low + 1) / -(-20_000 // 256)
-    sizes = rows.groupBy(F.floor((place - low) / width).alias("b")).count().agg(F.max("count"))
-    assert sizes.first()[0] < 3 * 256
+@pytest.mark.parametrize("bits", [0, 3, 16])
+def test_running_sums_equal_a_plain_loop(spark, bits):
+    rng = random.Random(bits)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i * i - 50, rng.choice([0, 0, 1, 5])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, v int").repartition(5)
+    got = {(r.k, r.seq): r.s for r in ordering.prefix_sum(df, ["k"], ["seq"], F.col("v"), "s", bits).collect()}
+    sums, want = {}, {}
+    for k, seq, v in sorted(rows, key=lambda r: r[1]):
+        if k is not None:
+            sums[k] = want[k, seq] = sums.get(k, 0) + v
+    assert got == want
+    assert ordering.prefix_sum(df.where("false"), ["k"], ["seq"], F.col("v"), "s").count() == 0
+
+
+def test_parts_stay_even_whatever_the_numbers(spark):
+    """One place far away from all others, one key for all rows: no part over three times the mean."""
+    far = F.when(F.col("id") == 7, F.lit(2**60)).otherwise(F.col("id"))
+    rows = spark.range(200_000).select(F.lit("s").alias("k"), far.alias("seq"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = ordering.sorted_parts(rows, "k", "seq")
+        sizes = [r["count"] for r in parts.groupBy("__part").count().collect()]
+        assert len(sizes) >= 7 and max(sizes) <= 3 * 200_000 / len(sizes)
+        got = ordering.number_rows(rows, ["k"], ["seq"], "n").orderBy("seq")
+        assert [r.n for r in got.collect()] == list(range(1, 200_001))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_restore_keeps_messages_apart(spark):
+    replies = [
+        ("s", 1, "mail <EMAIL_ADDRESS_1> now"), ("s", 1, "x <EMAIL_ADDRESS_2>"), ("s", 1, "x <EMAIL_ADDRESS_2>"),
+        ("s", None, "<EMAIL_ADDRESS_1>, <EMAIL_ADDRESS_3>"), (None, 1, "<EMAIL_ADDRESS_1>"), ("s", 2, None),
+        ("s", 2, "<EMAIL_ADDRESS_01> <EMAIL_ADDRESS_1>"), ("t", 1, "<EMAIL_ADDRESS_1>"), ("s", 3, "plain"),
+    ]
+    vault = [("s", "<EMAIL_ADDRESS_1>", "a@b.com"), ("s", "<EMAIL_ADDRESS_1>", "a@b.com"),
+             ("s", "<EMAIL_ADDRESS_2>", "zz@y.com"), ("s", "<EMAIL_ADDRESS_3>", "one"),
+             ("s", "<EMAIL_ADDRESS_3>", "two"), (None, "<EMAIL_ADDRESS_1>", "nobody")]
+    df = spark.createDataFrame(replies, "scope_id string, seq bigint, scrubbed string")
+    vault = spark.createDataFrame(vault, "scope_id string, token string, value string")
+    got = sorted((str(r.scope_id), str(r.seq), str(r.restored)) for r in T.restore_text(df, vault).collect())
+    assert got == sorted([
+        ("s", "1", "mail a@b.com now"), ("s", "1", "x zz@y.com"), ("s", "1", "x zz@y.com"),
+        ("s", "None", "a@b.com, <EMAIL_ADDRESS_3>"), ("None", "1", "<EMAIL_ADDRESS_1>"), ("s", "2", "None"),
+        ("s", "2", "<EMAIL_ADDRESS_01> a@b.com"), ("t", "1", "<EMAIL_ADDRESS_1>"), ("s", "3", "plain"),
+    ])
+
 @pytest.mark.parametrize("n", [3, 100, 101, 3000])
 def test_numbers_in_a_long_message(messages, n):
     rng = random.Random(n)
