@@ -82,10 +82,10 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM co
 
 _SQL["op10_top_k"] = r"""
 WITH whole AS (
-  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT) FOR x IN embedding] AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(
-    [x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x) OR abs(x) >= 262144]) = 0
+    [x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
 ), parts AS (
   SELECT vec_id, len(v) AS dim, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM whole
 ), scores AS (

@@ -20,42 +20,60 @@ QUERIES = 256
 DROP = 2
 
 
-def quantised(vector: Column, scale: int = 256) -> Column:
-    """``floor(scale * x)`` of each component; null for vectors that take no part.
+def scaled(vector: Column, scale: int = 256) -> Column:
+    """``scale * x`` of each component as a double; null for vectors that take no part.
 
-    Those are null vectors and such with components that are null, not finite, or so
-    large (2^26 after scaling) that a score might not fit a bigint.
+    Those are null vectors and such with components that are null or not finite.
     """
-    x = F.transform(vector, lambda c: c.cast("double"))
-    odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) * scale >= float(1 << 26)))
-    whole = F.transform(x, lambda c: F.floor(c * scale).cast("bigint"))
-    return F.when(vector.isNotNull() & ~F.coalesce(odd, F.lit(True)), whole)
+    x = F.transform(vector, lambda c: c.cast("double") * float(scale))
+    odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    return F.when(vector.isNotNull() & ~F.coalesce(odd, F.lit(True)), x)
+
+
+PACK = "dim int, block bigint, n int, ids binary, known binary, vectors binary"
 
 
 def _packed(df: DataFrame, group: str) -> DataFrame:
-    """Groups of rows (of equal dimension) as matrices: ``dim, block, n, ids, vectors``."""
-    schema = "dim int, block bigint, n int, ids binary, known binary, vectors binary"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    """Groups of rows (of equal dimension) as matrices of whole numbers, rounded down."""
+    arrow = to_arrow_schema(StructType.fromDDL(PACK))
 
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("id").combine_chunks()
         ids = np.asarray(keys.fill_null(0), np.int64)
         known = np.asarray(keys.is_valid(), bool)
         dim = table.column("dim")[0].as_py()
-        flat = table.column("v").combine_chunks().flatten()
-        vectors = np.asarray(flat, np.int64).reshape(len(ids), dim)
+        flat = np.asarray(table.column("v").combine_chunks().flatten(), float)
+        vectors = np.floor(flat).reshape(len(ids), dim)
         row = (dim, table.column(group)[0].as_py(), len(ids))
-        narrow = np.int16 if np.abs(vectors).max(initial=0) < 1 << 15 else np.int64
-        blobs = (ids.tobytes(), known.tobytes(), vectors.astype(narrow).tobytes())
+        most = np.abs(vectors).max(initial=0)
+        kind = np.int16 if most < 1 << 15 else np.int64 if most < 2.0**62 else np.float64
+        blobs = (ids.tobytes(), known.tobytes(), kind(0).dtype.char.encode() + vectors.astype(kind).tobytes())
         return pa.Table.from_pylist([dict(zip(arrow.names, row + blobs))], arrow)
 
-    return df.select("dim", group, "id", "v").groupBy("dim", group).applyInArrow(run, schema)
+    return df.select("dim", group, "id", "v").groupBy("dim", group).applyInArrow(run, PACK)
 
 
 def _unpack(n: int, dim: int, ids: bytes, known: bytes, vectors: bytes):
-    kind = np.int16 if len(vectors) == 2 * n * dim else np.int64
-    matrix = np.frombuffer(vectors, kind).astype(np.int64).reshape(n, dim)
-    return np.frombuffer(ids, np.int64), np.frombuffer(known, bool), matrix
+    """Ids, which are known, and the matrix: of int64, or of Python integers if too large."""
+    matrix = np.frombuffer(vectors, vectors[:1].decode(), offset=1).reshape(n, dim)
+    if matrix.dtype == np.float64:
+        whole = np.array([int(x) for x in matrix.ravel()] + [None], object)[:-1].reshape(n, dim)
+    else:
+        whole = matrix.astype(np.int64)
+    return np.frombuffer(ids, np.int64), np.frombuffer(known, bool), whole
+
+
+class Exact:
+    """A block of rows whose scores may not fit 64 bits: all are computed, without an index."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors.astype(object)
+
+    def top(self, query: np.ndarray, ids: np.ndarray, known: np.ndarray, k: int):
+        q = query.tolist()
+        scores = [sum(a * b for a, b in zip(v, q)) for v in self.vectors.tolist()]
+        order = sorted(range(len(scores)), key=lambda i: (-scores[i], not known[i], ids[i]))[:k]
+        return np.array(order, np.int64), [scores[i] for i in order]
 
 
 class BitSliced:
@@ -153,8 +171,8 @@ class BitSliced:
         bits = np.unpackbits((above | equal).view(np.uint8), bitorder="little")
         return np.flatnonzero(bits[: self.n])
 
-    def top(self, query: np.ndarray, ids: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
-        """Rows of the k largest scores, ties to the smaller id (unknown ids last)."""
+    def top(self, query: np.ndarray, ids: np.ndarray, known: np.ndarray, k: int):
+        """Rows and scores of the k largest scores, ties to the smaller id (unknown ids last)."""
         if k >= self.n:
             near = np.arange(self.n)
         else:
@@ -164,7 +182,59 @@ class BitSliced:
             near = self.at_least(sums, least)
         scores = self.vectors[near] @ query
         order = np.lexsort((ids[near], ~known[near], -scores))[:k]
-        return np.stack((near[order], scores[order]))
+        return near[order], scores[order].tolist()
+
+
+#: Components from this size on go to blocks of their own, which may need exact sums.
+WIDE = float(1 << 26)
+
+
+def _fits(rows: np.ndarray, queries: np.ndarray) -> bool:
+    """Whether all scores of a block and a query block surely fit 64 bits."""
+    if rows.dtype == object or queries.dtype == object:
+        return False
+    most = [int(max(abs(int(m.min(initial=0))), int(m.max(initial=0)))) for m in (rows, queries)]
+    return most[0] * most[1] * max(1, rows.shape[1]) < 1 << 62
+
+
+def _search(k: int):
+    """Answers of the query blocks that follow each block of rows; the index is built once."""
+
+    def run(batches):
+        at = index = plain = None
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids, known, matrix = _unpack(r.n, r.dim, r.ids, r.known, r.vectors)
+                if r.group < 0:
+                    at, index, plain = (ids, known, matrix), None, None
+                    continue
+                held_ids, held_known, vectors = at
+                if _fits(vectors, matrix):
+                    index = use = index or BitSliced(vectors)
+                else:
+                    plain = use = plain or Exact(vectors)
+                found = []
+                for i, q in enumerate(matrix):
+                    near, scores = use.top(q, held_ids, held_known, k + 1)
+                    same = held_known[near] & (held_ids[near] == ids[i]) & (vectors[near] == q).all(1)
+                    for row, score, x in zip(near.tolist(), scores, same):
+                        cut = max(-(1 << 63), min((1 << 63) - 1, score))
+                        id_ = held_ids[row] if held_known[row] else None
+                        found.append((f"{r.dim}:{r.group}:{i}", ids[i], id_, cut, _double(score), x))
+                out = pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
+                yield out.astype({"vec_id": "Int64", "score": "int64", "same": "bool"})
+
+    return run
+
+
+def _double(score: int) -> float:
+    try:
+        return float(score)
+    except OverflowError:
+        return float("inf") if score > 0 else float("-inf")
+
+
+FOUND = "asked string, query_id bigint, vec_id bigint, score bigint, size double, same boolean"
 
 
 def top_k(
@@ -179,53 +249,46 @@ def top_k(
 
     Components are ``floor(scale * x)``; the score is the integer inner product, ties go
     to the smaller key (null last), and a row is no candidate of itself.  Vectors that
-    ``quantised`` makes null take no part; only vectors of the same length are compared.  Repeated rows are candidates of each other, and repeated
-    query rows have results each.  Fewer candidates give fewer rows.
+    are null or have components that are null or not finite take no part; only vectors of
+    the same length are compared.  Scores are exact whatever their size; one beyond a bigint
+    is given as its largest or smallest value, and such scores are ordered as doubles.
+    Repeated rows are candidates of each other, and repeated query rows have results each.
+    Fewer candidates give fewer rows.
 
-    Rows are cut into blocks, each becoming a bit-sliced index, and queries into blocks;
-    every pair of blocks is one unit of work of bounded size, dealt by both numbers.  A
-    block returns ``k + 1`` rows per query, which one window per query merges.
+    Rows are cut into blocks, each becoming a bit-sliced index, and queries into blocks.
+    Every block of rows meets all blocks of queries, in as many lanes as give each core
+    work; a lane builds the index once.  Rows with large components are in blocks of
+    their own.  A block returns ``k + 1`` rows per query, which one window per query merges.
     """
+    spark = df.sparkSession
     held = df.select(
         F.col(key).cast("bigint").alias("id"),
-        quantised(F.col(vector), scale).alias("v"),
+        scaled(F.col(vector), scale).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("q"),
     )
     held = held.where("v is not null").withColumn("dim", F.size("v"))
     held = checkpointed(held.withColumn("row", F.monotonically_increasing_id()))
     count = held.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
     blocks, groups = (max(1, -(-count[c] // size)) for c, size in (("n", ROWS), ("q", QUERIES)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = min(groups, max(1, -(-tasks // blocks)))
+    wide = F.exists("v", lambda c: F.abs(c) >= WIDE).cast("int")
     mixed = F.xxhash64("row")
-    rows = _packed(held.withColumn("block", F.pmod(mixed, F.lit(blocks))), "block")
-    asked = _packed(held.where("q").withColumn("group", F.pmod(mixed, F.lit(groups))), "group")
-    rows = rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = asked.select(
-        "dim",
-        F.col("block").alias("group"),
-        *(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "known", "vectors")),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+    # narrow rows are in the blocks 0, 2, 4 …, wide ones in 1, 3, 5 …
+    rows = _packed(held.withColumn("block", 2 * F.pmod(mixed, F.lit(blocks)) + wide), "block")
+    asked = _packed(
+        held.where("q").withColumn("group", 2 * F.pmod(mixed, F.lit(groups)) + wide), "group"
     )
-    schema = "asked string, query_id bigint, vec_id bigint, score bigint, same boolean"
-
-    def search(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ids, known, vectors = _unpack(r.n, r.dim, r.ids, r.known, r.vectors)
-                asked_ids, _, queries = _unpack(r.q_n, r.dim, r.q_ids, r.q_known, r.q_vectors)
-                index, found = BitSliced(vectors), []
-                for i, q in enumerate(queries):
-                    at, scores = index.top(q, ids, known, k + 1)
-                    same = known[at] & (ids[at] == asked_ids[i]) & (vectors[at] == q).all(1)
-                    found += [
-                        (f"{r.dim}:{r.group}:{i}", asked_ids[i], id_ if ok else None, s, x)
-                        for id_, ok, s, x in zip(ids[at], known[at], scores, same)
-                    ]
-                out = pd.DataFrame(found, columns=["asked", "query_id", "vec_id", "score", "same"])
-                yield out.astype({"vec_id": "Int64"})
-
-    pairs = rows.join(asked, ["dim", "block", "group"])
-    found = pairs.mapInPandas(search, schema)
-    order = (F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    body = ["dim", "n", "ids", "known", "vectors"]
+    places = rows.select("dim", "block").distinct()
+    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    rows = rows.select(*body, "block", lane, F.lit(-1).cast("bigint").alias("group"))
+    asked = asked.withColumnRenamed("block", "group").join(places, "dim")
+    asked = asked.select(*body, "block", F.pmod("group", F.lit(lanes)).cast("int").alias("lane"), "group")
+    deal = ["dim", "block", "lane"]
+    both = rows.unionByName(asked).repartition(max(tasks, 1), *deal)
+    found = both.sortWithinPartitions(*deal, "group").mapInPandas(_search(k), FOUND)
+    order = (F.col("score").desc(), F.col("size").desc(), F.col("vec_id").asc_nulls_last())
     of_query = Window.partitionBy("asked")
     # of the rows that equal the query's own in key and vector, one is the query's own
     own = F.row_number().over(Window.partitionBy("asked", "same").orderBy(*order))

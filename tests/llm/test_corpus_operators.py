@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -244,13 +245,13 @@ def test_mix_is_native(spark, sf_dir):
 def plain_top_k(rows, k=5):
     out = []
     usable = [(i, v) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    whole = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in usable]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in usable]
     for n, (i, v) in enumerate(whole):
         if i is None or i % 50:
             continue
-        scored = [(-int(v @ w), j is None, j) for m, (j, w) in enumerate(whole) if m != n and len(w) == len(v)]
+        scored = [(-sum(a * b for a, b in zip(v, w)), j is None, j) for m, (j, w) in enumerate(whole) if m != n and len(w) == len(v)]
         scored.sort(key=lambda s: s[:2] + (s[2] or 0,))
-        out += [(i, r + 1, s[2], -s[0]) for r, s in enumerate(scored[:k])]
+        out += [(i, r + 1, s[2], max(-(2**63), min(2**63 - 1, -s[0]))) for r, s in enumerate(scored[:k])]
     return sorted(out, key=str)
 
 
@@ -263,10 +264,11 @@ def test_top_k(spark, monkeypatch, rows_, queries_):
     rows += [(i, [0.5] * 16) for i in range(700, 900)]  # ties
     rows += [(0, rows[0][1]), (0, rows[0][1]), (None, rows[3][1]), (50, None), (100, [None] * 16),
              (150, [float("nan")] * 16), (200, [float("inf")] * 16), (250, [1.0, 2.0]), (251, [3.0, -1.0]),
-             (300, []), (350, [0.0] * 16), (400, [-0.7] * 16), (450, [1e30] * 16)]
+             (300, []), (350, [0.0] * 16), (400, [-0.7] * 16), (450, [1e30] * 16),
+             (451, [300_000.0] + [0.0] * 15), (500, [-3e6] * 16), (452, [1e30] * 15 + [2e30])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("dim", F.lit("x"))
     got = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).collect()
-    plain = [(i, v and [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows[:-1]]
+    plain = [(i, v and [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     assert sorted(map(tuple, got), key=str) == plain_top_k(plain)
     empty = df.where("false")
     assert topk.top_k(empty, "vec_id", "embedding", F.col("vec_id") % 50 == 0).count() == 0
