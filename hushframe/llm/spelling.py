@@ -212,7 +212,9 @@ def neighbours(words: DataFrame, block: int = BLOCK) -> DataFrame:
         yield _answers(out)
 
     rows = cells(halves(words), block).select(*place, "asked", "word", "n")
-    rows = rows.repartition(*place).sortWithinPartitions(*place, "asked")
+    # the work grows with the words, not with the bytes by which parts are merged
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *place).sortWithinPartitions(*place, "asked")
     found = rows.mapInArrow(run, "word string, n_near bigint, near_n bigint, near string")
     best = F.min(F.struct((-F.col("near_n")).alias("order"), "near"))
     found = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
