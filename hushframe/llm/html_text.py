@@ -34,7 +34,7 @@ CLOSES = {
 #: What never is main text.
 NEVER = frozenset(
     "head script style noscript template iframe object embed svg canvas audio video "
-    "nav footer aside form button select textarea menu dialog search".split()
+    "nav footer aside button select textarea menu dialog search".split()
 )
 NEVER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar alert "
@@ -70,7 +70,6 @@ class Node:
     path: int  # number of the tag path from the root
     parent: Node | None
     out: bool = False  # furniture, or inside it
-    form: bool = False  # out only because of a form around it
     link: bool = False
     kept: bool = False  # inside an article
     named: bool = False  # class or id names furniture
@@ -88,24 +87,36 @@ class Leaf:
     kept: bool = field(default=False)
 
 
-def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[bool, bool, bool]:
-    """Whether an element is out, whether only for being a form, and whether named so."""
-    if tag == "form":
-        return True, True, False
+def _named(value: str) -> bool:
+    """Whether a class or id names furniture.
+
+    Its last word decides, as in ``story-share``; before that, a word for the text itself
+    outweighs one for furniture, but for adverts and comments.
+    """
+    words = [n.lower() for n in _NAMES.findall(value)]
+    if not words:
+        return False
+    if words[-1] in FURNITURE:
+        return True
+    names = set(words)
+    return bool(names & FURNITURE and not (names & CONTENT and not names & {"ad", "ads", "comments"}))
+
+
+def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[bool, bool]:
+    """Whether an element is out, and whether it may be, if it is not around the text."""
     if tag in NEVER or attrs.get("role", "").lower() in NEVER_ROLES:
-        return True, False, False
+        return True, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True, False, False
+        return True, False
     if _HIDDEN.search(attrs.get("style", "")):
-        return True, False, False
+        return True, False
     if tag == "header" and not parent.kept:
-        return True, False, False
-    if tag in ("html", "body", *KEEPS):
-        return False, False, False
-    names = {n.lower() for k in ("class", "id") for n in _NAMES.findall(attrs.get(k, ""))}
-    if names & FURNITURE and not (names & CONTENT and not names & {"ad", "ads", "comments"}):
-        return False, False, True
-    return False, False, False
+        return True, False
+    if tag == "form":
+        return False, True
+    if tag in ("html", "body", *KEEPS) or (tag == "p" and parent.kept):
+        return False, False
+    return False, any(_named(x) for k in ("class", "id") for x in attrs.get(k, "").split())
 
 
 def _attributes(tag: str) -> dict[str, str]:
@@ -174,14 +185,12 @@ def leaves(page: str) -> list[Leaf]:
                 out.append(Leaf(" ", node, block))
             continue
         attrs = _attributes(page[m.end() : at]) if at - m.end() > 1 else {}
-        is_out, form, named = _furniture(tag, attrs, node)
+        is_out, named = _furniture(tag, attrs, node)
         if node.depth >= DEPTH:
             node = node.parent
         path = paths.setdefault((node.path, tag), len(paths) + 1)
-        new = Node(tag, path, node, is_out, form, tag == "a" or node.link)
+        new = Node(tag, path, node, is_out or node.out, tag == "a" or node.link)
         new.kept, new.depth, new.named = node.kept or tag in KEEPS, node.depth + 1, named
-        if node.out and not (node.form and tag in KEEPS):
-            new.out, new.form = True, node.form and (form or not is_out)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = close.start() if close else size
@@ -236,7 +245,7 @@ def score_paths(found: list[Leaf], sigma: float = 1.0) -> float:
 
 
 def _without_named(found: list[Leaf]) -> list[Leaf]:
-    """Leaves outside elements whose names are those of furniture.
+    """Leaves outside forms and elements whose names are those of furniture.
 
     Such an element stays if it is around the page's text: if more than half of the
     text outside links is in it, of that in articles where there are any.

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import re
 
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +12,16 @@ from pyspark.sql.window import Window
 
 from hushframe.llm.common import broadcast_if_small, fields, map_rows
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters and their combining marks make words; numbers and signs of any kind do not.
+_BETWEEN = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 #: Texts are compressed in chunks of so many bytes, so that a long one never moves
 #: the dictionary out of the window.
 CHUNK = 16 << 10
+#: Most labels that are learned: all dictionaries are sent to every task.
 LANGUAGES = 500
+#: A raw-content dictionary has to have so many bytes.
+LEAST_BYTES = 8
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
@@ -35,9 +40,9 @@ def _parameters() -> zstandard.ZstdCompressionParameters:
 
 
 def letters_only(text: str) -> bytes:
-    """Lower-case letters, everything between them as one space, in UTF-8."""
-    words = _NO_LETTERS.sub(" ", text.lower())
-    return words.encode("utf-8", "replace")
+    """Lower-case words of letters, a space between them, in UTF-8; empty without letters."""
+    words = _BETWEEN.sub(" ", text.lower()).strip()
+    return words.encode("utf-8", "replace") if _LETTER.search(words) else b""
 
 
 def language_dictionaries(
@@ -54,14 +59,16 @@ def language_dictionaries(
     Of each language the ``docs`` rows with the smallest seeded key hashes give a
     passage of at most ``piece`` bytes from a place that the hash picks, so a
     dictionary has at most ``docs * piece`` bytes whatever the size of the table.
-    Rows without language, key or letters give nothing.  The languages come in falling
-    order of their rows (all are counted), then by name; more than ``LANGUAGES`` are an
-    error, as all dictionaries are sent to every task.
+    Rows without language, key or letters give nothing and take no place.  The languages
+    come in falling order of their rows (all are counted), then by name; of a column with
+    more than ``LANGUAGES`` labels the first ones are learned.  A passage of few bytes is
+    repeated, so a language with one short text is learned too.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
-    sizes = dict(rows.groupBy(lang).count().limit(LANGUAGES + 1).collect())
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    lettered = F.col(text).rlike(r"\p{L}")
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & lettered)
+    counted = rows.groupBy(F.col(lang).alias("lang")).count()
+    sizes = dict(counted.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    rows = rows.where(F.col(lang).isin(list(sizes)))
     order = F.xxhash64(F.lit(seed), F.col(key))
     chosen = rows.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), order.alias("_h"))
     chosen = chosen.distinct().withColumn("_part", F.col("_h").bitwiseAND(63))
@@ -77,7 +84,7 @@ def language_dictionaries(
         def passage(langs, keys, hashes, texts):
             cut = []
             for h, t in zip(hashes, texts, strict=True):
-                body = letters_only(t or "").strip()
+                body = letters_only(t or "")
                 start = h % max(1, len(body) - piece + 1)
                 cut.append(body[start : start + piece].decode("utf-8", "ignore").strip())
             return langs, hashes, cut
@@ -91,7 +98,7 @@ def language_dictionaries(
         out.setdefault(row["_lang"], []).append((row["_h"], row["_cut"]))
     joined = {k: " ".join(c for _, c in sorted(v) if c).encode() for k, v in out.items()}
     order = sorted(joined, key=lambda k: (-sizes[k], k))
-    return {k: joined[k] for k in order if len(joined[k]) >= 8}
+    return {k: joined[k] * -(-LEAST_BYTES // len(joined[k])) for k in order if joined[k]}
 
 
 def identify(
@@ -127,7 +134,7 @@ def identify(
         def classify(keys, texts):
             best, pred, margins, scores = [], [], [], []
             for t in texts:
-                body = letters_only(t or "").strip()
+                body = letters_only(t or "")
                 if not body or not coders:
                     best.append("und"), pred.append("und"), margins.append(0.0), scores.append(0.0)
                     continue

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import fields, fresh, map_rows, own_columns
+from hushframe.sources.tables import stage
 
 BITS = 16
 SIZE = 1 << BITS
@@ -26,14 +27,14 @@ def _hash(text: str) -> int:
 
 
 def shape(word: str) -> str:
-    """The word's outline: kinds of characters, runs shortened, signs as they are."""
+    """The whole word's outline: kinds of characters, each run as one, signs as they are."""
     out, last = [], ""
     for m in _KINDS.finditer(word):
         kind = ("X", "x", "9", m.group(), "o")[m.lastindex - 1]
         if kind != last:
             out.append(kind)
         last = kind
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class Features:
@@ -102,6 +103,7 @@ def fit(
     text: str,
     grade: str,
     rows: int = 4000,
+    entries: int = 4_000_000,
     seed: int = 5,
     steps: int = 300,
     rate: float = 0.1,
@@ -111,28 +113,36 @@ def fit(
 
     ``ratings`` gives grades to keys of ``df``.  Ratings with a null key or grade are not
     used; of a key with several grades the lowest counts.  The sampled ratings are at
-    most ``rows`` rows and so are broadcast; features are made where the texts are, and
-    only they reach the driver, at most ``SIZE`` entries each.  Thresholds stay in order
-    by their positive gaps.  None if fewer than two grades are rated.
+    most ``rows`` rows and so are broadcast; features are made where the texts are.  Only
+    features reach the driver, those of the first texts by seeded hash that have at most
+    ``entries`` together.  Thresholds stay in order by their positive gaps.  None if fewer
+    than two grades are rated.
     """
     rated = ratings.where(F.col(key).isNotNull() & F.col(grade).isNotNull())
     rated = rated.groupBy(key).agg(F.min(F.col(grade).cast("double")).alias("_grade"))
     chosen = rated.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(rows)
-    texts = df.select(key, text).join(F.broadcast(chosen), key)
+    texts = df.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(chosen), key)
+    turn = F.xxhash64(F.lit(seed), F.col(key))
 
     def make():
         features = Features()
 
-        def vectors(keys, texts, grades):
+        def vectors(keys, texts, grades, turns):
             pairs = [features(t) for t in texts]
-            return keys, grades, [a.tolist() for a, _ in pairs], [x.tolist() for _, x in pairs]
+            return keys, grades, turns, [len(a) for a, _ in pairs], *zip(*pairs)
 
         return vectors
 
-    schema = f"{fields(df, key)}, grade double, at array<int>, x array<float>"
-    found = map_rows(texts, [key, text, "_grade"], schema, make)
+    schema = f"{fields(df, key)}, grade double, turn bigint, n bigint, at array<int>, x array<float>"
+    found = stage(map_rows(texts, [key, "_text", "_grade", turn], schema, make))
+    total, last = 0, None
+    for at, n in sorted(tuple(r) for r in found.select("turn", "n").collect()):
+        total += n
+        if total > entries and last is not None:
+            break
+        last = at
     got: dict = {}
-    for r in found.toLocalIterator():
+    for r in found.where(F.col("turn") <= F.lit(last)).toLocalIterator():
         got.setdefault(r[0], (r["grade"], np.array(r["at"], np.int64), np.array(r["x"])))
     data = [got[k] for k in sorted(got)]
     grades = tuple(sorted({g for g, _, _ in data}))

@@ -359,6 +359,14 @@ def test_quality_edges(spark):
     assert quality.rate_texts(df.where("false"), model, "doc_id", "text").count() == 0
 
 
+def test_quality_reads_whole_words_and_bounds_features(spark):
+    assert quality.shape("aB1-" * 9) == "xX9-" * 9 != quality.shape("aB1-" * 8)
+    df = docs(spark, [(i, f"w{i % 2} " + "x " * (i % 5)) for i in range(60)])
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, grade int")
+    small = quality.fit(df, ratings, "doc_id", "text", "grade", entries=200)
+    assert quality.rate_texts(df, small, "doc_id", "text").where("tail_prob is null").count() == 0
+
+
 # -- pipeline ---------------------------------------------------------------
 def test_pipeline_stages(spark, sf_dir):
     """Each stage against a plain definition over what the stage before kept."""

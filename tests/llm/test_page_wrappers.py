@@ -21,3 +21,23 @@ def test_cards_do_not_replace_the_text():
     page = f"<body><div><div id=a>{BODY}</div></div><section>{cards}</section></body>"
     assert all(t in main_text(page) for t in TEXT)
     assert "card" not in main_text(page)
+
+
+@pytest.mark.parametrize("inner", ["<div>{}</div>", "<div><div>{}</div></div>", "<article>{}</article>", "{}"])
+def test_a_form_around_the_page_stays(inner):
+    page = f"<body><form id=aspnet><input name=x>{inner.format(BODY)}</form></body>"
+    assert main_text(page) == "\n\n".join(TEXT)
+
+
+def test_a_form_beside_the_text_goes():
+    form = "<form><label>Your name, please.</label><p>Write to us, now.</p></form>"
+    for page in (f"<body><div>{BODY}</div>{form}</body>", f"<article>{BODY}{form}</article>"):
+        assert main_text(page) == "\n\n".join(TEXT)
+
+
+def test_names_are_judged_by_their_last_word():
+    share = "<div class='story-share'><p>Share me</p></div><div class='article-comments'><p>First!</p></div>"
+    body = f"<div class='story-body'>{BODY}</div>"
+    assert main_text(f"<article>{share}{body}</article>") == "\n\n".join(TEXT)
+    alert = "<p class='alert'>The bridge is closed, for now.</p>"
+    assert main_text(f"<article>{alert}{BODY}</article>").startswith("The bridge is closed, for now.")

@@ -173,6 +173,25 @@ def test_language_edges(spark):
     assert got[0][1:] == got[6][1:]
     strict = language_id.identify(docs(spark, "the"), learned, "doc_id", "text", min_margin=1.0).first()
     assert strict["lang_pred"] is None and strict["lang_best"] in learned
+
+
+def test_language_letters_and_labels(spark, monkeypatch):
+    """Numbers of any script are no letters, marks are part of words, all labels count."""
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    rows = [(i, "the cat and the dog " * 9, "en", "s", 0) for i in range(9)]
+    rows += [(i, "हिन्दी में कुछ शब्द " * 9, "hi", "s", 0) for i in range(9, 15)]
+    rows += [(i, t, "xx", "s", 0) for i, t in enumerate(["½", None, "", "12", "éé"] * 60, 20)]
+    rows += [(900, "q", "yy", "s", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    learned = language_id.language_dictionaries(df, "text", "lang", "doc_id", docs=2)
+    assert list(learned) == ["xx", "en", "hi"] and learned["xx"].decode().split() == ["éé"] * 2
+    monkeypatch.setattr(language_id, "LANGUAGES", 500)
+    learned = language_id.language_dictionaries(df, "text", "lang", "doc_id")
+    assert len(learned["yy"]) >= 8 and set(learned["yy"]) == {ord("q")}
+    texts = ["½ ² ① Ⅷ ٣", "\u0301", "कुछ हिन्दी शब्द"]
+    got = language_id.identify(docs(spark, *texts), learned, "doc_id", "text").orderBy("doc_id").collect()
+    assert [r["lang_best"] for r in got] == ["und", "und", "hi"]
+    assert language_id.letters_only("हिन्दी, में").decode() == "हिन्दी में"
     assert language_id.language_dictionaries(df.where("false"), "text", "lang", "doc_id") == {}
     assert language_id.identify(docs(spark, "the"), {}, "doc_id", "text").first()["lang_best"] == "und"
 
