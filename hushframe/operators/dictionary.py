@@ -3,18 +3,26 @@
 The dictionary is a DataFrame ``(phrase, entity_type)`` with the entity types
 below.  A phrase is found in a message where its words stand in the text as
 consecutive words; then every occurrence of the phrase as a substring is a span.
+
+A small dictionary travels in the plan.  A larger one becomes two Aho-Corasick
+automata, built once in each Python worker, that read each text once in Arrow
+batches.  What would not fit a worker is joined on the word runs.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.spans import SPANS, empty_spans, running
 from hushframe.functions.text import is_blank
+from hushframe.sources.tables import stage
 
 # Score and detector order by entity type; source and language.
 SCORES = {"PERSON": (0.75, 12), "LOCATION": (0.65, 13), "ORG": (0.65, 14)}
@@ -27,6 +35,9 @@ MIN_PHRASE = 2
 # long chain needs no recursion.
 WORD = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
 INLINE_PHRASES = 5000
+#: Characters of all phrases up to which automata are built: some hundred bytes of a
+#: worker's memory each.
+AUTOMATON_CHARS = 4_000_000
 SALTS = 16
 
 
@@ -123,18 +134,20 @@ def dictionary_matches(
     lang: str = "lang",
     out: str = "dictionary_spans",
     inline_phrases: int = INLINE_PHRASES,
+    automaton_chars: int = AUTOMATON_CHARS,
 ) -> DataFrame:
     """Add the dictionary spans of each message; ``None`` means no dictionary.
 
     Only English, non-blank text is searched.  The size of the dictionary is
-    measured first.  A small one travels inside the plan and the search is one
-    narrow pass over the text.  A larger one is joined on the phrase: the distinct
-    word runs of each message, without text, meet the salted dictionary, so that
-    one very common phrase is spread over several tasks.
+    measured first.  One of at most ``inline_phrases`` travels inside the plan, one of at
+    most ``automaton_chars`` characters as automata; either way the search is one narrow
+    pass over the text.  A larger one is joined on the phrase: the distinct word runs of
+    each message, without text, meet the salted dictionary, so that one very common phrase
+    is spread over several tasks.
     """
     if dictionary is None:
         return df.withColumn(out, empty_spans())
-    entries = usable(dictionary)
+    entries = stage(usable(dictionary))  # read some times, and often the result of a job
     # One row more than may travel in the plan tells whether the dictionary is small.
     head = entries.limit(inline_phrases + 1).collect()
     if not head:
@@ -142,11 +155,16 @@ def dictionary_matches(
     searched = (F.col(lang) == LANGUAGE) & ~is_blank(F.col(text))
     if len(head) <= inline_phrases:
         longest = max(r["run"].count(" ") + 1 for r in head)
-    else:
-        longest = entries.agg(F.max(F.size(F.split("run", " ")))).first()[0]
-    grams = F.when(searched, ngrams(words(F.col(text)), max(1, longest)))
-    if len(head) <= inline_phrases:
+        grams = F.when(searched, ngrams(words(F.col(text)), max(1, longest)))
         return _inline(df, head, grams, text, out)
+    size = entries.agg(
+        F.sum(F.length("phrase") + F.length("run")).alias("chars"),
+        F.max(F.size(F.split("run", " "))).alias("longest"),
+    ).first()
+    if size["chars"] <= automaton_chars:
+        listed = sorted(tuple(r) for r in entries.select("phrase", "entity_type", "run").collect())
+        return _scanned(df, listed, searched, text, out)
+    grams = F.when(searched, ngrams(words(F.col(text)), max(1, size["longest"])))
     return _joined(df, entries, grams, keys, text, out)
 
 
@@ -171,15 +189,97 @@ def _inline(df, entries, grams, text, out) -> DataFrame:
     )
 
 
+Match = tuple[str, int, int, float, str, str, int]
+
+
+def scanner(entries: Sequence[tuple[str, str, str]]) -> Callable[[str, str], list[Match]]:
+    """Finds all spans of ``(phrase, entity_type, run)`` entries in a text, given its words.
+
+    One automaton reads the words, joined by spaces, for runs of whole words; if it finds
+    any, the other reads the text for all occurrences of phrases, also inside words.
+    """
+    by_phrase: dict[str, tuple[str, list[str]]] = {}
+    for phrase, entity_type, run in entries:
+        by_phrase.setdefault(phrase, (run, []))[1].append(entity_type)
+    runs, phrases = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for phrase, (run, kinds) in by_phrase.items():
+        runs.add_word(f" {run} ", run)
+        phrases.add_word(phrase, (phrase, run, sorted(kinds)))
+    runs.make_automaton()
+    phrases.make_automaton()
+
+    def scan(text: str, spaced: str) -> list[Match]:
+        found = {run for _, run in runs.iter(spaced)}
+        if not found:
+            return []
+        spans = [
+            (phrase, kind, end + 1 - len(phrase))
+            for end, (phrase, run, kinds) in phrases.iter(text)
+            if run in found
+            for kind in kinds
+        ]
+        return [
+            (kind, start, start + len(phrase), SCORES[kind][0], phrase, SOURCE, SCORES[kind][1])
+            for phrase, kind, start in sorted(spans)
+        ]
+
+    return scan
+
+
+#: The last dictionary's scanner of this worker, by the broadcast's number.
+_SCANNER: dict[int, Callable[[str, str], list[Match]]] = {}
+
+
+def _scanner(entries: Broadcast) -> Callable[[str, str], list[Match]]:
+    number = hash(tuple(entries.value)) if entries.value else 0
+    if number not in _SCANNER:
+        _SCANNER.clear()
+        _SCANNER[number] = scanner(entries.value)
+    return _SCANNER[number]
+
+
+def _scanned(df, entries, searched, text, out) -> DataFrame:
+    """The same by automata.  Only texts that hold something cross back as spans."""
+    shipped = df.sparkSession.sparkContext.broadcast(entries)
+    kind = pa.list_(
+        pa.struct(
+            [
+                pa.field("entity_type", pa.string()),
+                pa.field("start", pa.int32()),
+                pa.field("end", pa.int32()),
+                pa.field("score", pa.float64()),
+                pa.field("value", pa.string()),
+                pa.field("source", pa.string()),
+                pa.field("det_ord", pa.int32()),
+            ]
+        )
+    )
+    names = [f.name for f in kind.value_type]
+
+    @F.arrow_udf(SPANS)
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        scan = _scanner(shipped)
+        for texts, spaced in batches:
+            rows = []
+            for t, w in zip(texts.to_pylist(), spaced.to_pylist(), strict=True):
+                found = scan(t, w) if t and w else []
+                rows.append([dict(zip(names, s, strict=True)) for s in found])
+            yield pa.array(rows, kind)
+
+    spaced = F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" "))
+    read = F.when(searched, F.col(text))
+    return df.withColumn(out, find(read, F.when(searched, spaced)).cast(SPANS))
+
+
 def _joined(df, entries, grams, keys, text, out) -> DataFrame:
     """The same by a join on the word runs.
 
-    Messages meet their phrases again by the hash of keys and text, so that missing
+    Messages meet their phrases again by the SHA-256 of keys and text, so that missing
     keys are no loss and messages that share a key do not get each other's phrases.
     """
-    row = F.xxhash64(*keys, text)
-    named = df.withColumn("__row", row)
-    salt = F.pmod(F.col("__row"), F.lit(SALTS)).cast("int")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in (*keys, text)]
+    named = df.withColumn("__row", F.sha2(F.concat_ws("\u0000", *parts).cast("binary"), 256))
+    salt = F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int")
     candidates = named.select(
         "__row", salt.alias("__salt"), F.explode(grams).alias("run")
     ).distinct()

@@ -13,6 +13,9 @@ from hushframe.functions.text import format_token
 from hushframe.sources.tables import as_messages, spread
 
 
+_NAME = "[A-Z][a-z]+"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
@@ -123,17 +126,21 @@ def national_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent capitalised words, typed by their length."""
-    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)))
+    """All capitalised words and two-word phrases of English documents, typed by length.
+
+    Pairs of which the first word begins with the second are left out, as their
+    occurrences could overlap, which the SQL does not follow.
+    """
+    word, pair = (F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (_NAME, f"{_NAME} {_NAME}"))
+    parts = F.split("phrase", " ")
+    overlaps = (F.size(parts) > 1) & F.get(parts, 0).startswith(F.get(parts, 1))
     kind = F.length("phrase") % 3
     return (
         table(spark, sf_dir, "documents", "doc_id")
         .where(F.col("lang") == "en")
-        .select(word.alias("phrase"))
-        .where(F.length("phrase") >= 4)
-        .groupBy("phrase")
-        .count()
-        .where(F.col("count") >= 20)
+        .select(F.explode(F.array_distinct(F.concat(word, pair))).alias("phrase"))
+        .distinct()
+        .where(~F.coalesce(overlaps, F.lit(False)))
         .select(
             "phrase",
             F.when(kind == 0, "PERSON").when(kind == 1, "LOCATION").otherwise("ORG").alias(

@@ -66,10 +66,11 @@ FROM (SELECT *, CASE lang
       ['fr', 'de', 'gb', 'es', 'it', 'pt', 'nl', 'pl'][o_orderkey % 8 + 1] AS lang
     FROM orders))"""
 DICTIONARY = """
-SELECT phrase, ['PERSON', 'LOCATION', 'ORG'][length(phrase) % 3 + 1] AS entity_type
-FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS phrase
+SELECT phrase, CASE length(phrase) % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'LOCATION' ELSE 'ORG' END AS entity_type
+FROM (SELECT DISTINCT unnest(list_concat(regexp_extract_all(text, '[A-Z][a-z]+'),
+    regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+'))) AS phrase
   FROM documents WHERE lang = 'en')
-WHERE length(phrase) >= 4 GROUP BY phrase HAVING count(*) >= 20"""
+WHERE NOT (contains(phrase, ' ') AND starts_with(split_part(phrase, ' ', 1), split_part(phrase, ' ', 2)))"""
 CLEARS = """
 SELECT 'src' || (user_id % 20)::VARCHAR AS scope_id, event_id // 10 AS seq
 FROM events WHERE event_type = 'error'"""
@@ -289,7 +290,7 @@ _WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 
 
 def _named(messages: str, keys: str = "scope_id, seq") -> str:
-    """Dictionary phrases are capitalised words, so occurrences cannot overlap."""
+    """Phrases are one or two capitalised words whose occurrences cannot overlap."""
     start = _LENGTHS.format("g[1:k]") + " + (k - 1) * length(phrase)"
     return f"""
 SELECT {keys}, entity_type, ({start})::INTEGER AS "start",
@@ -299,8 +300,10 @@ SELECT {keys}, entity_type, ({start})::INTEGER AS "start",
   (11 + list_position(['PERSON', 'LOCATION', 'ORG'], entity_type))::INTEGER AS det_ord
 FROM (SELECT *, unnest(range(1, len(g))) AS k
   FROM (SELECT {keys}, phrase, entity_type, string_split(text, phrase) AS g
-    FROM (SELECT {keys}, text, unnest(list_distinct(regexp_extract_all(text, {_s(_WORD)}))) AS phrase
-      FROM ({messages}) WHERE lang = 'en') JOIN ({DICTIONARY}) USING (phrase)))"""
+    FROM (SELECT {keys}, text, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)),
+        lambda i: w[i] || ' ' || w[i + 1])))) AS phrase
+      FROM (SELECT *, regexp_extract_all(text, {_s(_WORD)}) AS w FROM ({messages}) WHERE lang = 'en'))
+      JOIN ({DICTIONARY}) USING (phrase)))"""
 
 
 # -- language ---------------------------------------------------------------
@@ -432,6 +435,7 @@ FROM (SELECT o_orderkey, lpad((o_orderkey * 7919 + o_custkey)::VARCHAR, 16, '4')
     sql["dictionary_occurrences"] = f"SELECT {_COLUMNS} FROM ({_named(DOCUMENTS)})"
     for name, entity in (("person", "PERSON"), ("location", "LOCATION"), ("org", "ORG")):
         sql[f"detect_{name}"] = sql["dictionary_occurrences"] + f" WHERE entity_type = '{entity}'"
+    sql["dictionary_joined"] = sql["dictionary_occurrences"]
     sql["language_profiles"] = _PROFILES
     sql["identify_language"] = _IDENTIFIED
     sql["normalise_lang"] = f"""

@@ -142,6 +142,14 @@ def dictionary_occurrences(spark, sf_dir):
     return _named(spark, sf_dir)
 
 
+@query
+def dictionary_joined(spark, sf_dir):
+    """The same by the join that dictionaries too large for a worker take."""
+    docs, entries = C.documents(spark, sf_dir), C.dictionary(spark, sf_dir)
+    found = dictionary_matches(docs, entries, inline_phrases=0, automaton_chars=0)
+    return explode_detections(found, KEYS, "dictionary_spans")
+
+
 def _entity_query(entity: str) -> Query:
     return lambda spark, sf_dir: _named(spark, sf_dir).where(F.col("entity_type") == entity)
 

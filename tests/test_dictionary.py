@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,9 +40,9 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("inline_phrases", [5000, 3])
-def test_matches(messages, dictionary, inline_phrases):
-    got = found(messages(*TEXTS), dictionary, inline_phrases=inline_phrases)
+@pytest.mark.parametrize("sizes", [(5000, 0), (3, 10_000), (3, 0)])
+def test_matches(messages, dictionary, sizes):
+    got = found(messages(*TEXTS), dictionary, inline_phrases=sizes[0], automaton_chars=sizes[1])
     assert got == [
         (0, "LOCATION", 67, 74, "Redmond", 0.65, "nlp"),
         (0, "ORG", 0, 9, "Microsoft", 0.65, "nlp"),
@@ -110,3 +112,23 @@ def test_both_ways_agree_on_missing_and_shared_keys(spark, dictionary):
     assert spans(5000) == spans(1) == [
         ("Al", ["Al"]), ("Alice in London", ["Alice", "London", "London"]), ("Also London", ["London", "London"]),
     ]
+
+
+def test_paths_agree_and_automata_move_no_text(spark, messages):
+    """Inline, automata and join on random phrases; the automata's plan has no exchange."""
+    rng = random.Random(5)
+    names = ["Ann", "Anna", "Ann Lee", "Lee Ann", "Lee", "Le", "O'Neil", "St. Louis", "Né", "Zoë-Marie", "An"]
+    entries = spark.createDataFrame(
+        [(n, rng.choice(["PERSON", "ORG", "LOCATION"])) for n in names] + [("Ann", "ORG"), ("Ann", "PERSON")],
+        "phrase string, entity_type string",
+    )
+    glue = [" ", " ", "  ", ", ", ".", "x", "💥 "]
+    texts = ["".join(rng.choice(names) + rng.choice(glue) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    df = messages(*texts, *texts[:5], None, "")
+    got = [
+        found(df, entries, inline_phrases=inline, automaton_chars=chars)
+        for inline, chars in ((5000, 0), (0, 10_000), (0, 0))
+    ]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 300
+    scanned = dictionary_matches(df, entries, inline_phrases=0)
+    assert "Exchange" not in scanned._jdf.queryExecution().executedPlan().toString()
