@@ -24,7 +24,9 @@ from hushframe.llm.common import fields, map_rows, pieces
 from hushframe.sources.tables import stage
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+#: Three capitals or more in a row.
+_SHOUT = re.compile(r"[A-ZÀ-ÖØ-Þ]{3,}")
+_CACHE = 400_000
 #: Lengths of the word beginnings that may become stems.
 STEMS = range(4, 8)
 #: A word or stem has to mark this many toxic texts, with this likelihood ratio statistic
@@ -34,6 +36,9 @@ SUPPORT, EVIDENCE, LIFT = 4, 30.0, 4.0
 ENTRIES, LEXICONS = 200, 4
 BITS = 15
 SIZE = 1 << BITS
+#: The CRC-32 that words and stems continue, and buckets in place of missing stems.
+_WHOLE, _STEM = zlib.crc32(b"="), zlib.crc32(b"^")
+_NONE = tuple((SIZE,) * (1 + len(STEMS) - i) for i in range(2 + len(STEMS)))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -145,6 +150,86 @@ def mine(
 
 
 # -- votes ------------------------------------------------------------------
+class Words:
+    """What a lexicon and the hashing know of each word: its entry and its buckets.
+
+    Words seen are numbered, and their entries and buckets kept in arrays, so that a text
+    costs a look-up per distinct word; the arrays start anew when they are large.
+    """
+
+    width = 1 + len(STEMS)
+
+    def __init__(self, lexicon: Lexicon, hashed: bool):
+        self.hashed = hashed
+        self.words = {w: i for i, w in enumerate(lexicon.words)}
+        self.stems = {s: len(self.words) + i for i, s in enumerate(lexicon.stems)}
+        self.lengths = sorted({len(s) for s in self.stems})
+        self.least = min(self.lengths, default=0)
+        self.starts = {s[: self.least] for s in self.stems}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.entries = np.empty(1 << 12, np.int32)
+        self.buckets = np.empty((1 << 12, self.width), np.int32)
+
+    def entry(self, word: str) -> int:
+        """The number of the entry that a word holds, -1 if none."""
+        at = self.words.get(word, -1)
+        if at < 0 and word[: self.least] in self.starts:
+            found = (self.stems.get(word[:k], -1) for k in self.lengths if k <= len(word))
+            at = next((i for i in found if i >= 0), -1)
+        return at
+
+    def _add(self, words: list[str]) -> None:
+        n = len(self.numbers)
+        end = n + len(words)
+        while end > len(self.entries):
+            self.entries = np.concatenate((self.entries, self.entries))
+            self.buckets = np.concatenate((self.buckets, self.buckets))
+        self.entries[n:end] = list(map(self.entry, words))
+        if self.hashed:
+            self.buckets[n:end] = list(map(hashes, words))
+        self.numbers.update(zip(words, range(n, end)))
+
+    def of(self, counts: Counter[str]) -> np.ndarray:
+        """The numbers of a text's distinct words."""
+        if len(self.numbers) > _CACHE:
+            self._clear()
+        known = self.numbers
+        out = list(map(known.get, counts))
+        if None in out:
+            self._add([w for w, at in zip(counts, out) if at is None])
+            out = list(map(known.get, counts))
+        return np.array(out, np.int64)
+
+
+def hashes(word: str) -> tuple[int, ...]:
+    """The buckets of a word and of its stems, ``SIZE`` for stems that it is too short for.
+
+    A stem's CRC continues that of the stem before.
+    """
+    n, crc, last = len(word), zlib.crc32, SIZE - 1
+    out = [crc(word.encode(), _WHOLE) & last]
+    if n > STEMS[0]:
+        at = crc(word[: STEMS[0]].encode(), _STEM)
+        out.append(at & last)
+        for letter in word[STEMS[0] : min(n - 1, STEMS[-1])]:
+            at = crc(letter.encode(), at)
+            out.append(at & last)
+    return tuple(out) + _NONE[len(out)]
+
+
+@dataclass
+class Measures:
+    """A text's distinct words with their counts, and the uses of lexicon entries."""
+
+    numbers: np.ndarray
+    counts: np.ndarray
+    n_words: int
+    hits: dict[int, int]
+
+
 class Voters:
     """Votes of a text: 1 toxic, -1 clean, 0 nothing to say.
 
@@ -163,49 +248,35 @@ class Voters:
         "exclaiming",
     )
 
-    def __init__(self, lexicon: Lexicon):
-        self.words = {w: i for i, w in enumerate(lexicon.words)}
-        self.stems = {s: len(self.words) + i for i, s in enumerate(lexicon.stems)}
-        self.lengths = sorted({len(s) for s in self.stems})
-        self.known: dict[str, int] = {}
-
-    def entry(self, word: str) -> int:
-        """The number of the entry that a word holds, -1 if none."""
-        at = self.known.get(word)
-        if at is None:
-            if len(self.known) >= _CACHE:
-                self.known.clear()
-            at = self.words.get(word, -1)
-            if at < 0:
-                found = (self.stems.get(word[:k], -1) for k in self.lengths if k <= len(word))
-                at = next((i for i in found if i >= 0), -1)
-            self.known[word] = at
-        return at
-
-    def hits(self, counts: Counter[str]) -> Counter[int]:
-        found: Counter[int] = Counter()
-        for w, n in counts.items():
-            at = self.entry(w)
-            if at >= 0:
-                found[at] += n
-        return found
-
-    def __call__(self, text: str | None, counts: Counter[str], hits: Counter[int]) -> list[int]:
-        n, split = sum(counts.values()), len(self.words)
+    def __init__(self, lexicon: Lexicon, hashed: bool = False):
+        self.words = Words(lexicon, hashed)
+
+    def measure(self, text: str | None) -> Measures:
+        found = Counter(words_of(text))
+        numbers = self.words.of(found)
+        counts = np.fromiter(found.values(), np.int64, len(found))
+        entries = self.words.entries[numbers]
+        hits: dict[int, int] = {}
+        for at in np.flatnonzero(entries >= 0).tolist():
+            entry = int(entries[at])
+            hits[entry] = hits.get(entry, 0) + int(counts[at])
+        return Measures(numbers, counts, int(counts.sum()), hits)
+
+    def __call__(self, text: str | None, m: Measures) -> list[int]:
+        n, split = m.n_words, len(self.words.words)
         parts = [0] * (2 * LEXICONS)
-        for at, c in hits.items():
+        for at, c in m.hits.items():
             parts[at % LEXICONS if at < split else LEXICONS + (at - split) % LEXICONS] += c
-        total = sum(hits.values())
+        total = sum(m.hits.values())
         votes = [int(c >= 1) for c in parts[:LEXICONS]] + [int(c >= 2) for c in parts[LEXICONS:]]
         dense = 1 if total >= 2 and total >= 0.01 * n else -1 if total < 0.002 * n else 0
         text = text or ""
-        shouting = sum(w.isupper() and len(w) > 2 for w in _WORD.findall(text)) if n else 0
         return votes + [
             dense,
-            int(max(hits.values(), default=0) >= 2),
-            1 if len(hits) >= 3 else 0,
-            -1 if not total else 0,
-            int(shouting >= 0.3 * n > 0),
+            int(max(m.hits.values(), default=0) >= 2),
+            int(len(m.hits) >= 3),
+            0 if total else -1,
+            int(len(_SHOUT.findall(text)) >= 0.3 * n > 0),
             int(text.count("!!") >= 2),
         ]
 
@@ -217,11 +288,8 @@ def vote(df: DataFrame, lexicon: Lexicon, key: str, text: str) -> DataFrame:
         voters = Voters(lexicon)
 
         def run(keys, texts):
-            out = []
-            for t in texts:
-                counts = Counter(words_of(t))
-                out.append("".join(str(v + 1) for v in voters(t, counts, voters.hits(counts))))
-            return keys, out
+            votes = (voters(t, voters.measure(t)) for t in texts)
+            return keys, ["".join(str(v + 1) for v in row) for row in votes]
 
         return run
 
@@ -292,33 +360,20 @@ class Features:
     """Hashed words and stems of a whole text, and what the lexicons found in it."""
 
     def __init__(self, lexicon: Lexicon):
-        self.voters = Voters(lexicon)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= _CACHE:
-                self.known.clear()
-            names = ["=" + word, *("^" + word[:k] for k in STEMS if k < len(word))]
-            got = self.known[word] = tuple(zlib.crc32(x.encode()) & (SIZE - 1) for x in names)
-        return got
+        self.voters = Voters(lexicon, hashed=True)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(words_of(text))
-        hits = self.voters.hits(counts)
-        votes = self.voters(text, counts, hits)
-        by: dict[int, int] = {}
-        for w, c in counts.items():
-            for at in self.word(w):
-                by[at] = by.get(at, 0) + c
-        at = np.fromiter(by, np.int64, len(by))
-        x = np.log1p(np.fromiter(by.values(), float, len(by)))
+        m = self.voters.measure(text)
+        votes = self.voters(text, m)
+        buckets = self.voters.words.buckets[m.numbers].ravel()
+        sums = np.bincount(buckets, np.repeat(m.counts, Words.width), SIZE + 1)[:SIZE]
+        at = np.flatnonzero(sums)
+        x = np.log1p(sums[at])
         x /= max(np.linalg.norm(x), 1.0)
-        n, total = sum(counts.values()), sum(hits.values())
+        total = sum(m.hits.values())
         own = [0.5 * v for v in votes]
-        own += [0.5 * math.log1p(total), 0.5 * math.log1p(len(hits))]
-        own.append(min(1.0, 20 * total / max(n, 1)))
+        own += [0.5 * math.log1p(total), 0.5 * math.log1p(len(m.hits))]
+        own.append(min(1.0, 20 * total / max(m.n_words, 1)))
         return np.concatenate((at, SIZE + np.arange(len(own)))), np.concatenate((x, own))
 
 
