@@ -162,6 +162,22 @@ def clears(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Seconds of silence that end a session of a user's events.
+SESSION_GAP = 12 * 3600
+
+
+def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as spans with a time: the type of the event and its properties as value."""
+    return table(spark, sf_dir, "events").select(
+        _join("user", F.col("user_id").cast("string")).alias("scope_id"),
+        "ts",
+        F.col("event_id").alias("seq"),
+        F.lit(0).alias("start"),
+        F.upper("event_type").alias("entity_type"),
+        F.col("props").alias("value"),
+    )
+
+
 def actions(messages: DataFrame) -> DataFrame:
     """User actions: scrub, edit, send or none, in turn."""
     turn = F.col("seq") % 4

@@ -14,6 +14,7 @@ from hushframe.functions import patterns as P
 from hushframe.operators import policy, routing
 from hushframe.operators.detectors import DETECTORS
 from hushframe.operators.language import ISO3, PROFILE_SIZE, SUPPORTED
+from hushframe.plans import corpus as C
 from hushframe.plans.queries import OVERRIDES
 from hushframe.sources import pages
 
@@ -697,6 +698,23 @@ LEFT JOIN (SELECT scope_id, seq, string_agg(substr(text, prev + 1, "start" - pre
     sql["stream_analyze"] = _per_message(_ANALYSED, DOCUMENTS)
     sql["stream_tokenise"] = _with(DOCUMENTS) + f"SELECT {vault_columns} FROM ({_vault()})"
     sql["stream_vault"] = sql["stream_tokenise"]
+    sql["stream_known_vault"] = sql["stream_tokenise"]
+    sql["stream_sessions"] = f"""
+WITH gaps AS (
+  SELECT 'user' || user_id::VARCHAR AS scope_id, event_id, ts, upper(event_type) AS entity_type, props AS value,
+    coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > {C.SESSION_GAP * 1_000_000},
+      TRUE) AS opens FROM events
+), numbered AS (
+  SELECT *, sum(opens::INTEGER) OVER (PARTITION BY scope_id ORDER BY ts, event_id) AS session FROM gaps
+), named AS (
+  SELECT *, first_value(event_id) OVER (PARTITION BY scope_id, session ORDER BY ts, event_id) AS session_seq FROM numbered
+), firsts AS (
+  SELECT scope_id, session_seq, entity_type, value, arg_min(event_id, (ts, event_id)) AS first_seq,
+    min((ts, event_id)) AS place FROM named GROUP BY ALL
+)
+SELECT scope_id, session_seq, entity_type, value, first_seq, idx,
+  '<' || entity_type || '_' || idx::VARCHAR || '>' AS token
+FROM (SELECT *, row_number() OVER (PARTITION BY scope_id, session_seq, entity_type ORDER BY place) AS idx FROM firsts)"""
     sql["stream_scrub"] = _with(
         DOCUMENTS,
         decided=f"SELECT scope_id, seq, any_value(text) AS text,"

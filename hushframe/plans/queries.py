@@ -626,6 +626,43 @@ def stream_vault(spark, sf_dir):
     return read_vault(spark, f"{base}/vault").select(*VAULT)
 
 
+@query
+def stream_sessions(spark, sf_dir):
+    """Tokens per session of each user's events, which arrive in three micro-batches."""
+    import uuid
+
+    from hushframe.sources.session import shared_dir
+    from hushframe.streaming.jobs import run_available
+    from hushframe.streaming.sessions import session_events, stream_session_tokens
+
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    spans = C.event_spans(spark, sf_dir)
+    low, high = spans.agg(*(f(F.col("ts").cast("timestamp").cast("double")) for f in (F.min, F.max))).first()
+    third = (F.col("ts").cast("timestamp").cast("double") - (low or 0)) * 3 / ((high or 0) - (low or 0) + 1)
+    out = f"{base}/out"
+    for part in range(3):
+        spans.where(F.coalesce(F.floor(third), F.lit(0)) == part).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(spans.schema).parquet(f"{base}/in")
+        found = stream_session_tokens(session_events(arriving, "ts"), C.SESSION_GAP, 3_600_000)
+        run_available(found, out, f"{base}/checkpoint")
+    columns = ["scope_id", "session_seq", "entity_type", "value", "first_seq", "idx", "token"]
+    return spark.read.parquet(out).select(*columns)
+
+
+@query
+def stream_known_vault(spark, sf_dir):
+    """The stream starts from a vault of the first half of the documents."""
+    from hushframe.streaming.tokens import stream_tokens, token_events
+
+    docs = C.documents(spark, sf_dir)
+    half = (docs.agg(F.max("seq")).first()[0] or 0) // 2
+    first = explode_detections(analyze(docs.where(F.col("seq") <= half)), KEYS)
+    vault = stage(tokens.token_vault(first))
+    spans = explode_detections(analyze(_stream(spark, sf_dir)), KEYS)
+    fresh = drain(stream_tokens(token_events(spans), vault=vault)).select(*VAULT)
+    return vault.select(*VAULT).unionByName(fresh)
+
+
 @query
 def stream_scrub(spark, sf_dir):
     """Documents that arrive in three parts, by number, one micro-batch each."""

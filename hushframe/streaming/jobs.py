@@ -17,13 +17,26 @@ from hushframe.sources.session import shared_dir
 
 
 AVAILABLE_NOW = {"availableNow": True}
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Start a query; one that only runs over what is available is waited for."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    if trigger == AVAILABLE_NOW:
+    """Start a query; one that only runs over what is available is waited for.
+
+    Such a run makes no batches without data: operators with processing-time timers ask
+    for one after the other, and it would never end.  Their timers fire in later runs.
+    """
+    writer = writer.option("checkpointLocation", checkpoint).trigger(**trigger)
+    if trigger != AVAILABLE_NOW:
+        return writer.start()
+    conf = SparkSession.active().conf
+    before = conf.get(_EMPTY_BATCHES)
+    conf.set(_EMPTY_BATCHES, "false")
+    try:
+        query = writer.start()
         query.awaitTermination()
+    finally:
+        conf.set(_EMPTY_BATCHES, before)
     return query
 
 

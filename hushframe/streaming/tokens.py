@@ -1,9 +1,11 @@
 """Session tokens on a stream.
 
-State is kept per (scope, entity type): the counter and each known value's
-number.  Within a micro-batch new values are numbered by (seq, start), across
-batches in the order of arrival; so the result equals the batch vault where the
-input arrives in the order of ``seq``.  A CLEAR event drops the state.
+Two chained state operators.  The first, per (scope, entity type, part of the values by
+hash), lets a value pass when it is new, so a hot type is spread over many tasks; the
+second, per (scope, entity type), numbers what is new and keeps one counter.  Within a
+micro-batch new values are numbered by (seq, start), across batches in the order of
+arrival; so the result equals the batch vault where the input arrives in the order of
+``seq``.  A CLEAR event drops the state.
 """
 
 from __future__ import annotations
@@ -33,47 +35,101 @@ OUTPUT = (
 )
 
 
-def token_processor(ttl_ms: int | None = None) -> StatefulProcessor:
-    """Number the first occurrences of values; one token row per new value.
+#: Tasks over which the values of one (scope, entity type) are spread.
+PARTS = 32
+_EVENT = (
+    "scope_id string, entity_type string, seq bigint, kind string, start int, value string"
+)
+
+
+def new_values_processor(ttl_ms: int | None = None) -> StatefulProcessor:
+    """Pass on spans of values not seen since the last clear, and one copy of each clear.
 
     The class is local so that it is shipped to the workers as a whole.
     """
-    columns = [part.split()[0] for part in OUTPUT.split(", ")]
+    columns = [part.split()[0] for part in _EVENT.split(", ")]
 
-    class TokenState(StatefulProcessor):
+    class NewValues(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self._known = handle.getMapState(
-                "known", "value string", "idx bigint", ttlDurationMs=ttl_ms
-            )
-            self._last = handle.getValueState(
-                "last", "idx bigint, epoch int", ttlDurationMs=ttl_ms
+            self._seen = handle.getMapState(
+                "seen", "value string", "yes boolean", ttlDurationMs=ttl_ms
             )
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            scope_id, entity_type = key
-            last, epoch = self._last.get() if self._last.exists() else (0, 0)
+            scope_id, entity_type, part = key
             batch = pd.concat(list(rows), ignore_index=True)
             batch = batch.sort_values(["seq", "kind", "start"], kind="stable")
             # one look at the state per value between two clears
-            part = (batch["kind"] == "~clear").cumsum()
-            batch = batch[~pd.DataFrame({"p": part, "k": batch["kind"], "v": batch["value"]}).duplicated()]
+            turn = (batch["kind"] == "~clear").cumsum()
+            same = pd.DataFrame({"p": turn, "k": batch["kind"], "v": batch["value"]})
+            batch = batch[~same.duplicated()]
             fresh = []
             for row in batch.itertuples(index=False):
                 if row.kind == "~clear":
-                    self._known.clear()
-                    last, epoch = 0, epoch + 1
-                elif self._known.containsKey((row.value,)):
-                    if ttl_ms:  # an entry's time counts from its last write
-                        self._known.updateValue((row.value,), self._known.getValue((row.value,)))
+                    self._seen.clear()
+                    if part:
+                        continue
                 else:
-                    last += 1
-                    self._known.updateValue((row.value,), (last,))
-                    token = f"<{entity_type}_{last}>"
-                    fresh.append(
-                        (scope_id, entity_type, row.value, row.seq, int(row.start), epoch, last, token)
-                    )
-            self._last.update((last, epoch))
-            yield pd.DataFrame(fresh, columns=columns)
+                    known = self._seen.containsKey((row.value,))
+                    if not known or ttl_ms:  # an entry's time counts from its last write
+                        self._seen.updateValue((row.value,), (True,))
+                    if known:
+                        continue
+                fresh.append((scope_id, entity_type, row.seq, row.kind, row.start, row.value))
+            yield pd.DataFrame(fresh, columns=columns).astype({"start": "Int32"})
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            for value in initialState["value"]:
+                self._seen.updateValue((value,), (True,))
+
+        def close(self) -> None:
+            pass
+
+    return NewValues()
+
+
+def token_processor(ttl_ms: int | None = None) -> StatefulProcessor:
+    """Number the new values of a (scope, entity type); one token row per value."""
+    columns = [part.split()[0] for part in OUTPUT.split(", ")]
+
+    class TokenState(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._last = handle.getValueState(
+                "last", "idx bigint, epoch int", ttlDurationMs=ttl_ms
+            )
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            scope_id, entity_type = key
+            last, epoch = self._last.get() if self._last.exists() else (0, 0)
+            batch = pd.concat(list(rows), ignore_index=True)
+            batch = batch.sort_values(["seq", "kind", "start", "value"], kind="stable")
+            turn = (batch["kind"] == "~clear").cumsum().reset_index(drop=True)
+            batch = batch.reset_index(drop=True)
+            spans = batch[batch["kind"] != "~clear"]
+            turn_of = turn[spans.index]
+            place = spans.groupby(turn_of).cumcount() + 1
+            # before the first clear the counter goes on, after each it starts again
+            idx = place + (turn_of == 0) * last
+            after = place[turn_of == turn.iloc[-1]]
+            base = last if turn.iloc[-1] == 0 else 0
+            out = pd.DataFrame(
+                {
+                    "scope_id": scope_id,
+                    "entity_type": entity_type,
+                    "value": spans["value"],
+                    "first_seq": spans["seq"],
+                    "first_start": spans["start"].astype("int32"),
+                    "epoch": epoch + turn_of,
+                    "idx": idx,
+                    "token": [f"<{entity_type}_{i}>" for i in idx],
+                },
+                columns=columns,
+            )
+            self._last.update((base + len(after), epoch + int(turn.iloc[-1])))
+            yield out
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            self._last.update((int(initialState["idx"].max()), 0))
 
         def close(self) -> None:
             pass
@@ -196,16 +252,43 @@ def clear_events(clears: DataFrame, entity_types: list[str]) -> DataFrame:
     )
 
 
-def stream_tokens(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_tokens(
+    events: DataFrame,
+    ttl_ms: int | None = None,
+    vault: DataFrame | None = None,
+    parts: int = PARTS,
+) -> DataFrame:
     """Tokens of a stream of ``token_events`` (and ``clear_events``).
 
-    Time to live, where given, ends a session's state some time after its last
-    use; what comes later starts again from 1.
+    ``vault``, where given, is what the stream starts from: its values keep their tokens
+    and are not given out again, its counters go on.  It is read when the query first
+    starts, not when it goes on from its checkpoint.  Time to live, where given, ends a
+    value's state some time after its last use; it then gets a token anew, and a type's
+    counter starts again from 1 if nothing new came for as long.
     """
     use_state_store(events.sparkSession)
-    return events.groupBy("scope_id", "entity_type").transformWithStateInPandas(
+    part = F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int")
+    all_parts = F.sequence(F.lit(0), F.lit(parts - 1))
+    dealt = events.withColumn(
+        "part", F.explode(F.when(F.col("kind") == "~clear", all_parts).otherwise(F.array(part)))
+    )
+    keys = ["scope_id", "entity_type"]
+    known = last = None
+    if vault is not None:
+        known = vault.select(*keys, part.alias("part"), "value").groupBy(*keys, "part")
+        last = vault.groupBy(*keys).agg(F.max("idx").alias("idx")).groupBy(*keys)
+    mode = "ProcessingTime" if ttl_ms else "None"
+    fresh = dealt.groupBy(*keys, "part").transformWithStateInPandas(
+        statefulProcessor=new_values_processor(ttl_ms),
+        outputStructType=_EVENT,
+        outputMode="Append",
+        timeMode=mode,
+        initialState=known,
+    )
+    return fresh.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=token_processor(ttl_ms),
         outputStructType=OUTPUT,
         outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+        timeMode=mode,
+        initialState=last,
     )

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 
 from hushframe.operators import tokens as T
@@ -12,6 +14,7 @@ from hushframe.streaming.jobs import (
     run_available,
     scrub_counter,
 )
+from hushframe.streaming.sessions import session_events, stream_session_tokens
 from hushframe.streaming.tokens import (
     clear_events,
     read_vault,
@@ -124,3 +127,75 @@ def test_settings_change_between_batches(spark, feed, tmp_path):
         analyze_with_live_settings(feed.stream(), lambda: stored, out, checkpoint)
     got = {(r.scope_id, r.seq): r.decision for r in spark.read.parquet(out).collect()}
     assert got[("a", 0)] == "block" and got[("a", 2)] == "auto_scrub"
+
+
+# -- tokens from a known vault, spread by value -------------------------------
+EVENT = "scope_id string, seq bigint, entity_type string, kind string, start int, value string"
+
+
+def events(*rows):
+    return [(scope, seq, "E", "span", start, value) for scope, seq, start, value in rows]
+
+
+def test_a_stream_goes_on_from_a_vault(spark, feed, tmp_path):
+    """A restart from a batch vault keeps all tokens; a clear forgets it."""
+    known = [("a", "E", f"v{i}", i + 1, f"<E_{i + 1}>") for i in range(40)]
+    known = spark.createDataFrame(known, "scope_id string, entity_type string, value string, idx bigint, token string")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    clear = ("a", 20, "E", "~clear", None, None)
+    batches = [
+        events(("a", 1, 0, "v3"), ("a", 1, 9, "new"), ("a", 2, 0, "v39"), ("b", 1, 0, "v3")),
+        events(("a", 10, 0, "later"), ("a", 11, 0, "new")),
+        [*events(("a", 19, 0, "last"), ("a", 21, 0, "v3"), ("a", 22, 0, "new"), ("a", 22, 4, "v3")), clear],
+        events(("a", 30, 0, "v3"), ("a", 30, 5, "other")),
+    ]
+    for rows in batches:
+        feed.add(rows, EVENT)
+        run_available(stream_tokens(feed.stream(EVENT), vault=known, parts=5), out, checkpoint)
+    got = sorted((r.scope_id, r.epoch, r.idx, r.value, r.token) for r in spark.read.parquet(out).collect())
+    assert got == [
+        ("a", 0, 41, "new", "<E_41>"), ("a", 0, 42, "later", "<E_42>"), ("a", 0, 43, "last", "<E_43>"),
+        ("a", 1, 1, "v3", "<E_1>"), ("a", 1, 2, "new", "<E_2>"), ("a", 1, 3, "other", "<E_3>"),
+        ("b", 0, 1, "v3", "<E_1>"),
+    ]
+
+
+# -- sessions -----------------------------------------------------------------
+SPAN = "scope_id string, ts timestamp, seq bigint, start int, entity_type string, value string"
+
+
+def at(minute):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+
+
+def test_sessions_end_by_event_time(spark, feed, tmp_path):
+    """A gap ends a session, a late row has one of its own, the open one goes on."""
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    batches = [
+        [("a", at(0), 1, 0, "E", "x"), ("a", at(5), 2, 0, "E", "y"), ("a", at(30), 3, 0, "E", "x"),
+         ("b", at(0), 1, 0, "E", "x"), ("a", None, 9, 0, "E", "lost")],
+        [("a", at(38), 4, 0, "E", "z"), ("a", at(39), 5, 0, "F", "x"), ("a", at(2), 6, 0, "E", "late")],
+        [("a", at(45), 7, 0, "E", "z"), ("a", at(45), 7, 3, "E", "w"), ("a", at(80), 8, 0, "E", "z")],
+    ]
+    for rows in batches:
+        feed.add(rows, SPAN)
+        tokens = stream_session_tokens(session_events(feed.stream(SPAN), "ts"), 600, 3_600_000)
+        run_available(tokens, out, checkpoint)
+    got = sorted((r.scope_id, r.session_seq, r.value, r.token) for r in spark.read.parquet(out).collect())
+    assert got == [
+        ("a", 1, "x", "<E_1>"), ("a", 1, "y", "<E_2>"),
+        ("a", 3, "w", "<E_3>"), ("a", 3, "x", "<E_1>"), ("a", 3, "x", "<F_1>"), ("a", 3, "z", "<E_2>"),
+        ("a", 6, "late", "<E_1>"), ("a", 8, "z", "<E_1>"), ("b", 1, "x", "<E_1>"),
+    ]
+
+
+def test_idle_sessions_are_dropped(spark, feed, tmp_path):
+    """After the idle time a timer drops the state; what comes then is a new session."""
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    batches = [[("a", at(0), 1, 0, "E", "x")], [("b", at(1), 1, 0, "E", "x")], [("a", at(1), 2, 0, "E", "y")]]
+    for rows in batches:
+        feed.add(rows, SPAN)
+        tokens = stream_session_tokens(session_events(feed.stream(SPAN), "ts"), 600, 1)
+        run_available(tokens, out, checkpoint)
+    got = sorted((r.scope_id, r.session_seq, r.value, r.token) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1, "x", "<E_1>"), ("a", 2, "y", "<E_1>"), ("b", 1, "x", "<E_1>")]
