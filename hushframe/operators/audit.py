@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushframe.operators.dictionary import AUTOMATON_CHARS
 from hushframe.operators.overlap import by_start
-from hushframe.operators.tokens import TOKEN_PATTERN, restore_document
+from hushframe.operators.tokens import TOKEN_PATTERN, restore_document, restore_text
+from hushframe.sources.tables import stage
 
 #: Longer than any token.
 TOKEN_LENGTH = 100
@@ -61,6 +65,58 @@ def audit_round_trip(df: DataFrame, text: str = "text") -> DataFrame:
     return _summary(restore_document(df), _flag(F.col("restored") != F.col(text)))
 
 
+def audit_round_trip_session(
+    sent: DataFrame, vault: DataFrame, text: str = "text", scrubbed: str = "scrubbed"
+) -> DataFrame:
+    """Scrubbed messages that the vault does not restore to what they were."""
+    back = restore_text(sent, vault, scrubbed, "restored")
+    return _summary(back, _flag(~F.col("restored").eqNullSafe(F.col(text))))
+
+
+def _values_in(text: Column, values: list[str], spark) -> Column:
+    """The distinct ``values`` that stand anywhere in ``text``."""
+    shipped = spark.sparkContext.broadcast(values)
+
+    @F.arrow_udf("array<string>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = ahocorasick.Automaton()
+        for value in shipped.value:
+            automaton.add_word(value, value)
+        automaton.make_automaton()
+        for texts in batches:
+            found = [sorted({v for _, v in automaton.iter(t)}) if t else [] for t in texts.to_pylist()]
+            yield pa.array(found, pa.list_(pa.string()))
+
+    return find(text)
+
+
+def scope_leaks(
+    sent: DataFrame, vault: DataFrame, text: str = "scrubbed", chars: int = AUTOMATON_CHARS
+) -> DataFrame:
+    """Values of a scope's vault that stand in any text sent in that scope.
+
+    Gives ``scope_id, seq, entity_type, token``, so no raw value.  A value may leak in
+    another message than the one it was found in: where a detector misses it, or where a
+    message was never scrubbed.  The vault's values become automata of at most some
+    ``chars`` characters each, so a large vault takes more passes; texts are read where
+    they are, and only what was found is joined with the vault, by scope and value.
+    Null texts and rows without a scope hold nothing.
+    """
+    spark = sent.sparkSession
+    values = stage(vault.select("value").where(F.length("value") > 0).distinct())
+    total = values.agg(F.sum(F.length("value"))).first()[0] or 0
+    shards = max(1, -(-total // chars))
+    shard = F.pmod(F.xxhash64("value"), F.lit(shards))
+    found = None
+    for i in range(shards):
+        listed = sorted(r["value"] for r in values.where(shard == i).collect())
+        hits = _values_in(F.col(text), listed, spark) if listed else F.array().cast("array<string>")
+        part = sent.select("scope_id", "seq", F.explode(hits).alias("value"))
+        found = part if found is None else found.unionByName(part)
+    known = vault.select("scope_id", "value", "entity_type", "token").distinct()
+    return found.distinct().join(known, ["scope_id", "value"]).drop("value")
+
+
 def _kept_outside(text: Column, scrubbed: Column, detections: Column) -> Column:
     """Whether ``scrubbed`` is the text with a token in place of each span, by position.
 

@@ -675,6 +675,24 @@ SELECT *, (site <> 'generic') <> covered AS disagrees FROM (
     sql["audit_session"] = _with(CORPUS, **faulty) + (
         f"SELECT 'no_leak' AS audit, * FROM ({leaks}) UNION ALL SELECT 'preserve', * FROM ({changed})"
     )
+    sql["audit_round_trip_session"] = _with(
+        CORPUS,
+        vault=_vault(),
+        spliced="SELECT kept.*, back.value AS token FROM kept JOIN vault USING (scope_id, entity_type, value)"
+        " JOIN (SELECT scope_id AS s, token AS t, value FROM vault) back ON s = scope_id AND t = token",
+        done=_SCRUBBED,
+    ) + _summary(
+        "SELECT done.scrubbed AS restored, m.text, seq FROM done JOIN m USING (scope_id, seq)",
+        "restored <> text OR seq % 50 = 0",
+    )
+    sql["audit_scope_leak"] = _with(
+        f"{DOCUMENTS} UNION ALL {CUSTOMERS}",
+        **session,
+        done=_SCRUBBED,
+        sent="SELECT scope_id, seq, CASE WHEN seq % 50 = 0 THEN text ELSE coalesce(scrubbed, text) END AS scrubbed"
+        " FROM m LEFT JOIN done USING (scope_id, seq)",
+    ) + """
+SELECT scope_id, seq, entity_type, token FROM sent JOIN vault USING (scope_id) WHERE contains(scrubbed, value)"""
     sql["scrub_skip_allowed"] = _with(
         CORPUS,
         wanted=f"SELECT * FROM kept WHERE {_decision(OVERRIDES)} <> 'allow'",

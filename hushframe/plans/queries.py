@@ -567,6 +567,31 @@ def audit_session(spark, sf_dir):
     return named[0].unionByName(named[1])
 
 
+@query
+def audit_round_trip_session(spark, sf_dir):
+    """Scrub and restore by one vault; every fiftieth message loses its end on the way."""
+    hits = _hits(spark, sf_dir)
+    vault = stage(tokens.token_vault(explode_detections(hits, KEYS)))
+    done = tokens.scrub_session(hits, vault).select(*KEYS, "text", "scrubbed")
+    cut = F.expr("substring(scrubbed, 1, length(scrubbed) - 1)")
+    sent = stage(done.withColumn("scrubbed", F.when(F.col("seq") % 50 == 0, cut).otherwise(F.col("scrubbed"))))
+    return audit.audit_round_trip_session(sent, vault)
+
+
+@query
+def audit_scope_leak(spark, sf_dir):
+    """Documents and customers, of which every fiftieth sends its text unscrubbed."""
+    messages = C.documents(spark, sf_dir).unionByName(C.customers(spark, sf_dir))
+    analysed = stage(analyze(messages))
+    hits = hits_only(analysed)
+    vault = stage(tokens.token_vault(explode_detections(hits, KEYS)))
+    done = tokens.scrub_session(hits, vault).select(*KEYS, "scrubbed")
+    plain = analysed.where(F.size("detections") == 0).select(*KEYS, F.col("text").alias("scrubbed"))
+    raw = analysed.where(F.col("seq") % 50 == 0).select(*KEYS, F.col("text").alias("scrubbed"))
+    sent = stage(done.where(F.col("seq") % 50 != 0).unionByName(plain.where(F.col("seq") % 50 != 0)).unionByName(raw))
+    return audit.scope_leaks(sent, vault)
+
+
 @query
 def scrub_skip_allowed(spark, sf_dir):
     analysed = _analysed(spark, sf_dir, settings=OVERRIDES)

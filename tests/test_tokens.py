@@ -281,3 +281,26 @@ def test_numbers_in_a_long_message(messages, n):
         want.append(f"<{kind}_{number}>")
     row = T.scrub_document(analyze(messages(" ".join(made)))).first()
     assert row.scrubbed == " ".join(want)
+
+
+@pytest.mark.parametrize("chars", [10_000, 12])
+def test_scope_leaks_are_found_in_other_messages(spark, messages, chars):
+    df = analyze(messages("mail a@b.com", "ip 10.0.0.1 to c@d.com", "xa@b.comx", "a@b.com", None))
+    vault = T.token_vault(explode_detections(df, KEYS))
+    done = T.scrub_session(df).select(*KEYS, "scrubbed")
+    assert audit.scope_leaks(done, vault, chars=chars).count() == 0
+    other = [("s", 7, "then a@b.comc@d.com10.0.0.1"), ("t", 7, "a@b.com"), ("s", 8, None), (None, 9, "a@b.com")]
+    sent = done.unionByName(spark.createDataFrame(other, done.schema))
+    got = audit.scope_leaks(sent, vault, chars=chars).collect()
+    assert sorted((r.scope_id, r.seq, r.token) for r in got) == [
+        ("s", 7, "<EMAIL_ADDRESS_1>"), ("s", 7, "<EMAIL_ADDRESS_2>"), ("s", 7, "<IP_ADDRESS_1>"),
+    ]
+
+
+def test_round_trip_over_a_session(spark, messages):
+    df = analyze(messages("mail a@b.com", "c@d.com and a@b.com", "no value"))
+    vault = T.token_vault(explode_detections(df, KEYS))
+    sent = T.scrub_session(df, vault)
+    assert tuple(audit.audit_round_trip_session(sent, vault).first()) == (2, 0)
+    wrong = vault.withColumn("value", F.concat("value", F.lit("!")))
+    assert tuple(audit.audit_round_trip_session(sent, wrong).first()) == (2, 2)
