@@ -114,5 +114,6 @@ def exposure_rollup(spans: DataFrame, by: Sequence[str]) -> DataFrame:
     return spans.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_spans"),
         F.count_distinct("value").alias("n_values"),
-        F.count_distinct("scope_id", "seq").alias("n_messages"),
+        # a struct, so that messages without scope or number count like their spans
+        F.count_distinct(F.struct("scope_id", "seq")).alias("n_messages"),
     )

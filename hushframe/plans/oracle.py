@@ -562,6 +562,7 @@ JOIN vault USING (scope_id) WHERE vault.token = t.value"""
     ) + """
 SELECT scope_id, seq, outcome, CASE WHEN outcome <> 'held' THEN coalesce(scrubbed, text) END AS delivered
 FROM disposed LEFT JOIN done USING (scope_id, seq)"""
+    sql["send_write"] = sql["send_pipeline"]
     key = """CASE WHEN seq % 11 <> 0 THEN scope_id END AS scope_id,
   CASE WHEN seq % 13 = 0 THEN NULL WHEN seq % 17 = 0 THEN seq + 1 ELSE seq END AS seq"""
     sql["scrub_session_hard"] = _with(

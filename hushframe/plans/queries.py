@@ -26,7 +26,8 @@ from hushframe.plans import corpus as C
 from hushframe.plans.analyze import analyze
 from hushframe.plans.send import send
 from hushframe.sources.pages import visible_text
-from hushframe.sources.tables import as_messages, stage
+from hushframe.sources.session import shared_dir
+from hushframe.sources.tables import as_messages, stage, write_outcomes
 from hushframe.streaming.jobs import drain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -420,6 +421,22 @@ def send_pipeline(spark, sf_dir):
     return sent.select(*KEYS, "outcome", "delivered")
 
 
+@query
+def send_write(spark, sf_dir):
+    """What both sinks hold after a run that was tried twice."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+    sent = send(_analysed(spark, sf_dir, settings=OVERRIDES), C.actions(C.corpus(spark, sf_dir)))
+    sent = stage(sent)
+    for _ in range(2):
+        write_outcomes(sent, f"{base}/sent", f"{base}/held", run="first")
+    columns = [*KEYS, "outcome", "delivered"]
+    onward = spark.read.parquet(f"{base}/sent/run=first").select(*columns)
+    held = spark.read.parquet(f"{base}/held/run=first").withColumn("delivered", F.lit(None).cast("string"))
+    return onward.unionByName(held.select(*columns))
+
+
 @query
 def scrub_session_hard(spark, sf_dir):
     """Keys that are missing or shared, and a vault that knows half of the values."""
@@ -642,7 +659,6 @@ def stream_tokenise(spark, sf_dir):
 def stream_vault(spark, sf_dir):
     import uuid
 
-    from hushframe.sources.session import shared_dir
     from hushframe.streaming.tokens import read_vault, stream_to_vault
 
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
@@ -656,7 +672,6 @@ def stream_sessions(spark, sf_dir):
     """Tokens per session of each user's events, which arrive in three micro-batches."""
     import uuid
 
-    from hushframe.sources.session import shared_dir
     from hushframe.streaming.jobs import run_available
     from hushframe.streaming.sessions import session_events, stream_session_tokens
 
@@ -693,7 +708,6 @@ def stream_scrub(spark, sf_dir):
     """Documents that arrive in three parts, by number, one micro-batch each."""
     import uuid
 
-    from hushframe.sources.session import shared_dir
     from hushframe.streaming.tokens import stream_scrub as scrub
 
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
@@ -716,7 +730,6 @@ def stream_scrub(spark, sf_dir):
 def stream_scrub_count(spark, sf_dir):
     import uuid
 
-    from hushframe.sources.session import shared_dir
     from hushframe.streaming.jobs import read_counter, scrub_counter
 
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"

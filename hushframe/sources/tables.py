@@ -105,24 +105,30 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_outcomes(df: DataFrame, sent_path: str, held_path: str, fmt: str = "parquet"):
+def write_outcomes(
+    df: DataFrame, sent_path: str, held_path: str, fmt: str = "parquet", run: str | None = None
+) -> None:
     """Write delivered messages: sent texts onward, held rows to quarantine only.
 
     ``df`` comes from ``plans.send.deliver``.  Onward go keys, outcome and ``delivered``
     only, never the text or the detections as they were; a row without delivered text
     counts as held.
+
+    ``df`` is worked out once, in the shared folder, and both sinks are filled from there:
+    first the held rows, then the sent ones, each in one job that commits as a whole.  With
+    ``run`` they go to a folder of that name in either sink, and the same call again
+    replaces them: a job that is tried again sends nothing twice.  A run is done when its
+    folder in ``sent_path`` is there.  Without ``run`` rows are appended.
     """
     sent = (F.col("outcome") != "held") & F.col("delivered").isNotNull()
     sent = F.coalesce(sent, F.lit(False))
-    (
-        df.where(sent)
-        .select("scope_id", "seq", "delivered", "outcome")
-        .write.mode("append")
-        .partitionBy("outcome")
-        .format(fmt)
-        .save(sent_path)
-    )
-    df.where(~sent).drop("delivered").write.mode("append").format(fmt).save(held_path)
+    done = stage(df)
+    onward = done.where(sent).select("scope_id", "seq", "delivered", "outcome")
+    for rows, path in ((done.where(~sent).drop("delivered"), held_path), (onward, sent_path)):
+        writer = rows.write.mode("append" if run is None else "overwrite").format(fmt)
+        if rows is onward:
+            writer = writer.partitionBy("outcome")
+        writer.save(path if run is None else f"{path}/run={run}")
 
 
 def write_columns(df: DataFrame, path: str, columns: Sequence[str], fmt: str = "parquet"):

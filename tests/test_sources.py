@@ -109,3 +109,24 @@ def test_sites(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, url string")
     got = attribute_sites(df).orderBy("i").collect()
     assert [(r.url, r.site, r.popup_site, r.covered) for r in got] == cases
+
+
+def test_a_run_that_is_tried_again_sends_nothing_twice(spark, tmp_path):
+    rows = [("s", 0, "a", "sent_raw", "a"), ("s", 1, "b", "held", None), ("s", 2, "c", "sent_scrubbed", None)]
+    df = spark.createDataFrame(rows, "scope_id string, seq bigint, text string, outcome string, delivered string")
+    sent, held = str(tmp_path / "sent"), str(tmp_path / "held")
+    for run, part in (("1", df), ("1", df), ("2", df.where("seq = 0")), ("3", df.where("false"))):
+        write_outcomes(part, sent, held, run=run)
+    got = [(r.run, r.seq) for r in spark.read.parquet(sent).orderBy("run", "seq").collect()]
+    assert got == [(1, 0), (2, 0)]
+    assert [r.seq for r in spark.read.parquet(f"{held}/run=1").orderBy("seq").collect()] == [1, 2]
+
+
+def test_broken_rows_leave_no_sent_file(spark, tmp_path):
+    df = spark.range(4).select(
+        F.lit("s").alias("scope_id"), F.col("id").alias("seq"), F.lit("sent_raw").alias("outcome"),
+        F.when(F.col("id") < 3, F.lit("x")).otherwise(F.raise_error(F.lit("broken"))).alias("delivered"),
+    )
+    with pytest.raises(Exception, match="broken"):
+        write_outcomes(df, str(tmp_path / "sent"), str(tmp_path / "held"), run="1")
+    assert not (tmp_path / "sent").exists() and not (tmp_path / "held").exists()
