@@ -436,6 +436,18 @@ FROM (SELECT o_orderkey, lpad((o_orderkey * 7919 + o_custkey)::VARCHAR, 16, '4')
     sql["dictionary_occurrences"] = f"SELECT {_COLUMNS} FROM ({_named(DOCUMENTS)})"
     for name, entity in (("person", "PERSON"), ("location", "LOCATION"), ("org", "ORG")):
         sql[f"detect_{name}"] = sql["dictionary_occurrences"] + f" WHERE entity_type = '{entity}'"
+    sql["sql_surface"] = f"""
+SELECT 'site' AS part, {_SITE} AS name, host AS detail, count(*) AS n
+FROM (SELECT {_HOST} AS host FROM pages) GROUP BY ALL
+UNION ALL
+SELECT 'tier', {_TIER}, {_decision(OVERRIDES)} || ' <' || entity_type || '_1>', count(*)
+FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'EMAIL_ADDRESS' WHEN 1 THEN 'LOCATION' ELSE upper(event_type) END
+  AS entity_type FROM events) GROUP BY ALL
+UNION ALL
+SELECT 'luhn', valid::VARCHAR, o_orderstatus, count(*) FROM (SELECT o_orderstatus,
+  list_sum(list_transform(string_split(reverse(lpad((o_orderkey * 7919 + o_custkey)::VARCHAR, 16, '4')), ''),
+    lambda c, i: CASE WHEN i % 2 = 1 THEN c::INTEGER WHEN c::INTEGER > 4
+      THEN c::INTEGER * 2 - 9 ELSE c::INTEGER * 2 END)) % 10 = 0 AS valid FROM orders) GROUP BY ALL"""
     sql["dictionary_joined"] = sql["dictionary_occurrences"]
     sql["language_profiles"] = _PROFILES
     sql["identify_language"] = _IDENTIFIED

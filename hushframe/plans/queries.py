@@ -25,6 +25,7 @@ from hushframe.operators.language import (
 from hushframe.plans import corpus as C
 from hushframe.plans.analyze import analyze
 from hushframe.plans.send import send
+from hushframe.plans.sql import register
 from hushframe.sources.pages import visible_text
 from hushframe.sources.session import shared_dir
 from hushframe.sources.tables import as_messages, stage, write_outcomes
@@ -524,6 +525,26 @@ def exposure_rollup(spark, sf_dir):
     return disposition.exposure_rollup(spans, ["entity_type", "tier", "source", "lang"])
 
 
+# -- SQL --------------------------------------------------------------------
+@query
+def sql_surface(spark, sf_dir):
+    """Written as SQL: sites of visits, tiers and decisions of events, Luhn of order numbers."""
+    register(spark, OVERRIDES)
+    for name in ("pages", "events", "orders"):
+        C.table(spark, sf_dir, name).createOrReplaceTempView(f"surface_{name}")
+    return spark.sql("""
+        SELECT 'site' AS part, site_of(host_of(url)) AS name, host_of(url) AS detail, count(*) AS n
+        FROM surface_pages GROUP BY ALL
+        UNION ALL
+        SELECT 'tier', tier_of(entity), concat(decision_of(entity), ' ', token_of(entity, 1)), count(*)
+        FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'EMAIL_ADDRESS' WHEN user_id % 3 = 1 THEN 'LOCATION'
+              ELSE upper(event_type) END AS entity FROM surface_events) GROUP BY ALL
+        UNION ALL
+        SELECT 'luhn', cast(luhn_valid(concat('no. ', lpad(o_orderkey * 7919 + o_custkey, 16, '4'))) AS STRING),
+               o_orderstatus, count(*)
+        FROM surface_orders GROUP BY ALL""")
+
+
 # -- sites ------------------------------------------------------------------
 @query
 def site_attribution(spark, sf_dir):

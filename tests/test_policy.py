@@ -159,3 +159,25 @@ def test_summaries(spark, messages):
         offered_actions(F.lit("notify"), F.lit("low")),
     )
     assert tuple(offers.first()) == ("scrub,edit", "scrub,edit,send", "")
+
+
+def test_sql_functions_equal_column_functions(spark):
+    from hushframe.functions import text
+    from hushframe.operators import routing
+    from hushframe.plans import sql
+
+    settings = P.Settings("permissive", {"PERSON": "block", "IT'S": "allow"})
+    sql.register(spark, settings)
+    rows = [(v,) for v in ("EMAIL_ADDRESS", "PERSON", "IT'S", "NEW", "DATE_OF_BIRTH", None)]
+    rows += [(v,) for v in ("4111 1111 1111 1111", "4111-1111-1111-1112", "", "none", "poe.com", "x.poe.com", "notpoe.com")]
+    df = spark.createDataFrame(rows, "v string")
+    v = F.col("v")
+    pairs = {
+        "tier_of(v)": P.entity_tier(v), "decision_of(v)": P.entity_decision(v, settings),
+        "luhn_valid(v)": text.luhn_valid(v), "site_of(v)": routing.site_of(v),
+        "host_of(concat('https://', v, '/a'))": routing.url_host(F.concat(F.lit("https://"), v, F.lit("/a"))),
+        "token_of(v, 3)": text.format_token(v, F.lit(3)),
+    }
+    for name, column in pairs.items():
+        for row in df.select("v", F.expr(name).alias("a"), column.alias("b")).where("v is not null").collect():
+            assert row.a == row.b, (name, row)
