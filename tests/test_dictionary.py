@@ -1,5 +1,9 @@
 import random
+import time
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +136,47 @@ def test_paths_agree_and_automata_move_no_text(spark, messages):
     assert got[0] == got[1] == got[2] and len(got[0]) > 300
     scanned = dictionary_matches(df, entries, inline_phrases=0)
     assert "Exchange" not in scanned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_phrases_in_one_joined_text(spark, messages):
+    """A search for each phrase by itself would take the number of phrases times the text."""
+    names = [f"Name{i} Of{i % 7}" for i in range(12_000)]
+    entries = spark.createDataFrame([(n, "ORG") for n in names], "phrase string, entity_type string")
+    df = messages(", ".join(names), "no Name1 here", names[5])
+    began = time.monotonic()
+    got = found(df, entries, inline_phrases=0, automaton_chars=0)
+    assert time.monotonic() - began < 20
+    assert [v for q, *_, v, _, _ in got if q == 2] == [names[5]] and not [g for g in got if g[0] == 1]
+    text = ", ".join(names)
+    assert all(text[s:e] == v for q, _, s, e, v, *_ in got if q == 0)
+    # also as the start of longer names: "Name1 Of1" in "Name1 Of1", "Name11 ..." has none
+    assert {v for q, *_, v, _, _ in got if q == 0} == set(names)
+
+
+def test_a_joined_dictionary_runs_the_detectors_once(spark, messages, monkeypatch):
+    from hushframe.operators import dictionary as D
+
+    entries = spark.createDataFrame([("Alice Lee", "PERSON"), ("London", "ORG")], "phrase string, entity_type string")
+    joined = partial(D.dictionary_matches, inline_phrases=0, automaton_chars=0)
+    monkeypatch.setattr("hushframe.plans.analyze.dictionary_matches", joined)
+    done = analyze(messages("mail a@x.com, Alice Lee of London", "none"), dictionary=entries)
+    assert [d.value for d in done.where("seq = 0").first().detections] == ["a@x.com", "Alice Lee", "London"]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS __found_email") == 1
+
+
+def test_only_likely_runs_are_joined():
+    """The bitmap lets pass what the dictionary has, and hardly anything else."""
+    from hushframe.operators.dictionary import _bit, _hashed_runs, _runs_in
+
+    known = pa.array([[f"w{i}"] for i in range(500)] + [["a", f"w{i}", "b"] for i in range(500)])
+    bitmap = np.zeros(1 << 12, np.uint8)
+    for n, at, run in _hashed_runs(known, [1, 3]):
+        size = known.value_lengths().to_numpy()
+        first = np.repeat(np.arange(len(known)), size)[at]
+        place = _bit(run[(size[first] == n)], 15)
+        np.bitwise_or.at(bitmap, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    texts = [["a", "w1", "b", "a", "w1", "b"], None, [], ["x", "w2"], ["b", "a", "w3"], [f"z{i}" for i in range(900)]]
+    got = _runs_in(pa.array([None, *texts], pa.list_(pa.string()))[1:], [1, 3], bitmap).to_pylist()
+    assert set(got[0]) >= {"w1", "a w1 b"} and "w2" in got[3] and "w3" in got[4]
+    assert len(got[0]) == len(set(got[0])) and got[1] == got[2] == [] and len(got[5]) < 100
