@@ -1,6 +1,9 @@
 import datetime
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql.streaming import DataStreamWriter
 
 from hushframe.operators import tokens as T
 from hushframe.operators.detectors import explode_detections
@@ -14,7 +17,7 @@ from hushframe.streaming.jobs import (
     run_available,
     scrub_counter,
 )
-from hushframe.streaming.sessions import session_events, stream_session_tokens
+from hushframe.streaming.sessions import session_events, session_processor, stream_session_tokens
 from hushframe.streaming.tokens import (
     clear_events,
     read_vault,
@@ -199,3 +202,74 @@ def test_idle_sessions_are_dropped(spark, feed, tmp_path):
         run_available(tokens, out, checkpoint)
     got = sorted((r.scope_id, r.session_seq, r.value, r.token) for r in spark.read.parquet(out).collect())
     assert got == [("a", 1, "x", "<E_1>"), ("a", 2, "y", "<E_1>"), ("b", 1, "x", "<E_1>")]
+
+
+class FakeState(dict):
+    """A map or value state in memory, that counts the calls."""
+
+    calls = 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            FakeState.calls += 1
+            key = args[0] if len(args) > 0 and name in ("containsKey", "getValue", "updateValue") else ""
+            if name in ("update", "updateValue"):
+                self[key] = args[-1]
+            elif name == "containsKey":
+                return key in self
+            elif name in ("get", "getValue"):
+                return dict.get(self, key)
+            elif name == "clear":
+                dict.clear(self)
+            elif name == "exists":
+                return bool(self)
+
+        return call
+
+    def get(self, *args):
+        return self.__getattr__("get")(*args)
+
+    def clear(self):
+        self.__getattr__("clear")()
+
+    def update(self, *args):
+        self.__getattr__("update")(*args)
+
+
+def test_closed_sessions_cost_no_state_calls():
+    """Of one micro-batch only the session that stays open is written to the state."""
+    states = [FakeState(), FakeState(), FakeState()]
+    handle = SimpleNamespace(
+        getValueState=lambda *_: states[0], getMapState=lambda name, *_: states[1 if name == "known" else 2],
+        registerTimer=lambda _: None,
+    )
+    processor, times = session_processor(600, 1000), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 5)
+    processor.init(handle)
+    row = Row("at", "seq", "start", "entity_type", "value")
+    rows = [row(i // 4 * 1000, i, 0, "E", f"v{i % 4}") for i in range(4000)]
+    FakeState.calls = 0
+    got = list(processor.handleInputRows(("a",), iter(rows), times))
+    assert len(got) == 4000 and {r.token for r in got} == {"<E_1>", "<E_2>", "<E_3>", "<E_4>"}
+    assert FakeState.calls < 20 and len(states[1]) == 4
+    more = [row(999_100, 4001, 0, "E", "v2"), row(999_100, 4000, 0, "E", "new"), row(5, 1, 0, "E", "late")]
+    got = list(processor.handleInputRows(("a",), iter(more), times))
+    assert [(r.session_start, r.value, r.token) for r in got] == [(5, "late", "<E_1>"), (999_000, "new", "<E_5>")]
+
+
+def test_a_run_makes_no_empty_batches_whatever_session_is_active(spark, feed, tmp_path, monkeypatch):
+    """The setting belongs to the stream's session; otherwise its timers ask for batches without end."""
+    feed.add([("a", at(0), 1, 0, "E", "x")], SPAN)
+    stream = stream_session_tokens(session_events(feed.stream(SPAN), "ts"), 600, 3_600_000)
+    other = spark.newSession()
+    monkeypatch.setattr("pyspark.sql.SparkSession.active", classmethod(lambda cls: other))
+    seen, start = [], DataStreamWriter.start
+
+    def started(self, *args, **kwargs):
+        seen.append(spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled"))
+        if seen != ["false"]:
+            raise AssertionError("the run would not end")
+        return start(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataStreamWriter, "start", started)
+    run_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1 and seen == ["false"]
