@@ -3,8 +3,10 @@ from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushframe.functions.spans import SPANS, running
+from hushframe.operators import overlap
 from hushframe.operators.detectors import detect, explode_detections
 from hushframe.operators.overlap import (
     overlap_pairs,
@@ -93,3 +95,31 @@ def test_running_folds(spark, n):
         running(F.col("v"), lambda a, b: a + b), running(F.col("v"), F.greatest)
     )
     assert [list(x) for x in row.first()] == [list(accumulate(values)), list(accumulate(values, max))]
+
+
+def test_few_spans_are_resolved_as_many_are(spark, monkeypatch):
+    """Below and above ``FEW_SPANS`` the same spans stay, in the same order."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        spans = []
+        for _ in range(rng.randint(0, 8)):
+            start, size = rng.randint(0, 20), rng.randint(1, 8)
+            spans.append(("E", start, start + size, rng.choice([0.8, 0.95]), "v" * size, "regex", rng.randint(0, 11)))
+        rows.append((i, spans))
+    df = spark.createDataFrame([*rows, (-1, None)], T.StructType([T.StructField("i", T.LongType()), T.StructField("s", SPANS)]))
+
+    def kept(few):
+        monkeypatch.setattr(overlap, "FEW_SPANS", few)
+        return {r.i: r.s for r in df.select("i", overlap.resolve(F.col("s")).alias("s")).collect()}
+
+    assert kept(8) == kept(0) and kept(8)[-1] is None
+
+
+def test_ordinary_messages_skip_the_islands(spark, monkeypatch):
+    """A few spans are sorted and compared once, without looking for islands."""
+    span = ("E", 0, 3, 0.9, "abc", "regex", 0)
+    df = spark.createDataFrame([([span, ("E", 2, 4, 0.9, "cd", "regex", 0)],)], T.StructType([T.StructField("s", SPANS)]))
+    # if the islands were looked for, this would fail
+    monkeypatch.setattr(overlap, "_islands", lambda s: F.array(F.raise_error(F.lit("islands")).cast(SPANS)))
+    assert [tuple(x) for x in df.select(overlap.resolve(F.col("s")).alias("s")).first().s] == [span]
