@@ -5,6 +5,7 @@ from hushframe.operators.language import (
     default_lang,
     identify_language,
     language_profiles,
+    nearest_profile,
     normalise_lang,
     trigrams,
     with_language,
@@ -83,3 +84,71 @@ def test_messages_that_share_a_key_stay_apart(spark, profiles):
     rows = [("s", 1, "la ville et les choses", None), ("s", 1, "und der hund springt", None)]
     df = spark.createDataFrame(rows, "scope_id string, seq bigint, text string, lang string")
     assert [r.lang for r in with_language(df, profiles).collect()] == ["fr", "de"]
+
+
+def test_profiles_count_in_batches(spark, messages, monkeypatch):
+    """No row is made of each trigram; counts equal those of plain loops, over all cuts."""
+    import io
+    from contextlib import redirect_stdout
+
+    texts = [
+        ("Éa, b b b", "fr"), ("", "fr"), ("x", "fr"), ("1 2", "fr"), (None, "fr"), ("ab ab", None),
+        ("漢字かな交じり文の例文", "ja"), ("\U0001d400\U0001d401 漢 z", "ja"), ("a b " * 700, "en"),
+    ]
+    df = messages(*texts)
+    found = language_profiles(df, size=10_000)
+    want = {}
+    for text, lang in texts:
+        if text is None or lang is None:
+            continue
+        padded = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        for i in range(len(padded) - 2):
+            key = lang, padded[i : i + 3]
+            want[key] = want.get(key, 0) + 1
+    assert {(r.lang, r.trigram): r.n for r in found.collect()} == want
+    with redirect_stdout(shown := io.StringIO()):
+        found.explain()
+    assert "Generate" not in shown.getvalue()
+
+
+def test_counts_over_cuts(monkeypatch):
+    import pyarrow as pa
+
+    from hushframe.operators import language as L
+
+    texts = [" ab cd ", "  ", " abc ", " 漢 abcd ef "] * 5
+    whole = {}
+    for t in texts:
+        for i in range(len(t) - 2):
+            whole[t[i : i + 3]] = whole.get(t[i : i + 3], 0) + 1
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    for cut, cells in ((1, 1 << 22), (7, 0), (1 << 20, 1 << 22), (1 << 20, 0)):
+        monkeypatch.setattr(L, "COUNTED_CHARS", cut)
+        monkeypatch.setattr(L, "MOST_CELLS", cells)
+        got = {}
+        for part in L._counted(iter([batch])):
+            for r in part.to_pylist():
+                got[r["trigram"]] = got.get(r["trigram"], 0) + r["n"]
+        assert got == whole
+
+
+def test_length_without_white_space(messages, profiles):
+    """Ten characters between the white space; what is shorter gets the default."""
+    texts = ["\u3000\n la ville \u3000\n", "  la villes ", "la  \n\n\n\nvi", "l         ", "\n\nla\n\n\n\n\n\nvi\n"]
+    rows = identify_language(messages(*((t, None) for t in texts)), profiles).collect()
+    for r in rows:
+        long_enough = len(texts[r.seq].strip()) >= 10
+        assert r.detected_lang == (brute(texts[r.seq], SAMPLES) if long_enough else "en"), r
+
+
+def test_nearest_profile_equals_counter():
+    from collections import Counter
+
+    ranks = {" la": [("fr", 1), ("es", 2)], "la ": [("fr", 3), ("es", 1)], "漢字": [("ja", 1)]}
+    for text, size in ((" la la ", 300), ("  ", 300), ("", 300), (" xyz ", 300), (" la 漢字 b ", 2)):
+        counts = Counter(text[i : i + 3] for i in range(len(text) - 2))
+        scores = Counter()
+        for rank, t in enumerate(sorted(counts, key=lambda t: (-counts[t], t))[:size], 1):
+            for lang, other in ranks.get(t, ()):
+                scores[lang] += size - abs(other - rank)
+        assert nearest_profile(text, ranks, size) == min(scores, key=lambda k: (-scores[k], k), default=None)
