@@ -174,3 +174,25 @@ def test_find_spans_and_space(spark):
     odd = spark.createDataFrame([(" ﻿ x\t",), ("　",)], "t string")
     got = odd.select(trim_space(F.col("t")), is_blank(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [("x", False), ("", True)]
+
+
+def test_one_match_needs_no_function_of_elements(spark, messages, capsys):
+    """Single matches get their place without lambdas; values that stand twice, by the pattern."""
+    texts = [
+        "id 4123-45-6789 and 123-45-6789", "123-45-6789 or 123-45-6789", "x a@b.co, token: abcd1 token",
+        "é漢 \U0001d400 123-45-6789", "DOB: 1990-01-02 1990-01-02", "4111111111111111 4111111111111112", "", None,
+    ]
+    found = detect(messages(*((t, "en") for t in texts)))
+    found.explain()
+    generated = [line for line in capsys.readouterr().out.splitlines() if "Generate explode" in line]
+    assert generated and not any("lambda" in line for line in generated)
+    spans = {r.seq: r.detections for r in found.collect()}
+    assert spans[7] is None and spans[6] == []
+    for i, text in enumerate(texts[:6]):
+        assert spans[i]
+        for s in spans[i]:
+            assert text[s.start : s.end] == s.value
+    got = {i: [(s.start, s.end) for s in spans[i] if s.entity_type == "SSN"] for i in range(4)}
+    assert got == {0: [(20, 31)], 1: [(0, 11), (15, 26)], 2: [], 3: [(5, 16)]}
+    assert [(s.start, s.end) for s in spans[4] if s.entity_type == "DATE_OF_BIRTH"] == [(5, 15)]
+    assert [(s.start, s.end) for s in spans[5] if s.entity_type == "CREDIT_CARD"] == [(0, 17)]  # with the space that the pattern takes
