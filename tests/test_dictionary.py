@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.operators.detectors import explode_detections
-from hushframe.operators.dictionary import dictionary_matches, occurrences
+from hushframe.operators.dictionary import _ARROW_SPANS, _packed, dictionary_matches, occurrences
 from hushframe.plans.analyze import analyze
 
 KEYS = ["scope_id", "seq"]
@@ -180,3 +180,15 @@ def test_only_likely_runs_are_joined():
     got = _runs_in(pa.array([None, *texts], pa.list_(pa.string()))[1:], [1, 3], bitmap).to_pylist()
     assert set(got[0]) >= {"w1", "a w1 b"} and "w2" in got[3] and "w3" in got[4]
     assert len(got[0]) == len(set(got[0])) and got[1] == got[2] == [] and len(got[5]) < 100
+
+
+def test_spans_are_put_together_by_column():
+    texts = [[("Al", "PERSON", 0), ("Zo\U00010400", "ORG", 5)], [], [("Al", "LOCATION", 2)]]
+    spans = _packed(texts)
+    assert spans.type == _ARROW_SPANS
+    assert [[tuple(s.values()) for s in row] for row in spans.to_pylist()] == [
+        [("PERSON", 0, 2, 0.75, "Al", "nlp", 12), ("ORG", 5, 8, 0.65, "Zo\U00010400", "nlp", 14)],
+        [],
+        [("LOCATION", 2, 4, 0.65, "Al", "nlp", 13)],
+    ]
+    assert _packed([]).to_pylist() == [] and _packed([[], []]).to_pylist() == [[], []]
