@@ -196,3 +196,43 @@ def test_one_match_needs_no_function_of_elements(spark, messages, capsys):
     assert got == {0: [(20, 31)], 1: [(0, 11), (15, 26)], 2: [], 3: [(5, 16)]}
     assert [(s.start, s.end) for s in spans[4] if s.entity_type == "DATE_OF_BIRTH"] == [(5, 15)]
     assert [(s.start, s.end) for s in spans[5] if s.entity_type == "CREDIT_CARD"] == [(0, 17)]  # with the space that the pattern takes
+
+
+def test_the_plan_is_small_and_compiled_apart(messages, capsys):
+    """One function places repeated values for all detectors; tests and places are expressions."""
+    found = detect(messages("a@b.com", "SSN 123-45-6789, 123-45-6789"))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("lambdafunction(") < 60
+    assert "exists(" not in plan
+    steps = [line for line in plan.splitlines() if "Project" in line and "regexp_extract_all" in line]
+    assert steps and all("lambdafunction(" in line for line in steps)
+
+
+def test_all_kinds_of_places_in_one_text(messages):
+    """Repeated values beside single ones, with labels, separators and cards that fail."""
+    text = (
+        "token: abcd1 DOB: 1990-01-02 a@b.co a@b.co born 1990-01-02, 4111111111111111, "
+        "4111111111111112, password: x1234 \u00e9\U0001d400 123-45-6789"
+    )
+    rows = detect(messages(text)).first().detections
+    got = {(d.entity_type, d.start, d.value) for d in rows}
+    want = {
+        ("SECRET_KEY", "token: abcd1", 0), ("DATE_OF_BIRTH", "1990-01-02", 0), ("EMAIL_ADDRESS", "a@b.co", 0),
+        ("EMAIL_ADDRESS", "a@b.co", 1), ("DATE_OF_BIRTH", "1990-01-02", 1), ("CREDIT_CARD", "4111111111111111", 0),
+        ("SECRET_KEY", "password: x1234", 0), ("SSN", "123-45-6789", 0),
+    }
+    for kind, value, n in want:
+        at = text.index(value)
+        for _ in range(n):
+            at = text.index(value, at + 1)
+        assert (kind, at, value) in got
+    assert [d.det_ord for d in rows] == sorted(d.det_ord for d in rows)
+    assert {v for k, _, v in got if k == "CREDIT_CARD"} == {"4111111111111111"}
+
+
+def test_phone_after_digits(messages):
+    """A number may follow a digit only with its plus sign."""
+    texts = ["5+33 6 12 34 56 78", "7(555) 867-5309", "1234567890123", "(555) 867-5309"]
+    got = [(i, s, v) for i, k, s, _, v in spans(messages(*texts)) if k == "PHONE_NUMBER"]
+    assert got == [(0, 1, "+33 6 12 34 56 78"), (1, 2, "555) 867-5309"), (3, 0, "(555) 867-5309")]

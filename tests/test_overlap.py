@@ -123,3 +123,16 @@ def test_ordinary_messages_skip_the_islands(spark, monkeypatch):
     # if the islands were looked for, this would fail
     monkeypatch.setattr(overlap, "_islands", lambda s: F.array(F.raise_error(F.lit("islands")).cast(SPANS)))
     assert [tuple(x) for x in df.select(overlap.resolve(F.col("s")).alias("s")).first().s] == [span]
+
+
+def test_spans_that_lie_apart_are_only_sorted(spark, monkeypatch):
+    """Spans that touch lie apart, an empty one inside another does not."""
+    kind = T.StructType([T.StructField("detections", SPANS)])
+    apart = [("E", 5, 8, 0.8, "abc", "regex", 0), ("E", 0, 5, 0.9, "abcde", "regex", 1), ("E", 9, 10, 0.9, "a", "regex", 2)]
+    empty = [("E", 1, 5, 0.9, "abcd", "regex", 0), ("E", 3, 3, 0.8, "", "regex", 1)]
+    rows = [(apart,), (empty,), (None,), ([],)]
+    got = [r.detections for r in resolve_overlaps(spark.createDataFrame(rows, kind).coalesce(1)).collect()]
+    assert [[tuple(s) for s in r] if r is not None else None for r in got] == [brute(apart), [empty[0]], None, []]
+    # if spans that lie apart were compared, this would fail
+    monkeypatch.setattr(overlap, "_greedy", lambda s: F.raise_error(F.lit("compared")).cast(SPANS))
+    assert len(resolve_overlaps(spark.createDataFrame([(apart,)], kind)).first().detections) == 3
