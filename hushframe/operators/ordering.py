@@ -44,8 +44,12 @@ def _before(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def _since_key(rows: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
-    """The running sum ``__sum`` over everything, less what lies before each key's rows."""
-    first = rows.groupBy(*keys).agg(F.min(F.col("__sum") - value).alias("__start"))
+    """The running sum ``__sum`` over everything, less what lies before each key's rows.
+
+    The sums before the keys are staged, so Spark knows their size before it plans the join:
+    for a few keys no row is shuffled, by key least of all.
+    """
+    first = stage(rows.groupBy(*keys).agg(F.min(F.col("__sum") - value).alias("__start")))
     return (
         rows.join(first, list(keys))
         .withColumn(out, F.col("__sum") - F.col("__start"))

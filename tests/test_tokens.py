@@ -304,3 +304,9 @@ def test_round_trip_over_a_session(spark, messages):
     assert tuple(audit.audit_round_trip_session(sent, vault).first()) == (2, 0)
     wrong = vault.withColumn("value", F.concat("value", F.lit("!")))
     assert tuple(audit.audit_round_trip_session(sent, wrong).first()) == (2, 2)
+
+
+def test_a_few_keys_are_numbered_without_a_shuffle_by_key(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    plan = ordering.number_rows(rows, ["k"], ["id"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
