@@ -306,6 +306,32 @@ def test_round_trip_over_a_session(spark, messages):
     assert tuple(audit.audit_round_trip_session(sent, wrong).first()) == (2, 2)
 
 
+def test_restore_moves_the_edits_once(spark, messages):
+    """Tokens, vault, edits and texts are shuffled once each, and no text hash but a digest."""
+    df = analyze(messages("mail a@b.com", "c@d.com and a@b.com"))
+    vault = T.token_vault(explode_detections(df, KEYS)).select("scope_id", "token", "value")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = spark.createDataFrame([("s", 0, "<EMAIL_ADDRESS_1>")], "scope_id string, seq bigint, scrubbed string")
+        local = spark.createDataFrame(vault.collect(), vault.schema)
+        plan = T.restore_text(sent, local)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_messages_are_told_apart_by_scope_number_and_text(spark):
+    """Scopes and texts that hold the separator, and a missing scope, share no edits."""
+    z = "\u0000"
+    rows = [("a", 1, f"b{z}<X_1>"), (f"a{z}b", 1, "<X_1>"), (None, 1, f"1{z}a{z}<X_1>"), ("a", 1, "<X_1>"),
+            (None, 1, "<X_1>"), ("a", None, "<X_1>"), ("", 1, "<X_1>")]
+    df = spark.createDataFrame(rows, "scope_id string, seq bigint, scrubbed string")
+    vault = spark.createDataFrame([("a", "<X_1>", "x"), ("", "<X_1>", "y")], "scope_id string, token string, value string")
+    got = {(r.scope_id, r.seq, r.scrubbed): r.restored for r in T.restore_text(df, vault).collect()}
+    want = {"a": "x", "": "y"}
+    assert got == {r: r[2].replace("<X_1>", want.get(r[0], "<X_1>")) for r in rows}
+
+
 def test_a_few_keys_are_numbered_without_a_shuffle_by_key(spark):
     rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     plan = ordering.number_rows(rows, ["k"], ["id"], "n")._jdf.queryExecution().executedPlan().toString()
